@@ -197,7 +197,8 @@ def parse_formatted(formatted: DataFrame, template: ChatTemplate | None = None)
     )
 
     def under(s: Column) -> Column:
-        first = (s["start"] - F.get(F.col("starts"), s["place"])).cast("int")
+        # starts is named twice, which keeps the optimizer from computing it anew for each span
+        first = (s["start"] - F.when(F.size("starts") > 0, F.get(F.col("starts"), s["place"]))).cast("int")
         return unescape(F.substr(F.get(F.col("pieces"), s["place"]), first + 1, (s["end"] - s["start"]).cast("int")))
 
     cut = formatted.withColumn("pieces", pieces).withColumn("starts", starts).withColumn("turns", turns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import chat, mixing, records
+from quillspark.llm import chat, decontam, mixing, records, secrets
 
 
 @functools.cache
@@ -18,6 +18,59 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS g
+  FROM i, unnest(range(1, greatest(2, len(w) - 8))) u(s) WHERE len(w) > 0
+), dw AS (
+  SELECT k, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM iw) z, unnest(range(1, len(w) - n + 2)) u(s)
+), h AS (SELECT k, s, n, item_id FROM dw JOIN iw USING (n, g)),
+c AS (SELECT k, count(DISTINCT p) AS n_hit FROM h, unnest(range(s, s + n)) u(p) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT k, item_id FROM h) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -67,9 +120,14 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op7_mix_sources": op7_mix_sources,
     "op9_token_records": op9_token_records,
 }
 
-ORACLE_SQL = {"op3_chat_format": OP3_SQL}
+ORACLE_SQL = {
+    "op3_chat_format": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+}
