@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import chat, decontam, mixing, records, secrets
+from quillspark.llm import chat, decontam, mixing, quality, records, secrets
 
 
 @functools.cache
@@ -110,6 +110,11 @@ FROM said GROUP BY conv_id
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "source", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
@@ -123,6 +128,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op3_chat_format": op3_chat_format,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op9_token_records": op9_token_records,
 }
