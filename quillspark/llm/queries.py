@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import chat, decontam, mixing, quality, records, secrets
+from quillspark.llm import bagminhash, chat, decontam, mixing, quality, records, secrets
 
 
 @functools.cache
@@ -120,6 +120,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "source", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
 
 
+def op8_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    # a class goes by the least doc_id in it
+    names = got.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return got.join(names, "class").select("doc_id", "class_id", "class_size")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_documents(table(spark, sf_dir, "documents"), _tokenizer(), end_id=0)
 
@@ -130,6 +137,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op8_minhash_classes": op8_minhash_classes,
     "op9_token_records": op9_token_records,
 }
 
