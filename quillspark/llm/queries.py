@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import bagminhash, chat, decontam, mixing, quality, records, secrets
+from quillspark.llm import bagminhash, chat, ctxmix, decontam, mixing, quality, records, secrets
 
 
 @functools.cache
@@ -131,6 +131,10 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_documents(table(spark, sf_dir, "documents"), _tokenizer(), end_id=0)
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctxmix.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_decontaminate": op4_decontaminate,
@@ -139,6 +143,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash_classes": op8_minhash_classes,
     "op9_token_records": op9_token_records,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 ORACLE_SQL = {
