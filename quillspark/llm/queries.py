@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import bagminhash, chat, ctxmix, decontam, mixing, quality, records, secrets
+from quillspark.llm import bagminhash, chat, ctxmix, decontam, mixing, quality, records, secrets, suffix_dedup
 
 
 @functools.cache
@@ -89,6 +89,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def _escaped_length(x: str) -> str:
     controls = r"(<\||</?s>|\[/?INST\]|<</?SYS>>)"
     return f"(length({x}) + length({x}) - length(replace({x}, chr(92), '')) + len(regexp_extract_all({x}, '{controls}')))"
@@ -137,6 +141,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
