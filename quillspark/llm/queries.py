@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import table
-from quillspark.llm import bagminhash, chat, ctxmix, decontam, mixing, quality, records, secrets, suffix_dedup
+from quillspark.llm import bagminhash, chat, ctxmix, decontam, licenses, mixing, quality, records, secrets, suffix_dedup
 
 
 @functools.cache
-def _tokenizer() -> str:
+def byte_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -119,6 +119,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, thousands, hundreds; a document whose first
+    line speaks of a licence is the licence file of its source's thousand."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).rlike(r"^[^.\n]{0,80}[Ll]icense")
+    number = F.col("doc_id").cast("string")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    tree = F.when(first, F.concat_ws("/", top, F.concat(F.lit("LICENSE-"), number))).otherwise(F.concat_ws("/", top, F.floor(F.col("doc_id") / 100).cast("string"), number))
+    return licenses.scan_licences(docs, tree, first)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "source", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
@@ -132,7 +143,7 @@ def op8_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.encode_documents(table(spark, sf_dir, "documents"), _tokenizer(), end_id=0)
+    return records.encode_documents(table(spark, sf_dir, "documents"), byte_tokenizer(), end_id=0)
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +156,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licence_scan": op6_licence_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash_classes": op8_minhash_classes,
     "op9_token_records": op9_token_records,
