@@ -17,7 +17,7 @@ def line_chunks(documents: DataFrame, doc_id: str = "document_id", text: str = "
     each = documents.select(*(c for c in documents.columns if c != text), F.posexplode(kept).alias("pos", "text"))
     hashed = F.substring(F.sha2("text", 256), 1, 8)
     seq = (F.col("pos") + 1).alias("sequence_no")
-    return each.select(*(c for c in documents.columns if c != text), seq, "text").withColumn("chunk_id", F.concat_ws(":", F.col(doc_id).cast("string"), hashed, "p", F.col("sequence_no").cast("string")))
+    return each.select(*(c for c in documents.columns if c != text), seq, "text").withColumn("chunk_id", F.concat_ws(":", F.col(doc_id).cast("string"), hashed, F.lit("p"), F.col("sequence_no").cast("string")))
 
 
 def manifest(chunks: DataFrame, key: str = "chunk_id", doc: str = "document_id") -> DataFrame:
