@@ -142,24 +142,30 @@ def low_confidence_spans(chunks: DataFrame, by: str, seq: str, confidence: str,
     return rows.withColumn("part", F.floor(nth / most)).withColumn("span", F.concat_ws("-", F.col("island").cast("string"), F.col("part").cast("string"))).drop("low", "start", "island", "part")
 
 
-#: Titles that open a current document, and titles that rule one out (fixed values).
-WANTED = r"(?i)\b(guidelines?|regulatory technical standards?|implementing technical standards?|recommendations?|opinions?|rts|its)\b"
-UNWANTED = r"(?i)\b(consultation|annex(es)?|template|instructions|press release|translation|summary of responses|impact assessment|faq|presentation|hearing)\b"
+#: Titles of current documents, and titles that rule one out (fixed values).
+WANTED = r"(?i)\b(guidelines?|recommendations?|opinion|regulatory\s+technical\s+standards?|implementing\s+technical\s+standards?|RTS|ITS)\b"
+UNWANTED = (
+    r"(?i)\b(consultation|consultative|proposed|proposal|discussion\s+paper|call\s+for\s+advice|response\s+to|feedback|track\s*changes?|tracked\s+changes?|redline|"
+    r"mapping\s+report|annex|instructions?|templates?|workbook|presentation|slides?|errata)\b"
+)
+DRAFT, FINAL_DRAFT = r"(?i)\bdraft\b", r"(?i)\bfinal\b.*?\bdraft\b"
+AMENDING, CONSOLIDATED = r"(?i)\b(amending|amended|amends|amendment)\b", r"(?i)\bconsolidated\b"
+OTHER_LANGUAGES = "DE|FR|ES|IT|PL|PT|NL|DA|SV|FI|EL|BG|CS|ET|HU|LT|LV|MT|RO|SK|SL"
 
 
 def current_candidate(title: Column, url: Column) -> Column:
     """Whether a listed file is a current document by its title and URL."""
     said = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.regexp_replace(F.coalesce(url, F.lit("")), r"[_-]|%20", " "))
-    draft = said.rlike(r"(?i)\bdraft\b") & ~said.rlike(r"(?i)\bfinal (report on )?draft\b")
-    amending = said.rlike(r"(?i)\bamend(ing|ment)\b") & ~said.rlike(r"(?i)\bconsolidated\b")
+    draft = said.rlike(DRAFT) & ~said.rlike(FINAL_DRAFT)
+    amending = said.rlike(AMENDING) & ~said.rlike(CONSOLIDATED)
     return said.rlike(WANTED) & ~said.rlike(UNWANTED) & ~draft & ~amending
 
 
 def english_file(url: Column) -> Column:
-    """A .pdf whose name has no two-letter language mark other than EN."""
-    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
+    """A .pdf whose name has no mark of another language."""
+    path = F.regexp_replace(url, r"[?#].*$", "")
     name = F.element_at(F.split(path, "/"), -1)
-    return path.endswith(".pdf") & ~name.rlike(r"[_\- ](bg|cs|da|de|el|es|et|fi|fr|ga|hr|hu|it|lt|lv|mt|nl|pl|pt|ro|sk|sl|sv)([_\- .]|$)")
+    return F.lower(path).endswith(".pdf") & ~name.rlike(rf"(?i)(?:^|[-_\s])({OTHER_LANGUAGES})(?:[-_\s.]|$)")
 
 
 def page_links(pages: DataFrame, page: str = "page_id", html: str = "html", suffix: str = "") -> DataFrame:
@@ -175,17 +181,41 @@ def first_by_url(links: DataFrame, url: str, order: list[Column], limit: int | N
     return out.orderBy(*order).limit(limit) if limit is not None else out
 
 
-REF = r"\b([A-Z]{2,6}/(?:GL|RTS|ITS|REC|Op|DC|CP)/\d{4}/\d{1,3})\b"
+#: A document reference: authority, kind, year, number.
+REF = r"\b([A-Z]{2,6}[-/](?:GL|CP|Op|OP|REP|RTS|ITS|BS|DC|DP|REC)[-/]\d{4}[-/]\d{1,3})\b"
+#: What notes say of another document, by kind of edge (fixed values).
+NOTE_VERBS = (("amends", "amend(?:ing|s)"), ("repeals", "repeal(?:ing|s)"), ("replaces", "replac(?:ing|es)"), ("supersedes", "supersed(?:ing|es)"))
+TITLE_KINDS = (("consolidates", r"(?i)\bconsolidat(?:ed|ing|es|ion)\b"), ("repeals", r"(?i)\brepeal(?:s|ed|ing)?\b"), ("supersedes", r"(?i)\bsupersed(?:es|ed|ing)\b"), ("amends", r"(?i)\bamend(?:s|ed|ing|ment)?\b"))
 
 
 def edges_from_notes(notes: DataFrame, doc: str = "document_id", text: str = "notes") -> DataFrame:
-    """(source, target, type) that a document's notes state; the last type of a pair wins."""
-    kinds = ("amends", "repeals", "replaces", "supersedes")
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text), F.lit(rf"(?i)\b{k}\s+{REF}"), F.lit(1)), lambda t, k=k, i=i: F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), F.upper(t).alias("target"))) for i, k in enumerate(kinds))))
-    each = notes.select(F.col(doc).alias("source"), F.explode(found).alias("x")).select("source", "x.*").where("target <> upper(source)")
+    """(source, target, type) that a document's notes state; the last kind of a pair wins."""
+    target = r"[A-Z]{2,6}/\w+/\d{4}/\d+"
+
+    def said(i: int, kind: str, verb: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?i)\b{verb}\b.*?({target})"), F.lit(1))
+        return F.transform(found, lambda t: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("type"), t.alias("target")))
+
+    found = F.flatten(F.array(*(said(i, k, v) for i, (k, v) in enumerate(NOTE_VERBS))))
+    each = notes.select(F.col(doc).alias("source"), F.explode_outer(found).alias("x")).select("source", "x.*").where("target IS NOT NULL AND target <> source")
     return each.groupBy("source", "target").agg(F.max_by("type", "i").alias("type"))
 
 
+def title_edge_kind(title: Column) -> Column:
+    """The kind of edge that a title implies; related_to if it says nothing."""
+    kind = F.lit("related_to")
+    for name, pattern in reversed(TITLE_KINDS):
+        kind = F.when(title.rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+def edges_from_text(documents: DataFrame, doc: str = "document_id", title: str = "title", text: str = "text") -> DataFrame:
+    """Edges to all other references in a text, typed by the title alone."""
+    refs = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(REF), F.lit(1)), lambda r: F.replace(r, F.lit("-"), F.lit("/")))
+    each = documents.select(F.col(doc).alias("source"), F.explode_outer(F.array_distinct(refs)).alias("target"), title_edge_kind(F.coalesce(F.col(title), F.lit(""))).alias("type"))
+    return each.where("target IS NOT NULL AND target <> source")
+
+
 def merge_edges(detected: DataFrame, overrides: DataFrame, enriched: DataFrame | None = None) -> DataFrame:
     """Overrides win over detected edges of the same pair and type order; enriched ones are appended as they are."""
     both = detected.withColumn("p", F.lit(1)).unionByName(overrides.withColumn("p", F.lit(0)))

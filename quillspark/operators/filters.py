@@ -11,10 +11,19 @@ from quillspark.core import all_of, any_of
 EQUALITY_FIELDS = ("document_id", "document_type", "publication_status", "applicability_status", "language")
 #: Topics that stand for title terms as well (fixed values).
 TOPIC_TERMS = {
-    "AML/CFT": ("aml", "cft", "money laundering", "terrorist financing", "customer due diligence", "beneficial owner", "risk factors", "de-risking", "compliance officer", "transfer of funds")
+    "AML/CFT": ("aml", "cft", "mltf", "ml/tf", "money laundering", "terrorist financing", "customer due diligence", "remote customer onboarding", "compliance officer", "asylum seeker"),
 }
 #: Section paths of consultation material (fixed values): patterns in lower case.
-CONSULTATION = ("%consultation%", "%feedback%", "%summary of responses%", "%respondent%", "%public hearing%", "%cost-benefit%", "guidelines", "definitions")
+CONSULTATION = (
+    "%feedback on%consultation%",
+    "%summary of responses%consultation%",
+    "%public consultation%",
+    "%analysis of responses%",
+    "guidelines",
+    "definitions",
+    "%consultation%",
+    "%feedback%",
+)
 
 
 def equalities(filters: dict[str, str | None], fields: tuple[str, ...] = EQUALITY_FIELDS) -> Column:
