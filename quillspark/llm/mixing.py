@@ -99,7 +99,7 @@ def _hypergeometric(rng: np.random.Generator, have: np.ndarray, draws: int) -> n
         rest -= n
         if draws <= 0:
             break
-        got[i] = n if rest == 0 else (rng.hypergeometric(n, rest, draws) if n else 0)
+        got[i] = draws if rest == 0 else (rng.hypergeometric(n, rest, draws) if n else 0)
         draws -= int(got[i])
     return got
 
