@@ -13,18 +13,19 @@ probability of their weighted Jaccard similarity. Points come in order of time,
 a run stops as soon as its next time is later than every register of the text.
 
 Classes: texts that are equal form one node. Nodes that share a band of registers
-are candidates; within a band's bucket each node is paired with the bucket's least
-node, which is linear in the bucket. Candidate pairs are verified with the texts
-themselves. Verified links give components; buckets that still hold several
-components are then paired across them, with different members in each band, until
-``PATIENCE`` rounds find no new link. Classes are components, named by the least node in them.
+are candidates, and buckets that share nodes form a group, so that all candidate
+pairs lie within groups. Every pair of a group is compared by the texts themselves;
+only pairs whose sizes alone rule out the threshold are left out. Links give
+components; classes are components, named by the least node in them.
 
 Scale: signatures are computed in one pass without a shuffle, and only band hashes
-are shuffled. A bucket of any size is sorted by Spark's window, not gathered.
-Verification moves the texts of paired nodes only; a node with many partners is
-split over ``SALTS`` groups. Components are found by repeated joins over links,
-written to the shared folder between rounds; neither links nor components reach
-the driver.
+are shuffled. A group is cut into blocks of at most ``BLOCK`` characters and
+``BLOCK`` / ``LEAST`` nodes in order of size; a comparison holds the texts of two
+blocks, and a text moves once for each block whose sizes are near its own, which is
+once where a group fits into a block. Overlaps of a block's pairs come from products
+of 0/1 matrices. The work is quadratic in a group, its rows in a group's blocks.
+Components are found by repeated joins over links, written to the shared folder
+between rounds; neither links nor components reach the driver.
 
 Defined results: a null text is empty; all empty texts form one class; repeated
 rows are in their text's class; an empty table gives an empty table; null ids and
@@ -43,9 +44,8 @@ from pyspark.sql import functions as F
 from quillspark.core import materialize
 
 BANDS, ROWS = 32, 5
-SALTS = 16
-#: Members of a component that others meet in a bucket, and rounds without a link that end the search.
-HEADS, PATIENCE = 3, 2
+#: Characters of a block of texts, and what a text counts at least.
+BLOCK, LEAST = 1 << 22, 1 << 13
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +132,7 @@ def _nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def band_rows(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS, batch: int = 400) -> DataFrame:
-    """(node, band hashes) for each row of ``nodes``, whose text has words."""
+    """(node, band hashes, number of runs) for each row of ``nodes``, whose text has words."""
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,66 +150,119 @@ def band_rows(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS, batch: int
                 w = np.concatenate([bags[i][1] for i in full])
                 owner = np.repeat(np.arange(len(full)), [len(bags[i][0]) for i in full])
                 keys = band_hashes(signatures(e, w, owner, len(full), m), bands, rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([int(bags[i][1].sum()) for i in full], pa.int64())], names=["node", "bands", "size"])
 
-    return nodes.mapInArrow(sign, "node long, bands array<long>")
+    return nodes.mapInArrow(sign, "node long, bands array<long>, size long")
 
 
 def _pairs_within(buckets: DataFrame) -> DataFrame:
-    """Each node with its bucket's least node, which is often the same in many bands."""
+    """Each node with its bucket's least node: a bucket's nodes are connected by these pairs."""
     least = F.min("node").over(Window.partitionBy("band"))
     return buckets.select(least.alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
 
-def _pairs_across(at: DataFrame, step: int) -> DataFrame:
-    """Pairs between the components of each bucket of (band, node, class).
+def blocks_of(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(node, of, i, j): node belongs to the comparison of blocks i <= j of a group.
 
-    A component's heads in a bucket are its ``HEADS`` members with the least hashes
-    of band, node and step, so they differ from band to band and step to step. Nodes
-    outside of the bucket's largest component meet that one's heads; first heads
-    also meet that of the next larger component. Linear in the bucket.
+    ``groups`` has node, of, size and chars. Blocks follow the order of sizes; two
+    blocks meet unless even their nearest sizes are too far apart.
     """
-    by_hash = Window.partitionBy("band", "class").orderBy(F.xxhash64("band", "node", F.lit(step)), "node")
-    size = F.count("*").over(Window.partitionBy("band", "class"))
-    heads = at.withColumn("n", size).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= HEADS)
-    order = Window.partitionBy("band").orderBy(F.desc("n"), "class", "k")
-    heads = heads.select("band", F.col("class").alias("of"), "node", "k", F.first("class").over(order).alias("main"))
-    firsts = Window.partitionBy("band").orderBy("of")
-    chain = heads.where("k = 1").select(F.col("node").alias("x"), F.lag("node").over(firsts).alias("y")).where("y IS NOT NULL")
-    mains = heads.where("of = main").select("band", "main", F.col("node").alias("head"))
-    wide = at.join(mains, "band").where("class <> main").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    return chain.unionByName(wide).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike. ``texts`` has a row (node, t) a node.
-
-    Pairs are grouped by a salted first node; its text comes once a group, ahead of
-    its partners', and groups are read as a stream.
+    cost = F.greatest("chars", F.lit(LEAST))
+    before = F.sum(cost).over(Window.partitionBy("of").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - cost
+    placed = materialize(groups.withColumn("block", F.floor(before / block).cast("int")).select("node", "of", "size", "block"), "near-placed")
+    spans = placed.groupBy("of", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    spans = spans.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi"))).alias("spans")).where(F.size("spans") > 1)
+    # similarity is at most the ratio of sizes
+    far = F.transform(
+        "spans", lambda x: F.transform(F.filter("spans", lambda y: (x["block"] <= y["block"]) & ((x["block"] == y["block"]) | (x["hi"] / y["lo"] >= threshold))), lambda y: F.struct(x["block"].alias("i"), y["block"].alias("j")))
+    )
+    meets = spans.select("of", F.explode(F.flatten(far)).alias("m")).select("of", "m.i", "m.j")
+    meets = meets.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    cut = placed.join(meets, ["of", "block"]).select("node", "of", "i", "j")
+    whole = placed.join(spans.select("of"), "of", "left_anti").select("node", "of", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return whole.unionByName(cut)
+
+
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(n, n) sizes of the intersections of bags, each (distinct runs, counts)."""
+    n = len(bags)
+    counts = np.concatenate([c for _, c in bags])
+    doc = np.repeat(np.arange(n), [len(e) for e, _ in bags])
+    _, code = np.unique(np.concatenate([e for e, _ in bags]), return_inverse=True)
+    # the k-th occurrence of a run is an element of its own, so bags become sets
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    _, code, often = np.unique(np.repeat(code, counts) * int(counts.max()) + nth, return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    doc = np.repeat(doc, counts)[order]
+    starts = np.cumsum(often) - often
+    both = np.zeros((n, n))
+    common = max(8, n // 16)
+    for k in np.unique(often[(often > 1) & (often <= common)]):
+        at = starts[often == k]
+        for lo in range(0, len(at), max(1, 2_000_000 // (k * k))):
+            who = doc[at[lo : lo + max(1, 2_000_000 // (k * k)), None] + np.arange(k)]
+            both += np.bincount((who[:, :, None] * n + who[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+    dense = np.nonzero(often > common)[0]
+    for lo in range(0, len(dense), 4096):
+        part = dense[lo : lo + 4096]
+        held = np.zeros((n, len(part)), dtype=np.float32)
+        column = np.repeat(np.arange(len(part)), often[part])
+        held[doc[np.repeat(starts[part] - np.cumsum(often[part]) + often[part], often[part]) + np.arange(len(column))], column] = 1
+        both += held @ held.T
+    np.fill_diagonal(both, [c.sum() for _, c in bags])
+    return both
+
+
+def alike(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the same bags as all pairs at ``threshold`` or more do."""
+    if len(bags) == 2:
+        return [(0, 1)] if similarity(*bags) >= threshold else []
+    both = overlaps(bags)
+    sizes = both.diagonal()
+    near = both / (sizes[:, None] + sizes[None, :] - both) >= threshold
+    links, left = [], np.ones(len(bags), dtype=bool)
+    for first in range(len(bags)):
+        if not left[first]:
+            continue
+        left[first] = False
+        ahead = [first]
+        while ahead:
+            new = np.nonzero(near[ahead.pop()] & left)[0].tolist()
+            left[new] = False
+            ahead += new
+            links += [(first, x) for x in new]
+    return links
+
+
+def compare(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) within the comparisons of ``placed`` (node, of, i, j).
+
+    ``texts`` has a row (node, t) a node. Comparisons are read as a stream; one is held.
     """
-    pairs = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int"))
-    heads = pairs.select(F.col("a").alias("node"), F.col("a"), "salt", F.lit(None).cast("long").alias("b")).distinct()
-    tails = pairs.select(F.col("b").alias("node"), "a", "salt", "b")
-    rows = heads.unionByName(tails).join(texts, "node").select("a", "salt", "b", "t")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        now, head = None, None
+        now, nodes, bags = None, [], []
+
+        def done() -> pa.RecordBatch:
+            got = alike(bags, threshold) if len(bags) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in got], pa.int64()), pa.array([nodes[y] for _, y in got], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            a_out, b_out = [], []
-            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for of, i, j, node, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (of, i, j) != now:
+                    if len(bags) > 1:
+                        yield done()
+                    now, nodes, bags = (of, i, j), [], []
                 if len(known) > 500_000:
                     known.clear()
-                bag = np.unique(runs(t.encode("utf-8", "surrogatepass").split(), known), return_counts=True)
-                if b is None:
-                    now, head = a, bag
-                elif a == now and similarity(head, bag) >= threshold:
-                    a_out.append(a)
-                    b_out.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                nodes.append(node)
+                bags.append(np.unique(runs(t.encode("utf-8", "surrogatepass").split(), known), return_counts=True))
+        if len(bags) > 1:
+            yield done()
 
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(compare, "a long, b long")
+    rows = placed.join(texts, "node").select("of", "i", "j", "node", "t")
+    return rows.repartition("of", "i", "j").sortWithinPartitions("of", "i", "j", "node").mapInArrow(links, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -232,46 +285,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, node, class): rows with one class are near duplicates, linked directly
     or through others. ``node`` names the text; ``class`` the class's least node."""
     everything = _nodes(docs, doc_id, text)
     members = materialize(everything.select("doc_id", "node"), "near-members")
     shingled = materialize(band_rows(everything.select("node", "t"), bands, rows).dropDuplicates(["node"]), "near-bands")
     buckets = shingled.select("node", F.explode("bands").alias("band"))
-    # only bands that nodes share
-    w = Window.partitionBy("band")
-    buckets = materialize(buckets.withColumn("n", F.count("*").over(w)).where("n > 1").select("band", "node"), "near-buckets")
-    wanted = buckets.select("node").distinct()
-    texts = everything.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    shared = materialize(_pairs_within(buckets), "near-shared")
+    groups = components(shared, "near-groups").withColumnRenamed("class", "of")
+    texts = everything.join(groups, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
     texts = materialize(texts, "near-texts")
-    tried = materialize(_pairs_within(buckets), "near-pairs-0")
-    links = materialize(verify(tried, texts, threshold), "near-links-0")
-    named = components(links, "near-0")
-    open_, dry = buckets, 0
-    for step in range(1, rounds):
-        # buckets within one component stay so and are left out from here on
-        at = open_.join(named, "node", "left").select("band", "node", F.coalesce("class", "node").alias("class"))
-        w = Window.partitionBy("band")
-        at = at.withColumn("lo", F.min("class").over(w)).withColumn("hi", F.max("class").over(w)).where("lo < hi")
-        at = materialize(at.select("band", "node", "class"), f"near-open-{step}")
-        pairs = materialize(_pairs_across(at, step).join(tried, ["a", "b"], "left_anti"), f"near-pairs-{step}")
-        if pairs.isEmpty():
-            break
-        links = materialize(verify(pairs, texts, threshold), f"near-links-{step}")
-        tried = tried.unionByName(pairs)
-        open_ = at.select("band", "node")
-        if links.isEmpty():
-            dry += 1
-            if dry == PATIENCE:
-                break
-            continue
-        dry = 0
-        # links of components: the new ones alone have to be followed
-        name_a = named.select(F.col("node").alias("a"), F.col("class").alias("of_a"))
-        name_b = named.select(F.col("node").alias("b"), F.col("class").alias("of_b"))
-        between = links.join(name_a, "a", "left").join(name_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-        merged = components(between.where("a <> b").distinct(), f"near-{step}").select(F.col("class").alias("into"), F.col("node").alias("class"))
-        known = named.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").withColumn("class", F.col("node")))
-        named = materialize(known.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), f"near-named-{step}")
+    sized = groups.join(shingled.select("node", "size"), "node").join(texts.select("node", F.length("t").alias("chars")), "node")
+    links = materialize(compare(blocks_of(sized, threshold, block), texts, threshold), "near-links")
+    named = components(links, "near")
     return members.join(named, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))

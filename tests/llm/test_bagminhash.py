@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from quillspark.llm.bagminhash import components, mix64, near_duplicates, runs, signatures
+from quillspark.llm.bagminhash import components, mix64, near_duplicates, overlaps, runs, signatures
 
 
 def brute(rows, least=0.8):
@@ -64,3 +64,26 @@ def test_classes(spark, odd, empty):
     got = near_duplicates(df).collect()
     assert groups([r["doc_id"] for r in got], [r["class"] for r in got]) == groups([i for i, _ in rows], brute(rows))
     assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty).count() == 0
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(0, 60 if k % 2 else 4000, 5 + k), return_counts=True) for k in range(200)]
+    bags = [(e.astype(np.uint64), c) for e, c in bags]
+    sets = [Counter(dict(zip(e.tolist(), c.tolist(), strict=True))) for e, c in bags]
+    assert overlaps(bags).tolist() == [[sum((x & y).values()) for y in sets] for x in sets]
+
+
+def test_pairs_inside_a_bucket_of_many_unlinked_texts(spark):
+    # all share boilerplate below the threshold; pairs within are alike
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        own = [f"own{k}-{x}" for x in range(40)]
+        rows.append((2 * k, " ".join(base + own)))
+        rows.append((2 * k + 1, " ".join([*base, *own[:-32], *(f"end{k}-{x}" for x in range(32))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"block": 1 << 18}):
+        got = near_duplicates(df, **more).collect()
+        assert groups([r["doc_id"] for r in got], [r["class"] for r in got]) == groups([i for i, _ in rows], brute(rows))
+        assert len({r["class"] for r in got}) == 150
