@@ -5,9 +5,9 @@ string) are reported wherever they stand. Weak kinds (identifiers, bare strings
 that could be keys, endpoints) mean little alone; a weak candidate is reported only
 if a complementary part stands within its scope, ``scope`` code points to either
 side in the same text. Scopes are joined to parts by an interval join: parts fall
-into cells of the scope's width, a candidate meets the parts of its own and the two
-neighbouring cells, and a left-semi join keeps candidates with a part in reach, so
-no pairs are made.
+into all cells of the scope's width that they touch, a candidate meets the parts of
+the cells that its scope touches, and a left-semi join keeps candidates with a part
+in reach, so no pairs are made.
 
 Positions are code points. A pattern's matches and the pieces between them come
 from the same scan (extract all, split), so starts are running sums of lengths.
@@ -95,9 +95,9 @@ def link(parts: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = 200) ->
     weak = [i for i, k in enumerate(kinds) if not k.strong]
     parts = parts.where(F.col("kind").isNotNull()).withColumn("role", roles)
     near = parts.select(
-        F.col("doc_id").alias("near_id"), F.col("digest").alias("near_digest"), F.col("role").alias("near_role"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.floor(F.col("start") / scope).alias("near_cell")
+        F.col("doc_id").alias("near_id"), F.col("digest").alias("near_digest"), F.col("role").alias("near_role"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("near_cell")
     )
-    cells = F.sequence(F.floor(F.col("start") / scope) - 2, F.floor((F.col("end") + scope) / scope))
+    cells = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     candidates = parts.where(F.col("kind").isin(*weak)).withColumn("cell", F.explode(cells))
     fits = F.lit(False)
     for role, others in COMPLEMENTS.items():

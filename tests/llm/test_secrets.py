@@ -39,5 +39,13 @@ def test_weak_parts_need_company(spark):
     assert got == {0: [], 1: ["endpoint", "assign"], 2: ["assign"], 3: ["weak_id", "weak_key"]}
 
 
+def test_long_parts_are_near_by_their_ends(spark):
+    gap = " " * 90
+    texts = ["token=" + "ab.9" * 200 + gap + "https://db.example.com/x", "https://db.example.com/x" + gap + "0f" * 500, "f0" * 900 + gap + "client_id=abcd", "token=" + "ab.9" * 200 + " " * 201 + "https://db.example.com/x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [KINDS[s["kind"]].name for s in r["spans"]] for r in find_secrets(df).collect()}
+    assert got == {0: ["assign", "endpoint"], 1: ["endpoint", "hex"], 2: ["hex", "weak_id"], 3: ["assign"]}
+
+
 def test_clashing_columns(odd):
     assert find_secrets(odd.withColumn("kind", F.lit(9)).withColumn("start", F.lit(1))).count() == odd.count()
