@@ -52,7 +52,7 @@ KINDS = (
     Kind("access", "access", r"AKIA[A-Z0-9]+", True, r"AKIA[A-Z0-9]", least=20),
     Kind("hex", "secret", r"[0-9a-f]{24,}", True, r"[0-9a-f]{24}"),
     Kind("weak_id", "access", r"(?i:client_?id|access_?key_?id|account_?id|user_?name|user)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", False, r"(?i)(?:id|user_?name|user)[\"']?\x20*[:=]"),
-    Kind("weak_key", "secret", r"(?<![A-Za-z0-9/+=_.-])(?=[A-Za-z/+]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9/+]{32,64}(?![A-Za-z0-9/+=_.-])", False, r"[A-Za-z0-9/+]{32}"),
+    Kind("weak_key", "secret", r"(?<![A-Za-z0-9/+_.-])(?=[A-Za-z/+]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9/+]{32,}+={0,2}+(?![A-Za-z0-9/+=_-]|\.[A-Za-z0-9/+=_-])", False, r"[A-Za-z0-9/+]{32}"),
     Kind("endpoint", "endpoint", r"(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://[^\x00-\x20\"'<>]+", False, "://"),
 )
 

@@ -47,5 +47,16 @@ def test_long_parts_are_near_by_their_ends(spark):
     assert got == {0: ["assign", "endpoint"], 1: ["endpoint", "hex"], 2: ["hex", "weak_id"], 3: ["assign"]}
 
 
+def test_usual_forms_of_a_secret_half(spark):
+    access, half, site = "AKIA" + "Q" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "https://db.example.com/x"
+    texts = [
+        f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={half}", f"{site} {half}abc==", f"{site} {half}ab=\n", f"{site} with {half}. Next", f"{site} " + half * 3, f"{site} key:{half}",
+        f"{site} {half}.abc", f"{site} {half}===", f"{site} {half}=abc", f"AWS_SECRET_ACCESS_KEY={half}",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if KINDS[s["kind"]].name == "weak_key"] for r in find_secrets(df).collect()}
+    assert got == {0: [half], 1: [half + "abc=="], 2: [half + "ab="], 3: [half], 4: [half * 3], 5: [half], 6: [], 7: [], 8: [], 9: []}
+
+
 def test_clashing_columns(odd):
     assert find_secrets(odd.withColumn("kind", F.lit(9)).withColumn("start", F.lit(1))).count() == odd.count()
