@@ -12,23 +12,31 @@ keeps the earliest point that hits it, and two bags agree in a register with the
 probability of their weighted Jaccard similarity. Points come in order of time, so
 a run stops as soon as its next time is later than every register of the text.
 
-Classes: texts that are equal form one node. Nodes that share a band of registers
-are candidates, and buckets that share nodes form a group, so that all candidate
-pairs lie within groups. Every pair of a group is compared by the texts themselves;
-only pairs whose sizes alone rule out the threshold are left out. Links give
-components; classes are components, named by the least node in them.
+Classes: texts that are equal form one node; so do all texts without words. Nodes
+that share a band of registers are candidates, and buckets that share nodes form a
+group, so that all candidate pairs lie within groups. Candidates are compared by the
+texts themselves. A group is cut into blocks, of ``BLOCK`` characters as a rule:
+
+1. Each block is compared within itself and with ``PIVOTS`` members of its group.
+   A group of one block, as nearly all are, is done then. Links give components.
+2. In a larger group the members outside its largest component, in blocks of their
+   own, meet every other block whose sizes don't rule the threshold out. Pairs inside
+   the largest component are never sought, since they can't change a class.
+
+Every candidate pair between components is therefore compared; nothing is capped or
+sampled. Classes are components of all links, named by the least node in them.
 
 Scale: signatures are computed in one pass without a shuffle, and only band hashes
-are shuffled. A group is cut into blocks of at most ``BLOCK`` characters and
-``BLOCK`` / ``LEAST`` nodes in order of size; a comparison holds the texts of two
-blocks, and a text moves once for each block whose sizes are near its own, which is
-once where a group fits into a block. Overlaps of a block's pairs come from products
-of 0/1 matrices. The work is quadratic in a group, its rows in a group's blocks.
-Components are found by repeated joins over links, written to the shared folder
-between rounds; neither links nor components reach the driver.
-
-Defined results: a null text is empty; all empty texts form one class; repeated
-rows are in their text's class; an empty table gives an empty table; null ids and
+are shuffled; a band's least node comes from an aggregate with a combiner. Nodes have
+numbers given to distinct 128-bit digests of texts. Blocks come from sizes and hashed
+numbers, so neither a window nor a task holds a whole group; a comparison holds the
+texts of two blocks. A group of copies costs its length, once; the second step costs
+the members left over times the group, in rows that number of blocks. Components are
+found by repeated joins over links, written to the shared folder between rounds;
+neither links nor components reach the driver.
+
+Defined results: a null text is empty; all texts without words form one class;
+repeated rows are in their text's class; an empty table gives an empty table; null ids and
 other columns don't matter.
 """
 
@@ -38,7 +46,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize
@@ -46,6 +55,8 @@ from quillspark.core import materialize
 BANDS, ROWS = 32, 5
 #: Characters of a block of texts, and what a text counts at least.
 BLOCK, LEAST = 1 << 22, 1 << 13
+#: Members of a large group that each of its blocks is compared with at first.
+PIVOTS = 8
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,62 +136,99 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / every if every else 1.0
 
 
-def _nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, t): ``node`` is a 64-bit name of the text."""
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, name, t): ``name`` is the digest of the text, of the empty one if it has no words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t, F.md5(F.encode(t, "UTF-8"))).alias("node"), t.alias("t"))
+    return docs.select(F.col(doc_id).alias("doc_id"), t.alias("t")).select("doc_id", F.unhex(F.md5(F.encode(F.when(F.col("t").rlike(r"[^\x20\x09-\x0D]"), F.col("t")).otherwise(""), "UTF-8"))).alias("name"), "t")
+
 
+def _slices(batch: pa.RecordBatch, column: int, rows: int = 400, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ``rows`` rows whose texts take ``size`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right"))
+        hi = min(max(hi, lo + 1), lo + rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
-def band_rows(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS, batch: int = 400) -> DataFrame:
-    """(node, band hashes, number of runs) for each row of ``nodes``, whose text has words."""
+
+def band_rows(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(name, bands, size, chars) for each row (name, t) of ``texts``: band hashes, none
+    without words; the number of runs; the text's length."""
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for whole in batches:
-            for lo in range(0, whole.num_rows, batch):
-                b = whole.slice(lo, batch)
+            for b in _slices(whole, 1):
                 if len(known) > 500_000:
                     known.clear()
                 bags = [np.unique(runs(x.encode("utf-8", "surrogatepass").split(), known), return_counts=True) for x in b.column(1).to_pylist()]
                 full = [i for i, x in enumerate(bags) if len(x[0])]
-                if not full:
-                    continue
-                e = np.concatenate([bags[i][0] for i in full])
-                w = np.concatenate([bags[i][1] for i in full])
-                owner = np.repeat(np.arange(len(full)), [len(bags[i][0]) for i in full])
-                keys = band_hashes(signatures(e, w, owner, len(full), m), bands, rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(full)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([int(bags[i][1].sum()) for i in full], pa.int64())], names=["node", "bands", "size"])
+                keys: list = [[] for _ in bags]
+                if full:
+                    e = np.concatenate([bags[i][0] for i in full])
+                    w = np.concatenate([bags[i][1] for i in full])
+                    owner = np.repeat(np.arange(len(full)), [len(bags[i][0]) for i in full])
+                    for i, k in zip(full, band_hashes(signatures(e, w, owner, len(full), m), bands, rows), strict=True):
+                        keys[i] = k
+                chars = pc.utf8_length(b.column(1)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([int(x[1].sum()) for x in bags], pa.int64()), chars], names=["name", "bands", "size", "chars"])
 
-    return nodes.mapInArrow(sign, "node long, bands array<long>, size long")
+    return texts.mapInArrow(sign, "name binary, bands array<long>, size long, chars long")
 
 
 def _pairs_within(buckets: DataFrame) -> DataFrame:
     """Each node with its bucket's least node: a bucket's nodes are connected by these pairs."""
-    least = F.min("node").over(Window.partitionBy("band"))
-    return buckets.select(least.alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    least = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
+    return buckets.withColumnRenamed("node", "b").join(least, "band").where("a < b").select("a", "b").distinct()
 
 
-def blocks_of(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(node, of, i, j): node belongs to the comparison of blocks i <= j of a group.
+def _blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Adds ``block`` to (node, size, chars, columns ``by``).
 
-    ``groups`` has node, of, size and chars. Blocks follow the order of sizes; two
-    blocks meet unless even their nearest sizes are too far apart.
+    Members that fit together into a block form block (0, 0). Others are split by
+    size in steps of a tenth, and a step by its members' numbers.
     """
     cost = F.greatest("chars", F.lit(LEAST))
-    before = F.sum(cost).over(Window.partitionBy("of").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - cost
-    placed = materialize(groups.withColumn("block", F.floor(before / block).cast("int")).select("node", "of", "size", "block"), "near-placed")
+    step = F.floor(F.log(1.1, F.col("size").cast("double"))).cast("int")
+    whole = members.groupBy(*by).agg(F.sum(cost).alias("cost")).withColumn("large", F.col("cost") > block).select(*by, "large")
+    # number of a step's blocks; members that fit are one step
+    placed = members.join(whole, by).withColumn("step", F.when(F.col("large"), step).otherwise(0))
+    many = placed.groupBy(*by, "step").agg(F.ceil(F.sum(cost) / block).alias("many"))
+    at = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(0).cast("int")
+    return placed.join(many, [*by, "step"]).withColumn("block", F.struct("step", at.alias("at"))).drop("many", "step")
+
+
+def first_comparisons(placed: DataFrame) -> DataFrame:
+    """(node, of, i, j): each block of a group with itself and the group's pivots.
+
+    ``placed`` has node, of, block and large. Pivots are the nodes with the least hashes.
+    """
+    own = placed.select("node", "of", F.col("block").alias("i"), F.col("block").alias("j"))
+    large = placed.where("large")
+    least = large.groupBy("of").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)))
+    pivots = least.select("of", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("node"))
+    met = large.select("of", "block").distinct().join(pivots, "of").select("node", "of", F.col("block").alias("i"), F.col("block").alias("j"))
+    return own.unionByName(met).distinct()
+
+
+def further_comparisons(large: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, of, i, j) for groups of more than a block: those outside the group's largest
+    component against all, where sizes allow it. ``large`` has node, of, size and chars."""
+    named = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    # the component with most nodes, the least of those
+    most = named.groupBy("of", "class").count().groupBy("of").agg(F.max(F.struct("count", (-F.col("class")).alias("c")))["c"].alias("c"), F.count("*").alias("classes"))
+    opened = named.join(most.where("classes > 1"), "of").withColumn("rest", (F.col("class") != -F.col("c")).cast("int"))
+    placed = materialize(_blocks(opened.select("node", "of", "size", "chars", "rest"), ["of", "rest"], block).withColumn("block", F.struct("rest", "block.step", "block.at")).select("node", "of", "size", "block"), "near-placed")
     spans = placed.groupBy("of", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    spans = spans.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi"))).alias("spans")).where(F.size("spans") > 1)
+    x = spans.select("of", F.col("block").alias("i"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+    y = spans.where("block.rest = 1").select("of", F.col("block").alias("j"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
     # similarity is at most the ratio of sizes
-    far = F.transform(
-        "spans", lambda x: F.transform(F.filter("spans", lambda y: (x["block"] <= y["block"]) & ((x["block"] == y["block"]) | (x["hi"] / y["lo"] >= threshold))), lambda y: F.struct(x["block"].alias("i"), y["block"].alias("j")))
-    )
-    meets = spans.select("of", F.explode(F.flatten(far)).alias("m")).select("of", "m.i", "m.j")
-    meets = meets.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    cut = placed.join(meets, ["of", "block"]).select("node", "of", "i", "j")
-    whole = placed.join(spans.select("of"), "of", "left_anti").select("node", "of", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    return whole.unionByName(cut)
+    reach = (F.col("i") <= F.col("j")) & (F.col("xlo") * threshold <= F.col("yhi")) & (F.col("ylo") * threshold <= F.col("xhi"))
+    meets = x.join(y, "of").where(reach).select("of", "i", "j").withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return placed.join(meets, ["of", "block"]).select("node", "of", "i", "j")
 
 
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -248,21 +296,24 @@ def compare(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             got = alike(bags, threshold) if len(bags) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in got], pa.int64()), pa.array([nodes[y] for _, y in got], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for of, i, j, node, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if (of, i, j) != now:
-                    if len(bags) > 1:
-                        yield done()
-                    now, nodes, bags = (of, i, j), [], []
-                if len(known) > 500_000:
-                    known.clear()
-                nodes.append(node)
-                bags.append(np.unique(runs(t.encode("utf-8", "surrogatepass").split(), known), return_counts=True))
+        for whole in batches:
+            for batch in _slices(whole, 2):
+                for key, node, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if key != now:
+                        if len(bags) > 1:
+                            yield done()
+                        now, nodes, bags = key, [], []
+                    if len(known) > 500_000:
+                        known.clear()
+                    nodes.append(node)
+                    bags.append(np.unique(runs(t.encode("utf-8", "surrogatepass").split(), known), return_counts=True))
         if len(bags) > 1:
             yield done()
 
-    rows = placed.join(texts, "node").select("of", "i", "j", "node", "t")
-    return rows.repartition("of", "i", "j").sortWithinPartitions("of", "i", "j", "node").mapInArrow(links, "a long, b long")
+    # comparisons of one node need no texts
+    rows = placed.select("node", F.to_json(F.struct("of", "i", "j")).alias("key"))
+    rows = rows.join(texts, "node").select("key", "node", "t")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(links, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -287,16 +338,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, node, class): rows with one class are near duplicates, linked directly
-    or through others. ``node`` names the text; ``class`` the class's least node."""
-    everything = _nodes(docs, doc_id, text)
-    members = materialize(everything.select("doc_id", "node"), "near-members")
-    shingled = materialize(band_rows(everything.select("node", "t"), bands, rows).dropDuplicates(["node"]), "near-bands")
-    buckets = shingled.select("node", F.explode("bands").alias("band"))
-    shared = materialize(_pairs_within(buckets), "near-shared")
+    or through others. ``node`` numbers the text; ``class`` is the class's least node."""
+    everything = _named(docs, doc_id, text)
+    signed = band_rows(everything.select("name", "t"), bands, rows).dropDuplicates(["name"])
+    # written, so that numbers stay what they are
+    shingled = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "near-bands")
+    numbers = shingled.select("name", "node")
+    shared = materialize(_pairs_within(shingled.select("node", F.explode("bands").alias("band"))), "near-shared")
     groups = components(shared, "near-groups").withColumnRenamed("class", "of")
-    texts = everything.join(groups, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    wanted = shingled.join(groups, "node").select("node", "name", "of", "size", "chars")
+    wanted = materialize(wanted, "near-wanted")
+    texts = everything.select("name", "t").join(wanted.select("name", "node"), "name").groupBy("node").agg(F.min("t").alias("t"))
     texts = materialize(texts, "near-texts")
-    sized = groups.join(shingled.select("node", "size"), "node").join(texts.select("node", F.length("t").alias("chars")), "node")
-    links = materialize(compare(blocks_of(sized, threshold, block), texts, threshold), "near-links")
+    placed = materialize(_blocks(wanted.drop("name"), ["of"], block), "near-blocks")
+    links = materialize(compare(first_comparisons(placed), texts, threshold), "near-links")
     named = components(links, "near")
+    large = placed.where("large").select("node", "of", "size", "chars")
+    if not large.isEmpty():
+        further = materialize(compare(further_comparisons(large, named, threshold, block), texts, threshold), "near-further")
+        named = components(links.unionByName(further), "near-all")
+    members = everything.select("doc_id", "name").join(numbers, "name")
     return members.join(named, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))
