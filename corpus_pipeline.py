@@ -2,13 +2,19 @@
 passages, source mixture, token records.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. Stages
-find rows by the key (doc_id, digest of the text, lang, source); rows with equal
-keys are equal. Null ids, texts, languages and sources are values like others.
+find rows by a key of all columns, so rows with equal keys are equal.
+
+Defined results: nulls are values like others; an empty or null text fails the
+quality rules; repeated rows fare alike in every stage, one of them stays in the
+second, and the fourth may take a row more than once; of near duplicates the least
+id stays, then the least key; ids that aren't whole numbers are null in the last
+stage; an empty table gives an empty table; columns beyond those of ``documents``
+are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
@@ -23,7 +29,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit(""))
 
     digest = F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit(""))
-    key = F.concat_ws("\x00", text("doc_id"), digest, text("lang"), text("source"))
+    key = F.concat_ws("\x00", text("doc_id"), digest, text("lang"), text("source"), text("n_chars"))
     return docs.select(*COLUMNS).withColumn("row_key", F.sha2(key, 256))
 
 
@@ -42,8 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select(F.struct("doc_id", "row_key").alias("id"), "text")
     classes = bagminhash.near_duplicates(ids, doc_id="id")
     kept = classes.groupBy("class").agg(F.min("doc_id").alias("id")).select(F.col("id.row_key").alias("row_key"))
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("n_chars"))
-    return rows.join(kept, "row_key").withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
+    return rows.join(kept, "row_key").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +60,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mixture takes them."""
+    """Rows as often as the mixture takes them, in the order of its shards and places."""
     rows = _keyed(docs)
     draws, _ = mixing.mix(rows, doc_id="row_key")
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("n_chars"))
-    once = rows.withColumn("nth", nth).where("nth = 1")
-    return once.join(draws.select(F.col("doc_id").alias("row_key")), "row_key").select(*COLUMNS)
+    drawn = draws.select(F.col("doc_id").alias("row_key"), "shard", "place")
+    taken = rows.dropDuplicates(["row_key"]).join(drawn, "row_key")
+    return taken.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
