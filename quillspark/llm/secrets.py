@@ -10,7 +10,8 @@ the cells that its scope touches, and a left-semi join keeps candidates with a p
 in reach, so no pairs are made.
 
 Positions are code points. A pattern's matches and the pieces between them come
-from the same scan (extract all, split), so starts are running sums of lengths.
+from the same scan (extract all, split), so starts are running sums of lengths, taken
+in runs: a text with many thousands of matches costs little more than its length.
 
 Scale: texts are read once and never shuffled; spans go to the shared folder as
 small rows, with one row for each text. Rows of a text are keyed by its id and
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize
+from quillspark.llm.arrays import bound, running_sums
 
 
 @dataclass(frozen=True)
@@ -67,16 +69,18 @@ def spans_of(text: Column, kind: Kind, ordinal: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
     between = F.split(text, kind.pattern, -1)
-    parts = F.arrays_zip(F.transform(whole, F.length).alias("m"), F.transform(counted, F.length).alias("c"), F.slice(F.transform(between, F.length), F.lit(1), F.size(whole)).alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(done: Column, x: Column) -> Column:
-        first = done["at"] + x["b"]
-        end = first + x["m"]
-        span = F.struct(F.lit(ordinal).alias("kind"), first.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["c"] >= kind.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+    def long(x: Column) -> Column:
+        return F.length(x).cast("long")
 
-    found = F.aggregate(parts, start, step, lambda done: done["spans"])
+    def placed(parts: Column) -> Column:
+        ahead = running_sums(F.transform(parts, lambda x: x["b"] + x["m"]))
+        spans = F.zip_with(parts, ahead, lambda x, at: F.struct(F.lit(ordinal).alias("kind"), (at + x["b"]).alias("start"), (at + x["b"] + x["m"]).alias("end"), x["c"].alias("c")))
+        return F.transform(F.filter(spans, lambda s: s["c"] >= kind.least), lambda s: F.struct(s["kind"], s["start"], s["end"]))
+
+    # the last piece follows the last match
+    parts = F.arrays_zip(F.transform(whole, long).alias("m"), F.transform(counted, long).alias("c"), F.slice(F.transform(between, long), F.lit(1), F.size(whole)).alias("b"))
+    found = bound(parts, placed)
     return F.when(text.rlike(kind.hint), found).otherwise(F.array().cast(SPAN))
 
 

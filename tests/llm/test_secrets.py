@@ -60,3 +60,9 @@ def test_usual_forms_of_a_secret_half(spark):
 
 def test_clashing_columns(odd):
     assert find_secrets(odd.withColumn("kind", F.lit(9)).withColumn("start", F.lit(1))).count() == odd.count()
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join("%024x" % k if k % 3 else "%010x" % k for k in range(30_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert spans(find_secrets(df, tuple(k for k in KINDS if k.strong))) == Counter([(1, tuple(brute(text)))])
