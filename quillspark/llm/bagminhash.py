@@ -50,13 +50,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.core import materialize
+from quillspark.core import materialize, small_enough
 
 BANDS, ROWS = 32, 5
 #: Characters of a block of texts, and what a text counts at least.
 BLOCK, LEAST = 1 << 22, 1 << 13
 #: Members of a large group that each of its blocks is compared with at first.
 PIVOTS = 8
+#: Bytes of files of the names that are sent to all tasks; more meet their texts in a shuffle.
+SENT = 64 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -348,7 +350,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     groups = components(shared, "near-groups").withColumnRenamed("class", "of")
     wanted = shingled.join(groups, "node").select("node", "name", "of", "size", "chars")
     wanted = materialize(wanted, "near-wanted")
-    texts = everything.select("name", "t").join(wanted.select("name", "node"), "name").groupBy("node").agg(F.min("t").alias("t"))
+    names = wanted.select("name", "node")
+    # texts move only if there are too many names to send
+    names = F.broadcast(names) if small_enough(docs.sparkSession, names, SENT) else names
+    texts = everything.select("name", "t").join(names, "name").groupBy("node").agg(F.min("t").alias("t"))
     texts = materialize(texts, "near-texts")
     placed = materialize(_blocks(wanted.drop("name"), ["of"], block), "near-blocks")
     links = materialize(compare(first_comparisons(placed), texts, threshold), "near-links")
@@ -358,4 +363,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         further = materialize(compare(further_comparisons(large, named, threshold, block), texts, threshold), "near-further")
         named = components(links.unionByName(further), "near-all")
     members = everything.select("doc_id", "name").join(numbers, "name")
-    return members.join(named, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))
+    return materialize(members.join(named, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class")), "near-classes")

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.core import table
+from quillspark.core import materialize, table
 from quillspark.llm import bagminhash, chat, ctxmix, decontam, licenses, mixing, quality, records, secrets, suffix_dedup
 
 
@@ -138,7 +138,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
     # a class goes by the least doc_id in it
-    names = got.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    names = materialize(got.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "near-names")
     return got.join(names, "class").select("doc_id", "class_id", "class_size")
 
 
