@@ -75,7 +75,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    back = chat.parse_formatted(chat.format_conversations(rows.unionByName(extra)))
+    typed = rows.unionByName(extra).withColumn("parts", chat.text_part(F.col("text")))
+    back = chat.parse_formatted(chat.format_conversations(typed, parts="parts"))
     # each turn gives role, line feed, text, line feed
     shown = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
     return back.select(
@@ -86,6 +87,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         F.size("attachments").cast("long").alias("n_attachments"),
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
     )
 
 
@@ -109,7 +111,7 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(23 + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars,
-  0::BIGINT AS n_attachments
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens -- the table's parts are all texts
 FROM said GROUP BY conv_id
 """
 

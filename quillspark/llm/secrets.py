@@ -54,7 +54,7 @@ KINDS = (
     Kind("access", "access", r"AKIA[A-Z0-9]+", True, r"AKIA[A-Z0-9]", least=20),
     Kind("hex", "secret", r"[0-9a-f]{24,}", True, r"[0-9a-f]{24}"),
     Kind("weak_id", "access", r"(?i:client_?id|access_?key_?id|account_?id|user_?name|user)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}", False, r"(?i)(?:id|user_?name|user)[\"']?\x20*[:=]"),
-    Kind("weak_key", "secret", r"(?<![A-Za-z0-9/+_.-])(?=[A-Za-z/+]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9/+]{32,}+={0,2}+(?![A-Za-z0-9/+=_-]|\.[A-Za-z0-9/+=_-])", False, r"[A-Za-z0-9/+]{32}"),
+    Kind("weak_key", "secret", r"(?<![A-Za-z0-9/+_.-])(?=[A-Za-z/+]*[0-9])(?=[a-z0-9/+]*[A-Z])[A-Za-z0-9/+]{32,}+={0,2}+(?![A-Za-z0-9/+=_-]|\.[A-Za-z0-9/+=_-])", False, r"[A-Za-z0-9/+]{32}"),
     Kind("endpoint", "endpoint", r"(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://[^\x00-\x20\"'<>]+", False, "://"),
 )
 
@@ -89,7 +89,8 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, doc_id: str = "doc_id
     ``docs`` one with a null kind."""
     t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))), *(spans_of(F.col("t"), k, i) for i, k in enumerate(kinds)))
-    rows = t.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("digest"), F.explode_outer(found).alias("s"))
+    # the digest comes before the explosion, else it would be computed for each span
+    rows = t.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("digest"), found.alias("found")).select("doc_id", "digest", F.explode_outer("found").alias("s"))
     return materialize(rows.select("doc_id", "digest", "s.*"), "secret-spans")
 
 

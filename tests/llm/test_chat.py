@@ -28,3 +28,22 @@ def test_parts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert parse_formatted(format_conversations(df)).count() == 0
+
+
+def test_kinds_and_placeholders_are_told_apart(spark):
+    said = [("text", "<|image:0|>", None, None, None, None, None), ("IMAGE", None, "i.png", 28, 15, None, None), ("end|>x<", None, "e", None, None, None, None), ("text", "", None, None, None, None, None), ("text", "a", None, None, None, None, None), ("text", "<|part|>b", None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", said), (1, 1, "user", [said[0]])], f"conv_id long, turn long, role string, parts array<{PART}>")
+    r = parse_formatted(format_conversations(df, parts="parts")).collect()[0]
+    first, second = r["turns"]
+    assert [tuple(p) for p in first["parts"]] == [("text", "<|image:0|>", None), ("image", None, 0), ("other", None, 1), ("text", "a", None), ("text", "<|part|>b", None)]
+    assert [tuple(p) for p in second["parts"]] == [("text", "<|image:0|>", None)]
+    assert first["text"] == r["loss_text"] == "<|image:0|>a<|part|>b"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("IMAGE", "i.png", 4), ("end|>x<", "e", 1)]
+
+
+def test_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} <s>") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = parse_formatted(format_conversations(df)).collect()[0]
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[2], x[3]) for x in rows]
+    assert r["loss_text"] == "".join(x[3] for x in rows if x[2] == "assistant")
