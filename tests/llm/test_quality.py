@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from quillspark.llm.quality import quality_verdicts, text_statistics
+from quillspark.llm.quality import FLOORS, P, QualityConfig, least_determinants, quality_verdicts, text_statistics
 
 
 def brute(text):
@@ -46,3 +46,46 @@ def test_odd_rows(odd, empty):
     assert len(got) == odd.count()
     assert all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 20)
     assert quality_verdicts(empty).count() == 0
+
+
+def numpy_mcd(x, coverage, starts=300):
+    """Least log determinant over many random starts, with the operator's floors."""
+    rng, floors, h = np.random.default_rng(0), np.diag(np.square(FLOORS)), int(np.ceil(len(x) * coverage))
+    best = np.inf
+    for _ in range(starts):
+        keep = rng.choice(len(x), P + 1, replace=False)
+        for _ in range(12):
+            c, v = x[keep].mean(axis=0), np.cov(x[keep].T, bias=True) / coverage + floors
+            keep = np.argsort(np.einsum("ni,ij,nj->n", x - c, np.linalg.inv(v), x - c))[:h]
+        best = min(best, np.linalg.slogdet(np.cov(x[keep].T, bias=True) / coverage + floors)[1])
+    return best
+
+
+def test_determinants_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    rows, groups = [], {}
+    for g, (n, bad) in enumerate(((12, 2), (80, 16), (300, 40))):
+        a = rng.normal(size=(P, P)) * 0.4
+        x = rng.normal(size=(n, P)) @ a + g
+        x[:bad] = rng.normal(size=(bad, P)) * 0.1 + 6
+        groups[f"s{g}"] = x
+        rows += [("en", f"s{g}", *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"f{i} double" for i in range(P)))
+    cfg = QualityConfig(steps=8)
+    got = {r["source"]: r for r in least_determinants(df, cfg).where("level = 2").collect()}
+    for g, x in groups.items():
+        # cells keep slightly more rows than the share, so the determinant may be a little larger
+        assert got[g]["logdet"] < numpy_mcd(x, cfg.coverage) + 0.35
+        assert abs(np.array(got[g]["centre"]) - int(g[1:])).max() < 1
+
+
+def test_a_small_source_has_its_own_estimate(spark):
+    rng = np.random.default_rng(9)
+
+    def text(length, n=60):
+        return " ".join("abcdefghijklmnop"[:length] + str(int(k)) for k in rng.integers(0, 900, n))
+
+    rows = [(i, text(3), "en", "a") for i in range(300)] + [(1000 + i, text(9), "en", "b") for i in range(25)]
+    got = {r["doc_id"]: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None for r in got.values())
+    assert all(got[i]["kept"] for i in range(300)) and all(got[1000 + i]["kept"] for i in range(25))
