@@ -14,9 +14,10 @@ the same bytes. Files are opened with ``pyarrow.fs``, so the folder can be any
 store that pyarrow knows and all executors share.
 
 Defined results: a null text is empty and gives the end id alone; rows that share
-a key are ordered by text and each is a record; a null key sorts first and is
-written as the smallest 64-bit number; an empty table gives no files; other columns
-are ignored, whatever their names.
+a key are ordered by digest, then text, and each is a record; a key that is null or no
+whole number counts as null and sorts first; special strings in a text become the
+tokenizer's special ids, as its encode() has it; an empty table gives no files; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from quillspark.core import fresh_path
 
-NULL_KEY = -(2**63)
+#: Added to the width where the key is null.
+NULL_KEY = 128
+#: Bytes of texts for a file: the larger, the more of its pieces have been encoded before.
+FILE_BYTES = 48 << 20
 MASK_DELTA = 0xA282EAD8
 #: An entry of the offset index.
-INDEX = np.dtype([("offset", "<u8"), ("key", "<i8"), ("ids", "<u8")])
+INDEX = np.dtype([("offset", "<u8"), ("key", "<i8"), ("ids", "<u8"), ("ahead", "<u8")])
 
 
 def masked(data: bytes) -> int:
@@ -60,7 +64,7 @@ class WordwiseEncoder:
     cuts, and each piece can be encoded alone and its ids kept. A piece of letters
     only, with its space in front, is one pre-token and goes straight to the model;
     closing punctuation after letters is a pre-token of its own. All other pieces, and
-    texts with adjoining white space as a whole, take the tokenizer's own way. The
+    texts with adjoining white space or a special string as a whole, take the tokenizer's own way. The
     cache is emptied when it holds ``keep`` pieces.
     """
 
@@ -72,7 +76,7 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
         self.wide = self.tok.get_vocab_size(with_added_tokens=True) > 65536
         self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
         self.keep = keep
@@ -105,7 +109,7 @@ class WordwiseEncoder:
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)])
 
     def pieces(self, text: str) -> list[str]:
-        if "\x00" in text or self.adjoining.search(text):
+        if "\x00" in text or self.adjoining.search(text) or self.special.search(text):
             return [text]
         cut = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         return [p for p in cut if p]
@@ -136,13 +140,13 @@ class WordwiseEncoder:
         return ids, counts
 
 
-def frame(key: int, ids: np.ndarray) -> bytes:
-    payload = struct.pack("<qB", key, ids.dtype.itemsize) + ids.tobytes()
+def frame(key: int | None, ids: np.ndarray) -> bytes:
+    payload = struct.pack("<qB", key or 0, ids.dtype.itemsize + NULL_KEY * (key is None)) + ids.tobytes()
     size = struct.pack("<Q", len(payload))
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
 
 
-def unframe(buf: bytes, at: int) -> tuple[int, np.ndarray]:
+def unframe(buf: bytes, at: int) -> tuple[int | None, np.ndarray]:
     """Key and ids of the record at an offset; raises ValueError on a wrong checksum."""
     size, told = struct.unpack_from("<QI", buf, at)
     if masked(buf[at : at + 8]) != told:
@@ -151,6 +155,8 @@ def unframe(buf: bytes, at: int) -> tuple[int, np.ndarray]:
     if masked(buf[at + 12 : end]) != struct.unpack_from("<I", buf, end)[0]:
         raise ValueError(f"the payload at {at} has a wrong checksum")
     key, width = struct.unpack_from("<qB", buf, at + 12)
+    if width >= NULL_KEY:
+        key, width = None, width - NULL_KEY
     return key, np.frombuffer(buf, dtype="<u4" if width == 4 else "<u2", count=(size - 9) // width, offset=at + 21)
 
 
@@ -163,13 +169,14 @@ def _fs(folder: str):
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", files: int | None = None, batch_chars: int = 2_000_000) -> DataFrame:
     """Writes the files; a row for each: file (its rank), records, ids, bytes.
 
-    ``files`` is the number of ranges; by default one for three shuffle partitions,
-    since the larger a range, the more of its pieces have been encoded before.
+    ``files`` is the number of ranges; by default one for ``FILE_BYTES`` of texts.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    files = files or max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) / 3))
-    ranged = rows.repartitionByRange(files, "k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(doc_id).try_cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if files is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        files = max(1, -(-size // FILE_BYTES))
+    rows = rows.select("k", "t", F.xxhash64("t").alias("h"))
+    ranged = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -189,11 +196,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             if out is None:
                 enc, out = WordwiseEncoder(tokenizer_path), store.open_output_stream(f"{tried}.rec")
             ids, counts = enc.encode(texts, end_id)
-            records = [frame(k, x) for k, x in zip(keys.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+            records = [frame(k, x) for k, x in zip(keys, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
             out.write(b"".join(records))
             sizes = np.array([len(x) for x in records])
             entry = np.zeros(len(keys), dtype=INDEX)
-            entry["offset"], entry["key"], entry["ids"] = np.cumsum(sizes) - sizes + total, keys, counts
+            entry["offset"], entry["key"], entry["ids"] = np.cumsum(sizes) - sizes + total, [k or 0 for k in keys], counts
+            entry["ahead"] = np.cumsum(counts) - counts + n_ids
             index.append(entry)
             total += int(sizes.sum())
             n_ids += int(counts.sum())
@@ -210,24 +218,25 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return ranged.mapInArrow(write, "file int, records long, ids long, bytes long")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
     """Runs of rows with about ``chars`` characters."""
-    keys: list[int] = []
+    keys: list[int | None] = []
     texts: list[str] = []
     held = 0
-    for b in batches:
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            keys.append(k)
-            texts.append(t)
-            held += len(t)
-            if held >= chars:
-                yield np.array(keys, dtype=np.int64), texts
-                keys, texts, held = [], [], 0
+    for whole in batches:
+        for b in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                texts.append(t)
+                held += len(t)
+                if held >= chars:
+                    yield keys, texts
+                    keys, texts, held = [], [], 0
     if keys:
-        yield np.array(keys, dtype=np.int64), texts
+        yield keys, texts
 
 
-def read_index(spark: SparkSession, folder: str, written: DataFrame, records_a_task: int = 20_000) -> DataFrame:
+def read_index(spark: SparkSession, folder: str, written: DataFrame, records_a_task: int = 10_000) -> DataFrame:
     """Pieces of the files for readers: file, first record, number of records, ids before the file."""
     before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = written.withColumn("ids_before", before)  # a row a file
@@ -248,11 +257,12 @@ def read_records(pieces: DataFrame, folder: str, tasks: int) -> DataFrame:
             for file, first, n, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 name = f"{root}/part-{file:06d}"
                 with store.open_input_file(f"{name}.idx") as f:
-                    idx = np.frombuffer(f.read(), dtype=INDEX)
-                starts = before + np.concatenate([[0], np.cumsum(idx["ids"].astype(np.int64))])[:-1]
-                part = idx[first : first + n]
+                    # one entry more tells where the piece ends
+                    f.seek(first * INDEX.itemsize)
+                    part = np.frombuffer(f.read((n + 1) * INDEX.itemsize), dtype=INDEX)
                 with store.open_input_file(f"{name}.rec") as f:
-                    end = int(idx["offset"][first + n]) if first + n < len(idx) else f.size()
+                    end = int(part["offset"][n]) if len(part) > n else f.size()
+                    part = part[:n]
                     lo = int(part["offset"][0])
                     f.seek(lo)
                     buf = f.read(end - lo)
@@ -260,7 +270,7 @@ def read_records(pieces: DataFrame, folder: str, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": pa.array(keys, pa.int64()),
-                        "start": pa.array(starts[first : first + n], pa.int64()),
+                        "start": pa.array(part["ahead"].astype(np.int64) + before, pa.int64()),
                         "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                     }
@@ -280,4 +290,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_
     folder = folder or fresh_path(spark, "records")
     written = materialize(write_records(docs, folder, tokenizer_path, end_id, doc_id, text), "records-files")
     back = read_records(read_index(spark, folder, written), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return back.select(F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
