@@ -61,7 +61,7 @@ def small_enough(spark: SparkSession, df: DataFrame, limit_bytes: int) -> bool:
     callers keep ``limit_bytes`` well below what an executor could hold.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+    return int(str(size)) <= limit_bytes
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

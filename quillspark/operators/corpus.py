@@ -182,10 +182,14 @@ def first_by_url(links: DataFrame, url: str, order: list[Column], limit: int | N
 
 
 #: A document reference: authority, kind, year, number.
-REF = r"\b([A-Z]{2,6}[-/](?:GL|CP|Op|OP|REP|RTS|ITS|BS|DC|DP|REC)[-/]\d{4}[-/]\d{1,3})\b"
+REF = r"(?i)\b([A-Z]{2,6}[-/](?:GL|CP|Op|OP|REP|RTS|ITS|BS|DC|DP|REC|Rec)[-/]\d{4}[-/]\d{1,4})\b"
 #: What notes say of another document, by kind of edge (fixed values).
 NOTE_VERBS = (("amends", "amend(?:ing|s)"), ("repeals", "repeal(?:ing|s)"), ("replaces", "replac(?:ing|es)"), ("supersedes", "supersed(?:ing|es)"))
-TITLE_KINDS = (("consolidates", r"(?i)\bconsolidat(?:ed|ing|es|ion)\b"), ("repeals", r"(?i)\brepeal(?:s|ed|ing)?\b"), ("supersedes", r"(?i)\bsupersed(?:es|ed|ing)\b"), ("amends", r"(?i)\bamend(?:s|ed|ing|ment)?\b"))
+#: Kinds that a title implies, the first that fits (fixed values).
+TITLE_KINDS = (
+    ("consolidates", r"(?i)\bconsolidat(?:es|ing|ed)\b"), ("repeals", r"(?i)\brepeal(?:s|ing|ed)\b"),
+    ("supersedes", r"(?i)\b(?:supersed(?:es|ing|ed)|replac(?:es|ing|ed))\b"), ("amends", r"(?i)\bamend(?:s|ing|ed)\b"),
+)
 
 
 def edges_from_notes(notes: DataFrame, doc: str = "document_id", text: str = "notes") -> DataFrame:

@@ -27,10 +27,25 @@ def round_trip(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
     return found.agg(F.count("*").alias("total"), F.count("c").alias("passed"), F.round(F.count("c") / F.greatest(F.count("*"), F.lit(1)), 4).alias("rate"))
 
 
+def cyclic_sections(refs: DataFrame, doublings: int = 6) -> DataFrame:
+    """(r_version, r_ref, cyclic): sections whose parents, followed up, never end.
+
+    ``refs`` has r_version, r_ref and r_parent. Paths double in each join, so chains of
+    2 ** ``doublings`` levels and more count as cycles.
+    """
+    up = refs.select("r_version", "r_ref", F.col("r_parent").alias("above"))
+    for _ in range(doublings):
+        further = up.select(F.col("r_version").alias("u_version"), F.col("r_ref").alias("u_ref"), F.col("above").alias("u_above"))
+        up = up.join(further, (F.col("r_version") == F.col("u_version")) & (F.col("above") == F.col("u_ref")), "left").select("r_version", "r_ref", F.col("u_above").alias("above"))
+    return up.select("r_version", "r_ref", F.col("above").isNotNull().alias("cyclic"))
+
+
 def hierarchy_failures(chunks: DataFrame, version: str = "version_id") -> DataFrame:
     """(chunk_id, check) for every structural rule that a chunk breaks."""
     rows = chunks.withColumn("has", F.coalesce("section_ref", F.lit("")) != "")
-    refs = rows.where("has").select(F.col(version).alias("r_version"), F.col("section_ref").alias("r_ref"), F.col("section_level").alias("r_level")).groupBy("r_version", "r_ref").agg(F.min("r_level").alias("r_level"))
+    refs = rows.where("has").select(F.col(version).alias("r_version"), F.col("section_ref").alias("r_ref"), F.col("section_level").alias("r_level"), F.col("parent_section_ref").alias("r_parent")).groupBy("r_version", "r_ref").agg(F.min("r_level").alias("r_level"), F.min("r_parent").alias("r_parent"))
+    own = cyclic_sections(refs.where("r_parent <> ''")).select(F.col("r_version").alias("c_version"), F.col("r_ref").alias("c_ref"), "cyclic")
+    rows = rows.join(own, (F.col(version) == F.col("c_version")) & (F.col("section_ref") == F.col("c_ref")), "left")
     both = rows.join(refs, (F.col(version) == F.col("r_version")) & (F.col("parent_section_ref") == F.col("r_ref")), "left")
     numeric = F.col("section_ref").rlike(r"^\d+(\.\d+)*$")
     parent = F.col("parent_section_ref").isNotNull()
@@ -41,7 +56,7 @@ def hierarchy_failures(chunks: DataFrame, version: str = "version_id") -> DataFr
         F.when(F.col("has") & numeric & ~F.col("parent_section_ref").eqNullSafe(ref_parent(F.col("section_ref"))), "parent_ref_mismatch"),
         F.when(F.col("has") & parent & F.col("r_ref").isNull(), "missing_parent_section"),
         F.when(F.col("has") & F.col("r_ref").isNotNull() & (F.col("section_level") != F.col("r_level") + 1), "level_gap"),
-        F.when(F.col("has") & (F.col("parent_section_ref") == F.col("section_ref")), "cycle"),
+        F.when(F.col("has") & F.col("cyclic"), "cycle"),
     )
     return both.select("chunk_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("check"))
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.core import fresh_path, small_enough
 from quillspark.functions.text import RESERVED, tokens
 
 K1, B = 1.2, 0.75
@@ -26,6 +27,27 @@ def postings(chunks: DataFrame, columns: list[str], key: str = "chunk_id") -> Da
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def asked_postings(chunks: DataFrame, columns: list[str], terms: DataFrame, key: str = "chunk_id", sent: int = 16 << 20) -> DataFrame:
+    """Postings of the terms in ``terms`` (term) alone: other tokens go before anything is shuffled.
+
+    Terms are sent to all tasks within ``sent`` bytes by the optimizer's estimate, else
+    they meet the tokens in a shuffle.
+    """
+    words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
+    each = chunks.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
+    asked = terms.select("term").distinct()
+    asked = F.broadcast(asked) if small_enough(chunks.sparkSession, terms, sent) else asked
+    return each.join(asked, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def term_frequencies(chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """(term, df, cf) of all terms, in one aggregate with a combiner and no key but the term."""
+    words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
+    # each distinct token of a chunk once for df, every token once for cf
+    marked = chunks.select(words.alias("w")).select(F.explode(F.concat(F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(True).alias("first"))), F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(False).alias("first"))))).alias("x"))
+    return marked.groupBy("x.term").agg(F.count(F.when(F.col("x.first"), 1)).alias("df"), F.count(F.when(~F.col("x.first"), 1)).alias("cf"))
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -72,43 +94,54 @@ def ranked(hits: DataFrame, order: list[Column], limit: int, by: str = "query_id
     return hits.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= limit)
 
 
-def l2_distance(a: Column, b: Column) -> Column:
-    square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024, group: int = 100_000) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest of all vectors, exactly.
 
-    Blocks of queries, ``queries`` being a stated and small set, go to all vectors;
-    each task keeps its k best of a query, so k rows a task and query are shuffled.
+    Queries are written to the shared folder in files of about ``block`` rows; a task
+    holds ``group`` vectors and meets one file after the other, so neither the driver
+    nor a task holds all queries. Of a group and query the k best are shuffled, found
+    by products of matrices and measured again by differences.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", F.col(vector).alias("v")).collect()  # the stated query set
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double, rank int").withColumnRenamed("vec_id", key)
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["v"] for r in rows], dtype=np.float64)
+    spark = vectors.sparkSession
+    path = fresh_path(spark, "query-vectors")
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    files = max(1, -(-rows.count() // block))
+    rows.repartition(files, "query_id").write.parquet(path)
 
     def best(batches):
-        held_d = held_k = None
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        names = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+
+        def meet(keys, v):
+            square = (v * v).sum(axis=1)
+            for name in names:
+                t = pq.read_table(name, filesystem=store)
+                if not t.num_rows:
+                    continue
+                ids = t.column("query_id").to_numpy()
+                q = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+                far = square[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ v.T
+                edge = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(ids), np.inf)
+                i, j = np.nonzero(far <= edge[:, None] + 1e-9)
+                d = np.sqrt(((v[j] - q[i]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(keys[j], pa.int64()), pa.array(d, pa.float64())], names=["query_id", "key", "distance"])
+
+        held_k, held_v, n = [], [], 0
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(len(keys), -1)
-            d = np.empty((len(q), len(keys)))
-            for lo in range(0, len(q), 16):
-                d[lo : lo + 16] = np.sqrt(((v[None] - q[lo : lo + 16, None]) ** 2).sum(axis=2))
-            kk = np.broadcast_to(keys, d.shape)
-            if held_d is not None:
-                d, kk = np.concatenate([held_d, d], axis=1), np.concatenate([held_k, kk], axis=1)
-            order = np.lexsort((kk, d), axis=1)[:, :k]
-            held_d, held_k = np.take_along_axis(d, order, 1), np.take_along_axis(kk, order, 1)
-        if held_d is not None:
-            m = held_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m), pa.int64()), pa.array(held_k.ravel(), pa.int64()), pa.array(held_d.ravel(), pa.float64())], names=["query_id", "key", "distance"])
+            held_k.append(b.column(0).to_numpy(zero_copy_only=False))
+            held_v.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
+            n += b.num_rows
+            if n >= group:
+                yield from meet(np.concatenate(held_k), np.concatenate(held_v))
+                held_k, held_v, n = [], [], 0
+        if n:
+            yield from meet(np.concatenate(held_k), np.concatenate(held_v))
 
     each = vectors.select(F.col(key).cast("long"), vector).mapInArrow(best, "query_id long, key long, distance double")
     return ranked(each, [F.col("distance"), F.col("key")], k).withColumnRenamed("key", key)

@@ -49,7 +49,7 @@ def is_heading(line: str) -> bool:
 
 def short_heading(line: str) -> bool:
     s = line.strip()
-    return 0 < len(s) <= 90 and s[-1] not in ".;," and not paragraph_ref(s) and not paragraph_ref(s, bare=True) and any(c.isalpha() for c in s)
+    return 0 < len(s) <= 100 and s[-1] not in ".;," and not paragraph_ref(s) and not paragraph_ref(s, bare=True) and any(c.isalpha() for c in s)
 
 
 def region_mark(line: str) -> str | None:
@@ -103,10 +103,11 @@ class Paragraphs:
         if self.held:
             text, n, s = "\n".join(self.held), len(self.out), self.at
             ref = self.ref or s.ref
+            shown = re.sub(r"[^A-Za-z0-9._-]", "_", ref or f"seq-{n}")[:50]
             digest = sha256(text.encode()).hexdigest()
             self.out.append(
                 {
-                    "chunk_id": f"{self.name}:{digest[:8]}:{self.language}:{self.kind[0]}:{ref or f'seq-{n}'}:p{self.first_page}:s{n}", "sequence_no": n, "text": text, "text_hash": digest[:16],
+                    "chunk_id": f"{self.name}:{digest[:8]}:{self.language}:{self.kind[0]}:{shown}:p{self.first_page}:s{n}", "sequence_no": n, "text": text, "text_hash": digest[:16],
                     "chunk_type": self.kind, "document_region": region or self.region, "paragraph_ref": ref, "page_start": self.first_page, "page_end": self.last_page, "section_path": s.path,
                     "section_ref": s.ref, "section_title": s.title, "section_level": s.level, "parent_section_ref": s.parent, "metadata_confidence": min(1.0, max(0.0, s.confidence)),
                 }
@@ -145,7 +146,7 @@ class Paragraphs:
             self.in_body, self.region = True, "body"
         if not self.in_body and page <= min(3, max(self.pages, 1)):
             self.region = "front_matter"
-        elif page >= max(1, int(self.pages * 0.8)) and low.startswith(("repeal", "date of application")):
+        elif page >= max(1, int(self.pages * 0.9)) and low.startswith(("repeal", "date of application")):
             self.region = "back_matter"
         elif self.in_body and self.region == "front_matter":
             self.region = "body"
@@ -154,10 +155,11 @@ class Paragraphs:
 def paragraphs(name: str, language: str, pages: list[tuple[int, str]], noise: set[str] = frozenset()) -> list[dict]:
     """Chunks of one document from its (page_no, text) in order."""
     lines = [(p, re.sub(r"\s+", " ", x).strip()) for p, text in pages for x in (text or "").splitlines()]
-    skip = lambda x: not x or x in noise or x.isdigit() or bool(ID_LINE.match(x))
-    lines = [(p, x) for p, x in lines if not skip(x)]
-    s, contents = Paragraphs(name, language, len(pages)), False
+    lines = [(p, x) for p, x in lines if x and x not in noise and not re.fullmatch(r"\d+", x)]
+    s, contents = Paragraphs(name, language, max((p for p, _ in pages), default=0)), False
     for i, (page, line) in enumerate(lines):
+        if ID_LINE.match(line):
+            continue  # no text, though it counts as a line that follows
         if page == 2 and (contents or line.lower() == "contents"):
             if not contents:
                 s.flush()
@@ -173,7 +175,7 @@ def paragraphs(name: str, language: str, pages: list[tuple[int, str]], noise: se
         if bare:
             follow = [x for _, x in lines[i + 1 : i + 4]]
             s.flush()
-            if len(follow) > 1 and short_heading(follow[0]) and (short_heading(follow[1]) or paragraph_ref(follow[1]) or paragraph_ref(follow[1], bare=True)):
+            if len(follow) > 1 and short_heading(follow[0]) and (short_heading(follow[1]) or paragraph_ref(follow[1])):
                 continue  # an entry of a table of contents
             s.inherit()
             s.ref = bare

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.core import table
+from quillspark.core import materialize, table
 from quillspark.functions import text as X
 from quillspark.operators import corpus, evaluate, filters, navigate, search, segment
 
@@ -52,31 +52,29 @@ def tok(x: str) -> str:
 
 # --- keyword search -------------------------------------------------------------
 
-TERMS = 3
-
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of each benchmark item are a query."""
-    words = F.slice(X.tokens(F.col("text")), 1, TERMS)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
+    """All words of each benchmark item are a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.tokens(F.col("text"))).alias("term"))
 
 
 BM25 = f"""t AS (SELECT document_id, {tok("text")} AS w FROM (SELECT doc_id AS document_id, coalesce(text, '') AS text FROM documents)),
 p AS (SELECT document_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT document_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
 s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 g AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tok("text")}[1:{TERMS}]) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) GROUP BY ALL),
 h AS (SELECT query_id, document_id, count(*) AS matched,
         sum(times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
       FROM q JOIN s USING (term) JOIN p USING (term), g GROUP BY ALL),
 r AS (SELECT h.*, n_terms, max((matched = n_terms)::INT) OVER (PARTITION BY query_id) AS strict FROM h JOIN (SELECT query_id, count(*) AS n_terms FROM q GROUP BY ALL) USING (query_id))"""
 
 
-def _search(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    post = search.postings(docs, ["text"], "document_id")
-    hits = search.relaxed(search.bm25(_asked(spark, d), post, search.term_stats(post), search.totals(docs, ["text"]), "document_id"))
-    return search.ranked(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("document_id")], 10)
+def _search(spark: SparkSession, d: str, limit: int = 10) -> DataFrame:
+    docs, asked = documents(spark, d), _asked(spark, d)
+    # a row a document and queried term, read by the statistics and by the hits
+    post = materialize(search.asked_postings(docs, ["text"], asked, "document_id"), "asked-postings")
+    hits = search.relaxed(search.bm25(asked, post, search.term_stats(post), search.totals(docs, ["text"]), "document_id"))
+    return search.ranked(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("document_id")], limit)
 
 
 @query(
@@ -107,7 +105,7 @@ def search_citations(spark, d):
 @query(f"WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def term_statistics(spark, d):
     """Document and collection frequencies of all terms."""
-    return search.term_stats(search.postings(documents(spark, d), ["text"], "document_id"))
+    return search.term_frequencies(documents(spark, d), ["text"])
 
 
 @query(f"WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents) SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM t")
@@ -135,21 +133,27 @@ def vector_search(spark, d):
     return _nearest(spark, d).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
 
 
-LABELLED = "l AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10)"
+#: Hits that each list gives to a fusion of ten.
+OVERFETCH = max(2 * 10, 10 + 10)
 
 
 @query(
-    f"""WITH {KNN}, {LABELLED}, f AS (SELECT query_id, vec_id, l.rank AS kw, n.rank AS vr, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + n.rank), 0) AS score FROM l FULL OUTER JOIN n USING (query_id, vec_id))
-SELECT query_id, vec_id, kw AS kw_rank, vr AS vec_rank, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kw NULLS LAST, vr NULLS LAST, vec_id) AS rank FROM f QUALIFY rank <= 10"""
+    f"""WITH {BM25}, k AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, document_id) AS rank FROM r WHERE (matched = n_terms)::INT = strict QUALIFY rank <= {OVERFETCH}),
+n AS (SELECT q.vec_id AS query_id, v.vec_id AS document_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= {OVERFETCH}),
+f AS (SELECT query_id, document_id, k.rank AS kw, n.rank AS vr, coalesce(1.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + n.rank), 0) AS score FROM k FULL OUTER JOIN n USING (query_id, document_id))
+SELECT query_id, document_id, kw AS kw_rank, vr AS vec_rank, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kw NULLS LAST, vr NULLS LAST, document_id) AS rank FROM f QUALIFY rank <= 10"""
 )
 def hybrid_fusion(spark, d):
-    """Weighted reciprocal-rank fusion of two ranked lists."""
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    same = q.join(v, "label")
-    by_label = search.ranked(same, [F.abs(F.col("vec_id") - F.col("query_id")), F.col("vec_id")], 10)
-    fused = search.fuse(by_label, _nearest(spark, d), "vec_id").withColumn("score", F.round("score", 9))
-    return search.ranked(fused, search.fused_order("vec_id"), 10).select("query_id", "vec_id", F.col("kw_rank").cast("long"), F.col("vec_rank").cast("long"), "score", F.col("rank").cast("long"))
+    """BM25 and nearest neighbours of the query's vector, fused.
+
+    A benchmark item's vector is that of its id; an item without one has its keyword hits alone.
+    """
+    v = table(spark, d, "embeddings")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    near = search.nearest(v.withColumnRenamed("vec_id", "query_id").join(items, "query_id"), v, OVERFETCH).withColumnRenamed("vec_id", "document_id")
+    fused = search.fuse(_search(spark, d, OVERFETCH), near, "document_id").withColumn("score", F.round("score", 9))
+    return search.ranked(fused, search.fused_order("document_id"), 10).select("query_id", "document_id", F.col("kw_rank").cast("long"), F.col("vec_rank").cast("long"), "score", F.col("rank").cast("long"))
 
 
 @query(f"WITH {KNN} SELECT query_id, vec_id, rank FROM n JOIN embeddings USING (vec_id) WHERE label < 5")
@@ -164,8 +168,10 @@ def retrieval_quality(spark, d):
     """Mean reciprocal rank and recall of neighbours with the query's label."""
     v = table(spark, d, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = q.join(v, "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    got = evaluate.retrieval_scores(_nearest(spark, d), relevant, q, 5, key="vec_id")
+    hits = materialize(_nearest(spark, d), "nearest")
+    # of the hits, those with the query's label: pairs of equal labels aren't made
+    relevant = hits.join(v, "vec_id").join(q.withColumnRenamed("label", "asked"), "query_id").where("label = asked AND vec_id <> query_id").select("query_id", "vec_id")
+    got = evaluate.retrieval_scores(hits, relevant, q, 5, key="vec_id")
     return got.select(F.round("mrr", 6).alias("mrr"), F.round("recall", 6).alias("recall"), "queries")
 
 
@@ -282,11 +288,11 @@ def outline_summary(spark, d):
     return got.select("conv_id", F.to_json("paragraph_refs").alias("refs"), "first_seq", "last_seq", "chunk_count")
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, sequence_no, text FROM chunks WHERE document_id % 50 = 0 AND sequence_no IN (1, 3)")
+@query(f"WITH {CHUNKS} SELECT chunk_id, sequence_no, text FROM chunks WHERE sequence_no IN (1, 3)")
 def paragraph_lookup(spark, d):
-    """Paragraphs by a list of references, for every fiftieth document."""
+    """Paragraphs by a list of references, in all documents."""
     refs = spark.createDataFrame([(1,), (3,)], "ref int")
-    got = chunks(spark, d).where("document_id % 50 = 0").join(F.broadcast(refs), F.col("sequence_no") == F.col("ref"))  # two rows
+    got = chunks(spark, d).join(F.broadcast(refs), F.col("sequence_no") == F.col("ref"))  # two rows
     return got.select("chunk_id", F.col("sequence_no").cast("long"), "text")
 
 
@@ -401,11 +407,14 @@ def corpus_manifest(spark, d):
     return corpus.manifest(chunks(spark, d))
 
 
-PAGED = "pg AS (SELECT conv_id AS document_id, turn AS page_no, coalesce(text, '') AS text FROM conversations)"
+#: Turns as pages, each with a running header, a page number and a footer that some pages lack.
+PAGED = """pg AS (SELECT conv_id AS document_id, turn AS page_no, 'FINAL REPORT ' || conv_id || chr(10) || coalesce(text, '') || chr(10) || CASE WHEN turn % 3 = 0 THEN 'Page' ELSE 'DRAFT ' || turn % 2 END AS text FROM conversations)"""
 
 
 def _paged(spark, d):
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_no"), "text")
+    foot = F.when(F.col("turn") % 3 == 0, "Page").otherwise(F.concat(F.lit("DRAFT "), (F.col("turn") % 2).cast("string")))
+    text = F.concat(F.lit("FINAL REPORT "), F.col("conv_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"), foot)
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_no"), text.alias("text"))
 
 
 @query(
