@@ -22,6 +22,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -70,7 +71,7 @@ class WordwiseEncoder:
 
     CLOSING = ".,;:!?"
 
-    def __init__(self, tokenizer_path: str, keep: int = 700_000) -> None:
+    def __init__(self, tokenizer_path: str, keep: int = 400_000) -> None:
         import re
 
         from tokenizers import Tokenizer
@@ -140,6 +141,12 @@ class WordwiseEncoder:
         return ids, counts
 
 
+@functools.cache
+def encoder(tokenizer_path: str) -> WordwiseEncoder:
+    """One encoder a process: a worker's later tasks neither load the tokenizer again nor lose its pieces."""
+    return WordwiseEncoder(tokenizer_path)
+
+
 def frame(key: int | None, ids: np.ndarray) -> bytes:
     payload = struct.pack("<qB", key or 0, ids.dtype.itemsize + NULL_KEY * (key is None)) + ids.tobytes()
     size = struct.pack("<Q", len(payload))
@@ -194,7 +201,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         out = None
         for keys, texts in _chunks(batches, batch_chars):
             if out is None:
-                enc, out = WordwiseEncoder(tokenizer_path), store.open_output_stream(f"{tried}.rec")
+                enc, out = encoder(tokenizer_path), store.open_output_stream(f"{tried}.rec")
             ids, counts = enc.encode(texts, end_id)
             records = [frame(k, x) for k, x in zip(keys, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
             out.write(b"".join(records))
