@@ -130,20 +130,20 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
                 edge = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(ids), np.inf)
                 i, j = np.nonzero(far <= edge[:, None] + 1e-9)
                 d = np.sqrt(((v[j] - q[i]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(keys[j], pa.int64()), pa.array(d, pa.float64())], names=["query_id", "key", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), keys.take(pa.array(j)), pa.array(d, pa.float64())], names=["query_id", "key", "distance"])
 
         held_k, held_v, n = [], [], 0
         for b in batches:
-            held_k.append(b.column(0).to_numpy(zero_copy_only=False))
+            held_k.append(b.column(0))
             held_v.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
             n += b.num_rows
             if n >= group:
-                yield from meet(np.concatenate(held_k), np.concatenate(held_v))
+                yield from meet(pa.concat_arrays(held_k), np.concatenate(held_v))
                 held_k, held_v, n = [], [], 0
         if n:
-            yield from meet(np.concatenate(held_k), np.concatenate(held_v))
+            yield from meet(pa.concat_arrays(held_k), np.concatenate(held_v))
 
-    each = vectors.select(F.col(key).cast("long"), vector).mapInArrow(best, "query_id long, key long, distance double")
+    each = vectors.select(key, vector).mapInArrow(best, f"query_id long, key {dict(vectors.dtypes)[key]}, distance double")
     return ranked(each, [F.col("distance"), F.col("key")], k).withColumnRenamed("key", key)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.core import materialize, table
 from quillspark.functions import text as X
 from quillspark.operators import corpus, evaluate, filters, navigate, search, segment
+from quillspark.plans import retrieve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -184,6 +185,76 @@ def region_preference(spark, d):
     return search.prefer_regions(rows, by="conv_id").select("conv_id", "turn", F.col("rank").cast("long").alias("place"))
 
 
+# --- composed reads ---------------------------------------------------------------
+
+#: Requests: items of the benchmark by their words, and every fiftieth document by its id.
+#: The first chunk of a document is front matter.
+REQUESTS = f"""{CHUNKS}, t AS (SELECT chunk_id, document_id, sequence_no, CASE WHEN sequence_no = 1 THEN 'front_matter' ELSE 'body' END AS region, {tok("text")} AS w FROM chunks),
+p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+g AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) WHERE term NOT IN ('and', 'or', 'not') GROUP BY ALL),
+h AS (SELECT query_id, chunk_id, count(*) AS matched,
+        sum(times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+      FROM q JOIN s USING (term) JOIN p USING (term), g GROUP BY ALL),
+r AS (SELECT h.*, n_terms, max((matched = n_terms)::INT) OVER (PARTITION BY query_id) AS strict FROM h JOIN (SELECT query_id, count(*) AS n_terms FROM q GROUP BY ALL) USING (query_id)),
+k AS (SELECT query_id, chunk_id, CASE WHEN strict = 1 THEN 'and' ELSE 'or' END AS mode, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM r WHERE (matched = n_terms)::INT = strict QUALIFY rank <= 20),
+e AS (SELECT 1000000 + document_id AS query_id, chunk_id, 'exact' AS mode, row_number() OVER (PARTITION BY document_id ORDER BY sequence_no, chunk_id) AS rank FROM t WHERE document_id % 50 = 0 QUALIFY rank <= 20),
+u AS (SELECT query_id, chunk_id, mode, pos AS rank FROM (SELECT query_id, chunk_id, mode, row_number() OVER (PARTITION BY query_id ORDER BY (region = 'front_matter')::INT, x.rank) AS pos FROM (FROM k UNION ALL FROM e) x JOIN t USING (chunk_id)) WHERE pos <= 10)"""
+
+
+def _read_chunks(spark, d):
+    region = F.when(F.col("sequence_no") == 1, "front_matter").otherwise("body")
+    return chunks(spark, d).withColumn("document_region", region).withColumn("version_id", F.col("document_id"))
+
+
+def _requests(spark, d):
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    named = table(spark, d, "documents").where("doc_id % 50 = 0").select((F.col("doc_id") + 1000000).alias("query_id"), F.concat(F.lit("id:"), F.col("doc_id").cast("string")).alias("query"))
+    return words.unionByName(named).withColumn("document_id", F.lit(None).cast("string"))
+
+
+def _hits(spark, d):
+    ids = F.col("query").rlike("^id:[0-9]+$")
+    # an id as requests write it is an alias of the document's own
+    own = table(spark, d, "documents").select(F.concat(F.lit("id:"), F.col("doc_id").cast("string")).alias("target"), F.col("doc_id").cast("string").alias("source")).distinct()
+    return retrieve.search_chunks(_requests(spark, d), _read_chunks(spark, d), ids, 10, aliases=own)
+
+
+@query(f"WITH {REQUESTS} SELECT query_id, chunk_id, mode, rank FROM u")
+def q_search(spark, d):
+    """Ids go to their document, other requests to keyword search; over-fetched, then presented."""
+    return _hits(spark, d).select("query_id", "chunk_id", "mode", F.col("rank").cast("long"))
+
+
+@query(
+    f"""WITH {REQUESTS}, a AS (SELECT query_id, u.rank, document_id AS d, sequence_no AS n FROM u JOIN t USING (chunk_id)),
+x AS (SELECT query_id, chunk_id, sequence_no, rank AS anchor_rank, (sequence_no <> n)::INT AS is_context FROM a JOIN t ON document_id = d AND sequence_no BETWEEN n - 1 AND n + 2
+  QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY (sequence_no <> n)::INT, rank, sequence_no) = 1)
+SELECT query_id, chunk_id, anchor_rank, is_context::BIGINT AS is_context, row_number() OVER (PARTITION BY query_id ORDER BY is_context, anchor_rank, sequence_no, chunk_id) AS place FROM x QUALIFY place <= 25"""
+)
+def q_search_context(spark, d):
+    """Hits with neighbours, anchors first, capped."""
+    got = retrieve.with_context(materialize(_hits(spark, d), "hits"), _read_chunks(spark, d), 1, 2, 25)
+    return got.select("query_id", "chunk_id", F.col("anchor_rank").cast("long"), F.col("is_context").cast("long"), F.col("place").cast("long"))
+
+
+@query(
+    f"""WITH {CHUNKS}, c AS (SELECT *, CAST(ceil(sequence_no / 5.0) AS BIGINT) AS s, 1 + (sequence_no - 1) % 5 AS k FROM chunks),
+o AS (SELECT document_id AS v, s, min(sequence_no) AS a, max(sequence_no) AS b FROM c WHERE document_id % 2 = 0 GROUP BY ALL),
+m AS (SELECT document_id AS query_id, chunk_id, 'stored' AS origin, row_number() OVER (PARTITION BY document_id ORDER BY sequence_no) AS place FROM c JOIN o ON v = document_id AND o.s = 2 AND sequence_no BETWEEN a AND b),
+f AS (SELECT document_id AS query_id, chunk_id, 'prefix' AS origin, row_number() OVER (PARTITION BY document_id ORDER BY (sequence_no = 1)::INT, sequence_no) AS place FROM c WHERE document_id % 2 = 1 AND s = 2)
+SELECT * FROM m WHERE place <= 4 UNION ALL SELECT * FROM f WHERE place <= 4"""
+)
+def q_section(spark, d):
+    """Q4: section 2 of every document, from stored outlines of even ids, else by prefix."""
+    c = _read_chunks(spark, d).withColumn("section", F.ceil(F.col("sequence_no") / 5).cast("string"))
+    c = c.withColumn("paragraph_ref", F.concat_ws(".", "section", (1 + (F.col("sequence_no") - 1) % 5).cast("string"))).withColumn("section_path", F.lit(None).cast("string"))
+    stored = c.where("version_id % 2 = 0").groupBy("version_id", F.col("section").alias("section_ref")).agg(F.min("sequence_no").alias("sequence_start"), F.max("sequence_no").alias("sequence_end"))
+    asked = documents(spark, d).select(F.col("document_id").alias("query_id"), F.col("document_id").alias("version_id"), F.lit("2.").alias("section")).distinct()
+    return retrieve.sections(asked, c, stored, 4).select("query_id", "chunk_id", "origin", F.col("place").cast("long"))
+
+
 # --- filters and lists ----------------------------------------------------------
 
 
