@@ -9,9 +9,10 @@ kept hashes finds every such span; a hit is then extended to all windows of
 at every position.
 
 Scale: one pass over the documents and one shuffle of a row a document and hit.
-Test fingerprints are broadcast in blocks of ``block_rows`` rows, each a hash and
-at most 2 * span words, so that a broadcast is bounded however large the test set;
-every further block reads the documents again. Hits carry a short context and no
+Test fingerprints, each a hash and at most 2 * span words, are broadcast if there
+are at most ``broadcast_rows`` of them. Larger test sets are joined by a shuffle of
+(fingerprint, document) and only documents with a candidate are read again, so the
+number of passes doesn't grow with the test set. Hits carry a short context and no
 text. All rows of a document are grouped by its id and text; rows that repeat are
 counted and given back as often.
 
@@ -23,18 +24,18 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.core import materialize
+from quillspark.core import join_on, materialize
 
 #: A word in either case: digits, letters and every character that isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Low bits of a fingerprint hold the position, the others the hash.
-POS_BITS = 26
+#: Low bits of a fingerprint hold the position, the others the hash. A string has
+#: fewer than 2^31 bytes and a word takes two with its separator, so 30 bits hold
+#: every position; hashes only propose, words decide.
+POS_BITS = 30
 POS_MASK = (1 << POS_BITS) - 1
 #: Marks the one row that stands for the document itself; no hash equals it, for its low bits are set.
 SELF = -1
@@ -103,21 +104,18 @@ def contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    block_rows: int = 50_000,
+    broadcast_rows: int = 50_000,
 ) -> DataFrame:
     """A row a document: doc_id, n_words, n_hit, items (sorted), starts of hit windows.
 
     ``starts`` holds structs (at, window) in words.
     """
-    spark = docs.sparkSession
     prints, shorter = test_fingerprints(items, span, k, item_id, item_text)
     prints = materialize(prints, "decontam-prints")
-    blocks = max(1, math.ceil(prints.count() / block_rows))
-    found = None
-    for b in range(blocks):
-        part = prints if blocks == 1 else prints.where(F.pmod(F.xxhash64("fp", "item_id"), F.lit(blocks)) == b)
-        hits = _hits(docs, part, span, k, shorter, doc_id, text, with_self=b == 0)
-        found = hits if found is None else found.unionByName(hits)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("digest"), words_of(F.col(text)).alias("words"))
+    marked = _with_fingerprints(rows, k, span - k + 1, shorter, whole=False)
+    near = _by_broadcast(marked, prints) if prints.count() <= broadcast_rows else _by_shuffle(rows, marked, prints)
+    found = _extended(near)
     got = found.groupBy("doc_id", "digest").agg(
         F.sum("is_self").alias("copies"),
         F.max("n_words").alias("n_words"),
@@ -129,23 +127,35 @@ def contamination(
     return got.drop("digest", "copy")
 
 
-def _hits(docs: DataFrame, prints: DataFrame, span: int, k: int, shorter: list[int], doc_id: str, text: str, with_self: bool) -> DataFrame:
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("digest"), words_of(F.col(text)).alias("words"))
-    rows = _with_fingerprints(rows, k, span - k + 1, shorter, whole=False)
-    if with_self:
-        rows = rows.withColumn("prints", F.concat(F.col("prints"), F.array(F.lit(SELF).cast("long"))))
-        itself = spark.range(1).select(F.lit(SELF).cast("long").alias("fp"), F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("window"), F.lit(0).alias("lead"), F.array().cast("array<string>").alias("context"))
-        prints = prints.unionByName(itself)
+def _by_broadcast(marked: DataFrame, prints: DataFrame) -> DataFrame:
+    """Candidates and one row SELF a document, in one pass; ``prints`` must be small."""
+    marked = marked.withColumn("prints", F.concat(F.col("prints"), F.array(F.lit(SELF).cast("long"))))
+    itself = marked.sparkSession.range(1).select(F.lit(SELF).cast("long").alias("fp"), F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("window"), F.lit(0).alias("lead"), F.array().cast("array<string>").alias("context"))
     # the outer form keeps the optimizer from testing the array's size, which computes all of it once more
-    rows = rows.withColumn("print", F.explode_outer("prints"))
+    marked = marked.withColumn("print", F.explode_outer("prints"))
     fp = F.when(F.col("print") == SELF, F.col("print")).otherwise(F.col("print").bitwiseAND(F.lit(~POS_MASK)))
-    # at most block_rows rows of at most 2 * span words
-    hit = rows.withColumn("doc_fp", fp).join(F.broadcast(prints), F.col("doc_fp") == F.col("fp"))
+    # at most broadcast_rows rows of at most 2 * span words
+    return marked.withColumn("doc_fp", fp).join(F.broadcast(prints.unionByName(itself)), F.col("doc_fp") == F.col("fp"))
+
+
+def _by_shuffle(rows: DataFrame, marked: DataFrame, prints: DataFrame) -> DataFrame:
+    """The same rows; fingerprints move with names of documents, words only for documents with a candidate."""
+    # the outer form, as above
+    slim = marked.select("doc_id", "digest", F.explode_outer("prints").alias("print")).withColumn("doc_fp", F.col("print").bitwiseAND(F.lit(~POS_MASK)))
+    met = materialize(slim.join(prints, F.col("doc_fp") == F.col("fp")).drop("doc_fp", "fp"), "decontam-met")
+    # repeated documents have met the same; each candidate needs their words once
+    met = met.distinct()
+    named = join_on(rows, met.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    none = {"print": F.lit(SELF).cast("long"), "item_id": F.lit(None).cast("string"), "window": F.lit(0), "lead": F.lit(0), "context": F.array().cast("array<string>")}
+    return join_on(met, named, ["doc_id", "digest"]).unionByName(rows.withColumns(none))
+
+
+def _extended(near: DataFrame) -> DataFrame:
+    """Candidates whose words agree over a whole window, by the window's start, and SELF rows."""
     p = F.col("print").bitwiseAND(F.lit(POS_MASK)).cast("int")
     back = F.least(F.col("lead"), p)
     here = F.transform(F.slice("words", p - back + 1, back + F.col("window")), fold)
-    hit = hit.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "item_id", "window", "lead", "context", F.when(F.col("print") == SELF, -1).otherwise(p).alias("p"), back.alias("back"), here.alias("here"))
+    hit = near.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "item_id", "window", "lead", "context", F.when(F.col("print") == SELF, -1).otherwise(p).alias("p"), back.alias("back"), here.alias("here"))
     # a window that starts r words ahead of the matching run, in both texts
     agree = F.filter(
         F.sequence(F.lit(0), F.col("back")),

@@ -11,9 +11,9 @@ out in runs of these lengths, so shards are disjoint and the counts exact. Withi
 shard documents follow a local random order.
 
 Scale: positions within a source come from a two-level prefix sum (sums of hash
-buckets, then rows within a bucket), so a source with a third of all rows is
-spread over many tasks. Only per-source totals reach the driver, a row a source,
-and the tree holds one number a source and node. All draws come from seeds and
+buckets, then rows within a bucket), and so do the ranks of a source's blocks; a
+source with a third of all rows is spread over many tasks. Only per-source totals
+reach the driver, a row a source, and the tree holds one number a source and node. All draws come from seeds and
 row contents, hence reruns and recomputed tasks agree.
 
 Defined results: a null text has size 0 and is taken in the passes that reach it
@@ -24,10 +24,11 @@ table gives an empty table; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,16 +128,32 @@ def source_targets(sizes: DataFrame, cfg: MixConfig) -> list[tuple]:
     return [(r["source"], s, t, int(r["rows"])) for r, s, t in zip(rows, n, target, strict=True)]
 
 
+def _bucket(rank: Column, rows: int, cfg: MixConfig) -> Column:
+    """The top bits of a signed 64-bit hash, which keep its order: as many as ``rows`` ask for."""
+    bits = max(0, math.ceil(math.log2(max(1, rows) / cfg.bucket_rows)))
+    return F.shiftright(rank, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def block_ranks(blocks: DataFrame, rows: int, cfg: MixConfig) -> DataFrame:
+    """Adds ``at``, the block's place from 0 in its source's permuted order of blocks.
+
+    Buckets of a hash are counted and their counts summed, then blocks are ranked
+    within their bucket, so that no task ranks a whole source.
+    """
+    placed = blocks.withColumn("draw", F.xxhash64(F.lit(cfg.seed), "source", "pass", "block"))
+    placed = placed.withColumn("part", _bucket(F.col("draw"), rows, cfg))
+    sums = placed.groupBy("source", "part").agg(F.count("*").alias("held"))
+    up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("held").over(up_to), F.lit(0))).drop("held")
+    within = Window.partitionBy("source", "part").orderBy("draw", "pass", "block")
+    both = join_on(placed.withColumn("nth", F.row_number().over(within)), sums, ["source", "part"])
+    return both.select(*blocks.columns, (F.col("ahead") + F.col("nth") - 1).alias("at"))
+
+
 def positions(sizes: DataFrame, rows: int, cfg: MixConfig) -> DataFrame:
     """Adds ``before``, the words of the source ahead of the row in its permuted order,
     and (bucket, nth), which with the source name the row."""
-    buckets = 1
-    while buckets * cfg.bucket_rows < rows:
-        buckets *= 2
-    # the rank is a signed 64-bit hash: its top bits keep the order
-    shift = 64 - buckets.bit_length() + 1
-    bucket = F.shiftright(F.col("rank"), shift) if buckets > 1 else F.lit(0).cast("long")
-    rows_ = sizes.withColumn("bucket", bucket)
+    rows_ = sizes.withColumn("bucket", _bucket(F.col("rank"), rows, cfg))
     sums = rows_.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("held").over(up_to), F.lit(0))).drop("held")
@@ -188,8 +205,7 @@ def mix(docs: DataFrame, cfg: MixConfig | None = None, doc_id: str = "doc_id", t
         [(x, ends[:, i].tolist()) for i, x in enumerate(names)],
         T.StructType([T.StructField("source", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))]),
     )
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(cfg.seed), "source", "pass", "block"), "pass", "block")
-    ranked = blocks.withColumn("at", F.row_number().over(order) - 1)
+    ranked = block_ranks(blocks, sum(quota.values()), cfg)
     runs = F.broadcast(runs)  # a row a source
     shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
     dealt = join_on(ranked, runs, ["source"]).select("source", "pass", "block", shard.alias("shard"))

@@ -31,13 +31,13 @@ def brute(docs, items, span=10):
     return out
 
 
-@pytest.mark.parametrize("block", [50_000, 3])
-def test_against_brute_force(spark, odd, block):
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_against_brute_force(spark, odd, rows):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(20, "W0, w1! w2 w3 w4 w5 w6 w7 w8 w9"), (21, "É é Alone WORD"), (22, "a a a a a a a a a a a a a")]
     items = [("i1", " ".join(f"w{i}" for i in range(20))), ("i1", "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), ("i2", "alone word"), ("i3", None), (None, "a " * 11), ("i4", "é"), ("i5", "b a a a a a a a a a")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id string, text string")
-    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in contamination(d, i, block_rows=block).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in contamination(d, i, broadcast_rows=rows).collect())
     assert got == brute(docs, items)
 
 

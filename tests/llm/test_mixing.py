@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillspark.llm.mixing import MixConfig, mix, split_tree, water_fill
+from quillspark.llm.mixing import MixConfig, block_ranks, mix, split_tree, water_fill
 
 
 def test_water_fill():
@@ -41,3 +41,12 @@ def test_mix(spark, odd, empty):
     _, odd_docs = mix(odd)
     assert odd_docs.count() == odd.count() and all(r["taken"] <= 2 * r["size"] for r in odd_docs.collect())
     assert mix(empty)[1].count() == 0
+
+
+def test_block_ranks_over_buckets(spark):
+    blocks = spark.createDataFrame([(s, p, b) for s in ["a", None] for p in (0, 1) for b in range(300)], "source string, pass int, block long")
+    many = block_ranks(blocks, 1200, MixConfig(bucket_rows=50)).collect()
+    for s in ("a", None):
+        assert sorted(r["at"] for r in many if r["source"] == s) == list(range(600))
+    # the order is the hash's, whatever the number of buckets
+    assert Counter(many) == Counter(block_ranks(blocks, 1200, MixConfig()).collect())
