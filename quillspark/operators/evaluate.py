@@ -90,6 +90,34 @@ def span_confidence(chunks: DataFrame, span: str = "span", confidence: str = "me
     return chunks.groupBy(span).agg(F.min(confidence).alias("lo"), F.avg(confidence).alias("mean"), F.max(confidence).alias("hi"))
 
 
+def judge_fixtures(fixtures: DataFrame, answers: DataFrame, citations: DataFrame, needed: tuple[str, ...] = ("citation_id", "document_id", "text", "citation", "page_start")) -> DataFrame:
+    """(fixture_id, reasons, passed): what each fixture's answer fails to meet.
+
+    ``fixtures``: fixture_id, tool, expected_answerability, expected_min_results,
+    expected_document_id, nulls for what isn't stated. ``answers``: fixture_id,
+    answerability. ``citations``: fixture_id, document_id and other columns; a ``needed``
+    column that is absent fails a fixture with citations. Fixtures of tools other than
+    search need an answer alone. Citations are counted before the join.
+    """
+    absent = [c for c in needed if c not in citations.columns]
+    want = fixtures.select(
+        "fixture_id", F.coalesce("tool", F.lit("search")).alias("tool"), F.coalesce("expected_answerability", F.lit("partial")).alias("want"), "expected_min_results", F.col("expected_document_id").alias("wanted_document")
+    ).withColumn("least", F.coalesce("expected_min_results", F.when(F.col("want") == "no_match", 0).otherwise(1)))
+    rows = citations.select("fixture_id", F.col("document_id").cast("string").alias("document_id")).join(want.select("fixture_id", "wanted_document"), "fixture_id")
+    n = rows.groupBy("fixture_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("document_id") == F.col("wanted_document")), F.lit(False)).alias("found"))
+    both = want.join(answers.select("fixture_id", F.coalesce("answerability", F.lit("none")).alias("got")), "fixture_id", "left").join(n, "fixture_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    search = F.col("tool") == "search"
+    checks = F.array(
+        F.when(F.col("got").isNull(), "no answer"),
+        F.when(search & (F.col("got") != F.col("want")), F.concat(F.lit("expected answerability "), "want", F.lit(", got "), "got")),
+        F.when(search & (F.col("n") < F.col("least")), F.concat(F.lit("expected at least "), F.col("least").cast("string"), F.lit(" results, got "), F.col("n").cast("string"))),
+        F.when(search & (F.col("n") > 0) & F.col("wanted_document").isNotNull() & ~F.col("found"), F.concat(F.lit("expected document "), "wanted_document", F.lit(" not in results"))),
+        F.when(search & (F.col("want") == "no_match") & (F.col("n") > 0), "expected zero citations"),
+        F.when(search & (F.col("n") > 0) & F.lit(bool(absent)), "missing citation fields " + ", ".join(absent)),
+    )
+    return both.select("fixture_id", F.filter(checks, lambda c: c.isNotNull()).alias("reasons")).withColumn("passed", F.size("reasons") == 0)
+
+
 def tagged(fixtures: DataFrame, tags: list[str], column: str = "tags") -> DataFrame:
     """Fixtures with any of the tags; all of them if none is asked for."""
     return fixtures.where(F.arrays_overlap(column, F.array(*map(F.lit, tags)))) if tags else fixtures

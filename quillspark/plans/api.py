@@ -19,6 +19,10 @@ LIMITS = {"query": 500, "document_id": 40, "paragraph_ref": 50, "section": 80, "
 SEARCH_MODES = ("auto", "fts_only", "hybrid")
 EXACT_ID = re.compile(r"^[A-Z]{2,6}/[A-Za-z-]+/\d{4}/\d+$", re.I)
 ALLOWED_FILTERS = ("document_id", "document_type", "publication_status", "applicability_status", "language", "topic", "exclude_consultation_responses")
+LIST_FILTERS = ("document_type", "publication_status", "applicability_status", "language", "topic")
+#: Forms of references, version labels and chunk ids (fixed values).
+REFERENCE = re.compile(r"[A-Za-z0-9][A-Za-z0-9 ._/-]*")
+CHUNK_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9:._-]*")
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
@@ -41,7 +45,7 @@ def text_field(where: str, value: object, most: int, required: bool = True) -> s
     return value
 
 
-def int_field(where: str, value: object, lo: int, hi: int, default: int) -> int:
+def int_field(where: str, value: object, lo: int, hi: int, default: int | None) -> int | None:
     if value is None:
         return default
     if isinstance(value, bool) or not isinstance(value, int):
@@ -51,14 +55,14 @@ def int_field(where: str, value: object, lo: int, hi: int, default: int) -> int:
     return value
 
 
-def filter_field(filters: object) -> dict[str, object]:
+def filter_field(filters: object, allowed: tuple[str, ...] = ALLOWED_FILTERS) -> dict[str, object]:
     if filters is None:
         return {}
     if not isinstance(filters, dict):
         raise InvalidRequest("filters", "must be an object")
     out: dict[str, object] = {}
     for k, v in filters.items():
-        if k not in ALLOWED_FILTERS:
+        if k not in allowed:
             raise InvalidRequest(f"filters.{k}", "is unknown")
         if k == "exclude_consultation_responses":
             if not isinstance(v, bool):
@@ -118,11 +122,64 @@ def parse_paragraph(raw: dict) -> list[str]:
     if not isinstance(refs, list) or len(refs) > 20:
         raise InvalidRequest("paragraph_refs", "must be a list of at most 20")
     out = [text_field("paragraph_ref", r, LIMITS["paragraph_ref"]) for r in refs]
-    if any(not re.match(r"^[A-Za-z0-9][A-Za-z0-9.()-]*$", r) for r in out):
+    if any(not REFERENCE.fullmatch(r) for r in out):
         raise InvalidRequest("paragraph_ref", "is malformed")
     return out
 
 
+def _document_id(where: str, value: object) -> str:
+    out = text_field(where, value, LIMITS["document_id"])
+    if not EXACT_ID.fullmatch(out):
+        raise InvalidRequest(where, "is malformed")
+    return out
+
+
+def _language(where: str, value: object) -> str:
+    if value not in (None, "en"):
+        raise InvalidRequest(where, "must be en")
+    return "en"
+
+
+def _shaped(most: int, shape: re.Pattern, required: bool = True):
+    def check(where: str, value: object) -> str | None:
+        out = text_field(where, value, most, required)
+        if out is not None and not shape.fullmatch(out):
+            raise InvalidRequest(where, "is malformed")
+        return out
+
+    return check
+
+
+def _whole(lo: int, hi: int, default: int | None):
+    return lambda where, value: int_field(where, value, lo, hi, default)
+
+
+#: Fields of the requests other than search and paragraph, each with its check.
+REQUESTS = {
+    "document": {"document_id": _document_id, "language": _language, "max_chars": _whole(1, 100_000, None)},
+    "section": {"document_id": _document_id, "section": _shaped(LIMITS["section"], REFERENCE), "language": _language, "limit": _whole(1, 300, 200), "max_chars": _whole(1, 100_000, None)},
+    "outline": {"document_id": _document_id, "language": _language, "limit": _whole(1, 300, 200)},
+    "list": {"filters": lambda where, value: filter_field(value, LIST_FILTERS), "limit": _whole(1, 100, 20)},
+    "corpus": {},
+    "status": {"document_id": _document_id},
+    "versions": {"document_id": _document_id},
+    "citation": {"chunk_id": _shaped(LIMITS["chunk_id"], CHUNK_ID, False), "citation_id": _shaped(LIMITS["chunk_id"], CHUNK_ID, False)},
+    "difference": {"document_id": _document_id, "version_a": _shaped(LIMITS["version"], REFERENCE), "version_b": _shaped(LIMITS["version"], REFERENCE)},
+}
+
+
+def parse_request(kind: str, raw: dict | None) -> dict[str, object]:
+    """Checked fields of a request of ``kind``, with defaults; unknown fields are refused."""
+    fields, raw = REQUESTS[kind], raw or {}
+    for k in raw:
+        if k not in fields:
+            raise InvalidRequest(k, "is unknown")
+    out = {k: check(k, raw.get(k)) for k, check in fields.items()}
+    if kind == "citation" and not (out["chunk_id"] or out["citation_id"]):
+        raise InvalidRequest("chunk_id", "give chunk_id or citation_id")
+    return out
+
+
 def answerability(citations: list, filters: dict) -> str:
     if not citations:
         return "no_match"

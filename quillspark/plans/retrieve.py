@@ -17,6 +17,22 @@ from quillspark.functions.text import tokens
 from quillspark.operators import navigate, search
 
 
+#: Columns of a citation in compact answers (fixed values).
+COMPACT = ("citation_id", "document_id", "paragraph_ref", "page_start", "page_end", "text", "truncated", "truncation_offset", "citation")
+
+
+def compact(citations: DataFrame, *keep: str) -> DataFrame:
+    """Citations without section_path and chunk_type; ``keep``: further columns, as query_id."""
+    return citations.select(*keep, *COMPACT)
+
+
+def with_flags(rows: DataFrame, requested: str = "requested_ref") -> DataFrame:
+    """Adds is_anchor (the row is the requested paragraph, not its context) and is_complete
+    (its chunk isn't a piece of a longer one). A null reference is no anchor."""
+    anchor = F.coalesce(F.col("paragraph_ref") == F.col(requested), F.lit(False))
+    return rows.withColumns({"is_anchor": anchor, "is_complete": ~F.contains("chunk_id", F.lit(":sub"))})
+
+
 def overfetch(limit: int) -> int:
     """Rows that a list gives before presentation."""
     return max(2 * limit, limit + 10)

@@ -25,11 +25,24 @@ def test_accepted():
     assert (got.query, got.limit, got.max_chars, got.max_citations, got.exact_id) == ("a'; DROP TABLE x -- * OR", 10, 600, 15, False)
     assert api.parse_search({"query": "ABC/GL/2023/03"}).exact_id
     assert api.parse_paragraph({"paragraph_refs": ["4.1", "7"]}) == ["4.1", "7"]
-    for raw in ({}, {"paragraph_refs": ["1"] * 21}, {"paragraph_ref": "a b"}):
+    for raw in ({}, {"paragraph_refs": ["1"] * 21}, {"paragraph_ref": "4(1)"}):
         with pytest.raises(api.InvalidRequest):
             api.parse_paragraph(raw)
 
 
+def test_requests_of_other_kinds():
+    assert api.parse_paragraph({"paragraph_ref": "Title I"}) == ["Title I"]
+    assert api.parse_request("section", {"document_id": "ABC/GL/2021/02", "section": " 4.  Scope"}) == {"document_id": "ABC/GL/2021/02", "section": "4. Scope", "language": "en", "limit": 200, "max_chars": None}
+    assert api.parse_request("list", {"filters": {"topic": "AML/CFT"}}) == {"filters": {"topic": "AML/CFT"}, "limit": 20}
+    assert api.parse_request("corpus", None) == {} and api.parse_request("citation", {"citation_id": "a:b-1"})["citation_id"] == "a:b-1"
+    one = {"document_id": "ABC/GL/2021/02"}
+    wrong = [("corpus", one), ("citation", {}), ("citation", {"chunk_id": "-a"}), ("status", {}), ("versions", {"document_id": "GL/1"}), ("difference", one | {"version_a": "1"}), ("difference", one | {"version_a": "1", "version_b": "x" * 101})]
+    wrong += [("document", one | {"language": "fr"}), ("outline", one | {"limit": 301}), ("list", {"filters": {"document_id": "ABC/GL/2021/02"}}), ("section", one | {"section": "(4)"})]
+    for kind, raw in wrong:
+        with pytest.raises(api.InvalidRequest):
+            api.parse_request(kind, raw)
+
+
 def test_budget():
     small = api.envelope([{"text": "a"}], "exact")
     assert api.within_budget(small) == small

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from quillspark.operators.evaluate import cyclic_sections
-from quillspark.plans.retrieve import search_chunks, sections, split_requests, vectors_unfit
+from quillspark.operators.evaluate import cyclic_sections, judge_fixtures
+from quillspark.plans.retrieve import COMPACT, compact, search_chunks, sections, split_requests, vectors_unfit, with_flags
 
 CHUNK = "chunk_id string, document_id string, sequence_no int, document_region string, text string"
 
@@ -48,3 +48,22 @@ def test_sections_by_outline_or_prefix(spark):
 def test_cycles_through_parents(spark):
     refs = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a"), (1, "e", "f"), (2, "a", "b"), (1, "s", "s")], "r_version int, r_ref string, r_parent string")
     assert {(r["r_version"], r["r_ref"]) for r in cyclic_sections(refs).where("cyclic").collect()} == {(1, x) for x in "abcds"}
+
+
+def test_flags_and_compact_citations(spark):
+    rows = spark.createDataFrame([("a", "4.1", "4.1"), ("a:sub2", "4.2", "4.1"), ("b", None, "4.1")], "chunk_id string, paragraph_ref string, requested_ref string")
+    assert [(r["is_anchor"], r["is_complete"]) for r in with_flags(rows).orderBy("chunk_id").collect()] == [(True, True), (False, False), (False, True)]
+    wide = spark.range(1).select("id", *(F.lit("x").alias(c) for c in (*COMPACT, "section_path", "chunk_type")))
+    assert compact(wide, "id").columns == ["id", *COMPACT]
+
+
+def test_fixtures_are_judged(spark):
+    rows = [(1, None, None, None, None), (2, "search", "no_match", None, None), (3, "search", "exact", 2, "D"), (4, "search", None, 3, "E"), (5, "status", None, None, None), (6, None, None, None, None), (7, None, "no_match", None, None)]
+    fixtures = spark.createDataFrame(rows, "fixture_id int, tool string, expected_answerability string, expected_min_results int, expected_document_id string")
+    answers = spark.createDataFrame([(1, "partial"), (2, "no_match"), (3, "exact"), (4, "exact"), (5, "anything"), (7, "no_match")], "fixture_id int, answerability string")
+    cited = spark.createDataFrame([(1, "A"), (3, "D"), (3, None), (4, "D"), (7, "A")], "fixture_id int, document_id string")
+    got = {r["fixture_id"]: (r["passed"], r["reasons"]) for r in judge_fixtures(fixtures, answers, cited, ("document_id",)).collect()}
+    assert [k for k in got if got[k][0]] and {k for k in got if got[k][0]} == {1, 2, 3, 5}
+    assert got[4][1] == ["expected answerability partial, got exact", "expected at least 3 results, got 1", "expected document E not in results"]
+    assert "no answer" in got[6][1] and got[7][1] == ["expected zero citations"]
+    assert {r["fixture_id"] for r in judge_fixtures(fixtures, answers, cited).where("passed").collect()} == {2, 5}
