@@ -68,6 +68,22 @@ def embed_missing(chunks: DataFrame, done: DataFrame, call: Callable[[list[str]]
     return todo.mapInPandas(run, f"{key} string, embedding array<float>")
 
 
+def append_vectors(chunks: DataFrame, path: str, call: Callable[[list[str]], list[list[float]]], dim: int, key: str = "chunk_id", batch: int = 32, parts: int = 16) -> None:
+    """Appends vectors that the table at ``path`` lacks, a part of the keys at a time.
+
+    Each part is committed by its own write, so a job that fails goes on after the last
+    part that was written. A null key belongs to no part.
+    """
+    spark = chunks.sparkSession
+    shape = f"{key} string, embedding array<float>"
+    for i in range(parts):
+        mine = chunks.withColumn(key, F.col(key).cast("string")).where(F.pmod(F.crc32(F.encode(F.col(key), "UTF-8")), F.lit(parts)) == i)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+        done = spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)
+        embed_missing(mine, done, call, dim, key, batch).write.mode("append").parquet(path)
+
+
 def valid_repair(reply: str, sequence: set[int], source: str) -> dict | None:
     """A service's reply if it is exactly of the agreed form and every title is in the source."""
     try:

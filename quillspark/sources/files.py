@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.core import materialize
+
 PAGE = "page_no int, text string, extraction_method string, char_count int"
 DOWNLOAD = "url string, file_sha256 string, file_path string, title string, document_type string, publication_url string, published_at string, downloaded_at string, status string, notes string"
 SEED = "document_id string, title string, document_type string, topic string, file_url string, publication_url string, language string, published_at string, publication_status string, applicability_status string, notes string"
@@ -59,6 +61,33 @@ def write_table(df: DataFrame, path: str, cluster: list[str] | None = None, sort
     df.write.mode("overwrite").parquet(path)
 
 
+def replace_versions(new: DataFrame, versions: DataFrame, path: str, by: str = "version_id", buckets: int = 64) -> None:
+    """Rows of ``versions`` are deleted from the table at ``path``, then ``new`` is inserted.
+
+    The table lies in folders by the version's hash, so only folders of replaced versions
+    are rewritten; a version without new rows is just deleted. ``buckets`` stays the same
+    for a table's life.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(by)), F.lit(buckets)).cast("int")
+    gone = versions.select(by).distinct()
+    rows = new.withColumn("bucket", bucket)
+    touched = [r["bucket"] for r in gone.unionByName(new.select(by)).select(bucket.alias("bucket")).distinct().collect()]  # ``buckets`` at most
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        there = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+        # written, since the folders that it is read from are overwritten
+        rows = materialize(rows.unionByName(there.join(gone, by, "left_anti")), "replaced-versions")
+        # folders that lose all rows have nothing to overwrite them
+        emptied = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+    else:
+        emptied = set()
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_reports(df: DataFrame, path: str, by: str = "slug") -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 

@@ -108,3 +108,34 @@ def test_streaming_ingest(spark, tmp_path):
     spark.createDataFrame([(1, "en", "s", "a\n\nb")], "document_id long, language string, topic string, text string").write.parquet(f"{tmp_path}/in")
     ingest_documents(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("sequence_no").collect()] == ["a", "b"]
+
+
+def test_vectors_are_committed_by_part(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "bad" if i == 7 else "t") for i in range(20)], "chunk_id int, text string")
+    path = str(tmp_path / "vectors")
+
+    def fails(texts):
+        if "bad" in texts:
+            raise ValueError("service")
+        return [[1.0, 0.0] for _ in texts]
+
+    with pytest.raises(Exception, match="service"):
+        embed.append_vectors(chunks, path, fails, 2, parts=4)
+    before = spark.read.parquet(path).count()
+    assert before < 20
+    embed.append_vectors(chunks, path, lambda t: [[1.0, 0.0] for _ in t], 2, parts=4)
+    assert sorted(int(r["chunk_id"]) for r in spark.read.parquet(path).collect()) == list(range(20))
+
+
+def test_versions_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "outline")
+
+    def put(rows, versions):
+        files.replace_versions(spark.createDataFrame(rows, "version_id int, section_ref string"), spark.createDataFrame([(v,) for v in versions], "version_id int"), path, buckets=4)
+        return {(r["version_id"], r["section_ref"]) for r in spark.read.parquet(path).collect()}
+
+    first = {(v, str(k)) for v in range(6) for k in range(3)}
+    assert put(sorted(first), range(6)) == first
+    kept = {x for x in first if x[0] not in (1, 2)}
+    assert put([(1, "new")], [1, 2]) == kept | {(1, "new")}
+    assert put([(9, "a")], [v for v in range(6)]) == {(9, "a")}
