@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
-from quillspark.llm import bagminhash, chat, ctxmix, decontam, licenses, mixing, quality, records, secrets, suffix_dedup
+from quillspark.llm import audit, bagminhash, chat, ctxmix, decontam, licenses, mixing, quality, records, secrets, suffix_dedup
 
 
 @functools.cache
@@ -152,6 +152,36 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN l USING (doc_id)
+), g AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, f),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT part, array_to_string(list_transform(p, lambda k: 'ABCDE'[k]), '') AS filter_order, x.i AS step, 'ABCDE'[p[x.i]] AS filter,
+    f[p[x.i]] AS fails, list_bool_or(list_transform(p[1:x.i - 1], lambda k: f[k])) IS TRUE AS gone, list_sum(list_transform(f, lambda b: b::INT)) = 1 AS alone, n, good, toxic
+  FROM g, o, x
+), r AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -163,9 +193,11 @@ QUERIES = {
     "op8_minhash_classes": op8_minhash_classes,
     "op9_token_records": op9_token_records,
     "op10_context_mixing": op10_context_mixing,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
