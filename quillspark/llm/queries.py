@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
-from quillspark.llm import audit, bagminhash, chat, ctxmix, decontam, licenses, mixing, quality, records, secrets, suffix_dedup
+from quillspark.llm import audit, bagminhash, chat, ctxmix, decontam, licenses, mixing, nra, quality, records, secrets, suffix_dedup
 
 
 @functools.cache
@@ -182,6 +182,19 @@ o AS (
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
 """
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nra.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -194,10 +207,12 @@ QUERIES = {
     "op9_token_records": op9_token_records,
     "op10_context_mixing": op10_context_mixing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_exact_topk": OP13_SQL,
 }
