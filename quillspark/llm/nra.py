@@ -5,10 +5,10 @@ The rows are dealt to groups of bounded size. A group keeps a sorted list of
 side from the end where its products are greatest (a list is read from the back where
 the query's component is negative) and adds up what it reads. For each row this
 gives a lower bound, unread products counted as the list's least, and an upper bound,
-unread products counted as the last one read. Reading stops when all rows but a
-few have an upper bound below the k-th lower bound: rows not met in any list are ruled
-out in the same way. The few that are left are resolved by their whole vectors. If
-the lists end first, all that may still qualify are resolved.
+unread products counted as the last one read. Reading stops when
+all rows but a small share (one in ``READS``) have an upper bound below the k-th lower
+bound; rows not met in any list are ruled out in the same way. Those left are resolved
+by their whole vectors. If the lists end first, all that may still qualify are resolved.
 
 A query first meets one group, its home. The k-th score found there is a lower bound
 for all others, in which reading stops earlier.
@@ -28,6 +28,8 @@ numbers within a long, and so must scores be.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +41,8 @@ from quillspark.operators.search import ranked
 
 #: Rows of a group and queries of a block at most, and the least rows that a group has.
 GROUP, BLOCK, LEAST_GROUP = 65_536, 65_536, 4_096
-#: Rows that are resolved rather than read on for, and reading steps a list.
-RESOLVED, READS = 32, 16
+#: Rows that are resolved rather than read on for, at least; reading steps a list; and bounds held at once.
+RESOLVED, READS, CELLS = 32, 16, 1 << 22
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
@@ -65,41 +67,58 @@ class SortedLists:
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
+        n, d = rows.shape
         order = np.argsort(-rows, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(rows, order, axis=0).T).astype(np.float64)
-        self._met = np.empty(rows.shape)
-
-    def candidates(self, query: np.ndarray, k: int, floor: float, own: np.ndarray) -> tuple[np.ndarray, float]:
-        """Rows that may be among the k best and reach ``floor``, and the share of list entries read for it."""
-        used = np.flatnonzero(query)
-        n, d = len(self.rows), len(used)
-        if not d:
-            return np.setdiff1d(np.arange(n), own), 0.0
-        weight, down = query[used].astype(np.float64)[:, None], (query[used] > 0)[:, None]
-        least = (weight * self.values[used][:, [0, -1]]).min(axis=1)
-        # sums are exact below 2^53, beyond it bounds are widened
-        slack = np.abs(weight * self.values[used][:, [0, -1]]).max(axis=1).sum() * 2.0**-48
-        total, met, columns = np.zeros(n), self._met[:, :d], np.arange(d)[:, None]
-        met[:] = 0
-        step, at = max(RESOLVED, -(-n // READS)), 0
-        while True:
-            end = min(n, at + step)
-            place = np.arange(at, end)
-            place = np.where(down, place, n - 1 - place)
-            row, product = self.order[used[:, None], place], weight * self.values[used[:, None], place]
-            total += np.bincount(row.ravel(), product.ravel(), n)
-            met[row, columns] = 1
-            last = product[:, -1]
-            known = met @ np.stack([last, least], axis=1)
-            upper, lower = total + (last.sum() - known[:, 0]), total + (least.sum() - known[:, 1])
-            upper[own] = lower[own] = -np.inf
-            bar = max(floor, np.partition(lower, n - k)[n - k] if n > k else -np.inf) - slack
-            left = upper >= bar
-            left[own] = False
-            if end == n or np.count_nonzero(left) <= max(RESOLVED, 2 * k):
-                return np.flatnonzero(left), end / n
-            at = end
+        self.values = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+        #: Where each row is in each list.
+        self.place = np.empty((n, d), np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], (n, d)), axis=0)
+
+    def candidates(self, queries: np.ndarray, k: int, floors: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, float]]:
+        """For each query its number, the rows that may be among the k best and reach its
+        floor, and the share of list entries read for it. ``own``: rows that don't count.
+
+        All queries read on step by step together, so what has been read of the lists is
+        one matrix of rows and lists, and a product of matrices adds it up for all.
+        """
+        n, d = self.rows.shape
+        # each list twice: from the front for queries that want it high, from the back for the others
+        weight = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
+        far = np.concatenate([self.values[-1], self.values[0]]) if n else np.zeros(2 * d)
+        size = np.abs(weight) @ np.tile(np.abs(self.rows).max(axis=0, initial=0), 2)
+        # sums of whole numbers are exact below 2^24 and 2^53; beyond that bounds are widened
+        kind, slack = (np.float32, 0 * size) if size.max(initial=0) < 1 << 23 else (np.float64, np.where(size < 2.0**52, 0, size * 2.0**-48))
+        enough, step = max(RESOLVED, 2 * k, n // READS), -(-n // READS)
+        left = np.arange(len(queries))
+        for end in [*range(step, n, step), n]:
+            last = np.concatenate([self.values[end - 1], self.values[n - end]])
+            # no row has a bound below this sum: with it at the floor or above, nothing is ruled out
+            if end < n and ((weight[left] * last).sum(axis=1) >= np.maximum(floors[left], -1e300)).all() and np.isfinite(floors[left]).all():
+                continue
+            read = np.concatenate([self.place < end, self.place >= n - end], axis=1).astype(kind)
+            held = read * np.tile(self.rows, 2).astype(kind)
+            waiting = []
+            for a in range(0, len(left), max(1, CELLS // n)):
+                some = left[a : a + max(1, CELLS // n)]
+                w = weight[some].astype(kind).T
+                got, bounds = held @ w, []
+                for unread in (last, far):
+                    each = w * unread.astype(kind)[:, None]
+                    bounds.append(got + (each.sum(axis=0) - read @ each))
+                upper, lower = bounds
+                for i, q in enumerate(some):
+                    upper[own[q], i] = lower[own[q], i] = -np.inf
+                bar = np.maximum(floors[some], np.partition(lower, n - k, axis=0)[n - k] if n > k else -np.inf) - slack[some]
+                fits = upper >= bar
+                for i, q in enumerate(some):
+                    fits[own[q], i] = False
+                done = (fits.sum(axis=0) <= enough) | (end == n)
+                for i in np.flatnonzero(done):
+                    yield some[i], np.flatnonzero(fits[:, i]), end / n
+                waiting.append(some[~done])
+            left = np.concatenate(waiting)
+            if not len(left):
+                return
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -132,14 +151,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         # rows with a query's id, if any, by the first place of the id among sorted ones
         place = pc.index_in(pa.concat_arrays(right.column("query_id").chunks).cast(keys.type), value_set=keys).to_numpy(zero_copy_only=False)
         floors = right.column("floor").to_numpy()
-        of, at, scores = [], [], []
-        for i, q in enumerate(asks):
-            own = np.array([], np.int64)
-            if not np.isnan(place[i]):
-                mine = ranks[int(place[i])]
-                own = by_key[np.searchsorted(ranks, mine, sorter=by_key) : np.searchsorted(ranks, mine, "right", sorter=by_key)]
-            found, _ = lists.candidates(q, k, floors[i], own)
-            score = lists.rows[found] @ q
+        of, at, scores = ([np.array([], np.int64)] for _ in range(3))
+        own = [np.array([], np.int64)] * len(asks)
+        for i in np.flatnonzero(~np.isnan(place)):
+            mine = ranks[int(place[i])]
+            own[i] = by_key[np.searchsorted(ranks, mine, sorter=by_key) : np.searchsorted(ranks, mine, "right", sorter=by_key)]
+        for i, found, _ in lists.candidates(asks, k, floors, own):
+            score = lists.rows[found] @ asks[i]
             best = np.lexsort((ranks[found], -score))[:k]
             of.append(np.full(len(best), i))
             at.append(found[best])

@@ -78,13 +78,15 @@ def test_reading_stops_early():
     centres = r.normal(size=(20, 8))
     v = np.floor(256 * (centres[np.arange(4000) % 20] + 0.05 * r.normal(size=(4000, 8)))).astype(np.int64)
     lists = nra.SortedLists(v)
-    none = np.array([], np.int64)
-    reads = []
-    for q in v[:40]:
-        found, read = lists.candidates(q, 5, -np.inf, none)
-        best = np.lexsort((np.arange(4000), -(v @ q)))[:5]
-        assert set(best) <= set(found)
-        told, sooner = lists.candidates(q, 5, float((v @ q)[best[-1]]), none)
-        assert set(best) <= set(told) and sooner <= read
-        reads.append(read)
-    assert np.mean(reads) < 0.7
+    none = [np.array([], np.int64)] * 40
+    q = v[:40]
+    exact = q @ v.T
+    kth = np.sort(exact, axis=1)[:, -5].astype(float)
+    reads = {}
+    for name, floors in (("none", np.full(40, -np.inf)), ("told", kth)):
+        found = {i: (rows, read) for i, rows, read in lists.candidates(q, 5, floors, none)}
+        assert sorted(found) == list(range(40))
+        for i, (rows, _) in found.items():
+            assert set(np.lexsort((np.arange(4000), -exact[i]))[:5]) <= set(rows)
+        reads[name] = np.mean([read for _, read in found.values()])
+    assert reads["told"] <= reads["none"] < 0.7
