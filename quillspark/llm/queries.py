@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
-from quillspark.llm import audit, bagminhash, chat, ctxmix, decontam, licenses, mixing, nra, quality, records, secrets, suffix_dedup
+from quillspark.llm import audit, bagminhash, blockmax, chat, ctxmix, decontam, licenses, mixing, nra, quality, records, secrets, suffix_dedup
 
 
 @functools.cache
@@ -152,6 +152,30 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctxmix.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = blockmax.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+    return got.select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), g AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY k, term),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (k), g GROUP BY item_id, doc_id, k
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -206,6 +230,7 @@ QUERIES = {
     "op8_minhash_classes": op8_minhash_classes,
     "op9_token_records": op9_token_records,
     "op10_context_mixing": op10_context_mixing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_exact_topk": op13_exact_topk,
 }
@@ -213,6 +238,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
     "op13_exact_topk": OP13_SQL,
 }
