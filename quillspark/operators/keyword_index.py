@@ -26,6 +26,8 @@ SHARD_TOKENS, ROWS, QUERY_BLOCK = 4_000_000, 500, 256
 
 #: A batch's (keys, tokens of all its rows, number of tokens of each row, size of each row).
 Words = Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]
+#: Terms that are looked up by the statistics of files (as many as Spark gives to a scan as they are).
+FEW = 10
 #: What marks start with. They are listed as terms are, and no term starts so.
 MARK = "@"
 
@@ -67,7 +69,13 @@ def build(rows: DataFrame, key_type: str, impact_of: Callable[[np.ndarray], bloc
 def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df, cf) of the terms in ``terms`` that the index has."""
     asked = terms.select("term").distinct()
-    return index.select("term", "df", "cf").where("term <> ''").join(_sent(asked), "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return _near(index, asked).select("term", "df", "cf").where("term <> ''").join(_sent(asked), "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _near(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index without files and row groups that a few terms can't be in; of many terms, the index."""
+    some = [r["term"] for r in terms.select("term").distinct().limit(FEW + 1).collect()]
+    return index.where(F.col("term").isin(*some)) if len(some) <= FEW else index
 
 
 def _sent(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
@@ -93,7 +101,7 @@ def top_rows(index: DataFrame, asked: DataFrame, k: int, impact: blocks.Impact,
     total = asked.groupBy(F.col("query_id").alias("q")).agg(F.count_if(F.col("needed") & ~F.col("mark")).alias("n_needed"), F.count_if("mark").alias("n_marks"))
     # a block's queries share a row a term
     by_term = asked.join(total, F.col("query_id").eqNullSafe(F.col("q"))).drop("q").withColumn("block", block).groupBy("block", "term").agg(F.collect_list(F.struct("query_id", "weight", "needed", "mark", "n_needed", "n_marks")).alias("asks"))
-    lists = index.where("term <> ''").join(_sent(by_term), "term")
+    lists = _near(index, asked).where("term <> ''").join(_sent(by_term), "term")
     heads = index.where("term = ''").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).withColumn("asks", F.lit(None).cast(dict(by_term.dtypes)["asks"]))
     columns = ["shard", "block", "term", "first", "last", "until", "most", "packed", "keys", "sizes", "asks"]
     key = dict(index.dtypes)["keys"].removeprefix("array<")[:-1]

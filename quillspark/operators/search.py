@@ -1,61 +1,67 @@
 """Keyword, vector and hybrid search over chunks, for whole sets of queries at once.
 
 Queries are a table; every operator returns ranked rows for all of them in one
-plan. The index is three tables: postings, term statistics and the corpus totals.
+plan. Keyword search reads a stored index alone, not the chunks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.core import fresh_path, small_enough
+from quillspark.core import fresh_path, materialize
 from quillspark.functions.text import RESERVED, tokens
+from quillspark.operators import keyword_index
 
 K1, B = 1.2, 0.75
 #: Stands for an inverse document frequency that isn't positive.
 LEAST_IDF = 1e-6
 RRF_K = 60
+#: The columns of a chunk that are indexed (fixed values).
+INDEXED = ("chunk_id", "document_id", "title", "section_path", "paragraph_ref", "text", "topic", "document_type")
 
 
-def postings(chunks: DataFrame, columns: list[str], key: str = "chunk_id") -> DataFrame:
-    """(key, term, tf, dl): dl is the number of tokens over all indexed columns."""
-    words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
-    each = chunks.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def bm25_impact(mean: float) -> Callable:
+    """What an occurrence count is worth in a chunk of ``size`` tokens, ``mean`` being the usual size."""
+    return lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
 
+def _usual(sizes) -> float:
+    return max(1.0, float(sizes.mean())) if len(sizes) else 1.0
 
-def asked_postings(chunks: DataFrame, columns: list[str], terms: DataFrame, key: str = "chunk_id", sent: int = 16 << 20) -> DataFrame:
-    """Postings of the terms in ``terms`` (term) alone: other tokens go before anything is shuffled.
 
-    Terms are sent to all tasks within ``sent`` bytes by the optimizer's estimate, else
-    they meet the tokens in a shuffle.
+def build_index(chunks: DataFrame, columns: list[str], key: str = "chunk_id", marks: list[Column] | None = None, name: str = "") -> DataFrame:
+    """The keyword index of the tokens of ``columns``, to be stored.
+
+    ``marks``: by what searches can filter, text columns that start with ``@`` (null: no
+    mark). They don't count as tokens. ``name`` tells the shards of one part of a
+    corpus from those of others.
     """
     words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
-    each = chunks.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    asked = terms.select("term").distinct()
-    asked = F.broadcast(asked) if small_enough(chunks.sparkSession, terms, sent) else asked
-    return each.join(asked, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = chunks.select(F.col(key).alias("key"), words.alias("words"), *(m.alias(f"m{i}") for i, m in enumerate(marks or [])))
+    marked = F.array_compact(F.array(*(F.col(f"m{i}") for i in range(len(marks or []))))) if marks else F.array().cast("array<string>")
+    rows = rows.select("key", F.concat("words", marked).alias("words"), F.size("words").cast("long").alias("size"))
+    return keyword_index.build(rows, dict(rows.dtypes)["key"], lambda sizes: bm25_impact(_usual(sizes)), name=name)
 
 
-def term_frequencies(chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """(term, df, cf) of all terms, in one aggregate with a combiner and no key but the term."""
-    words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
-    # each distinct token of a chunk once for df, every token once for cf
-    marked = chunks.select(words.alias("w")).select(F.explode(F.concat(F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(True).alias("first"))), F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(False).alias("first"))))).alias("x"))
-    return marked.groupBy("x.term").agg(F.count(F.when(F.col("x.first"), 1)).alias("df"), F.count(F.when(~F.col("x.first"), 1)).alias("cf"))
+def mark(name: str, value: Column) -> Column:
+    """The mark of a field's value; null for null."""
+    return F.concat(F.lit(f"{keyword_index.MARK}{name}:"), value.cast("string"))
 
 
-def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def index_terms(index: DataFrame) -> DataFrame:
+    """(term, df, cf) of all terms, from the index alone."""
+    rows = index.select("term", "df", "cf").where(f"term <> '' AND NOT startswith(term, '{keyword_index.MARK}')")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def totals(chunks: DataFrame, columns: list[str]) -> DataFrame:
+def index_totals(index: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length, filters aside."""
-    length = F.size(F.flatten(F.array(*(tokens(F.col(c)) for c in columns))))
-    return chunks.select(length.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    heads = index.where("term = ''").select(F.size("sizes").alias("n"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"))
+    return heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
 
 
 def query_terms(text: str) -> list[str]:
@@ -68,25 +74,26 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
 
 
-def bm25(query_rows: DataFrame, post: DataFrame, stats: DataFrame, total: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, matched, score) of chunks with any of a query's terms.
+def keyword_hits(index: DataFrame, asked: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query_id, key, score, mode, rank): the k best chunks of each query by BM25.
 
-    ``query_rows``: (query_id, term), a term as often as the query repeats it.
-    ``matched`` counts the distinct terms that a chunk has.
+    ``asked``: query_id, term, a term as often as the query repeats it, marks among them.
+    Chunks with all terms but the reserved ones go by these; a query without such
+    chunks has those with any of its terms, reserved ones included. A query of reserved
+    words alone finds nothing. Scores that round to the same are ties, which go by key.
     """
-    asked = query_rows.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    n = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hit = asked.join(stats, "term").join(post, "term").crossJoin(F.broadcast(total))  # one row of totals
-    part = F.col("times") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    got = hit.groupBy("query_id", key).agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
-    return got.join(n, "query_id")
-
-
-def relaxed(hits: DataFrame) -> DataFrame:
-    """Chunks with all terms of a query; if it has none, chunks with any. Adds ``mode``."""
-    every = (F.col("matched") == F.col("n_terms")).cast("int")
-    most = F.max(every).over(Window.partitionBy("query_id"))
-    return hits.withColumn("all_terms", every).withColumn("strict", most).where("all_terms = strict").withColumn("mode", F.when(F.col("strict") == 1, "and").otherwise("or")).drop("all_terms", "strict")
+    total = index_totals(index).first()
+    n, avgdl = float(total["n"]), float(total["avgdl"] or 1) or 1.0
+    times = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    counts = keyword_index.term_counts(index, times)
+    is_mark = F.startswith("term", F.lit(keyword_index.MARK))
+    needed = ~is_mark & ~F.col("term").isin(*RESERVED)
+    weight = F.when(is_mark, 0.0).otherwise(F.coalesce(F.col("times") * idf(F.lit(n), F.col("df")), F.lit(0.0)))
+    weighed = times.join(counts, "term", "left").select("query_id", "term", weight.alias("weight"), needed.alias("needed"))
+    told = materialize(weighed.withColumn("some", F.max("needed").over(Window.partitionBy("query_id"))).where("some").drop("some"), "asked-terms")
+    found = materialize(keyword_index.top_rows(index, told, k, bm25_impact(avgdl), digits, True, lambda sizes: max(1.0, avgdl / _usual(sizes))), "keyword-hits")
+    hits = keyword_index.strict_or_any(found).withColumn("score", F.round("score", digits))
+    return ranked(hits, [F.desc("score"), F.col("key")], k)
 
 
 def ranked(hits: DataFrame, order: list[Column], limit: int, by: str = "query_id", name: str = "rank") -> DataFrame:

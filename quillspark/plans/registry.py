@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.core import materialize, table
 from quillspark.functions import text as X
 from quillspark.operators import corpus, evaluate, filters, navigate, search, segment
-from quillspark.plans import retrieve
+from quillspark.plans import build, retrieve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -51,6 +51,15 @@ def tok(x: str) -> str:
     return TOKENS.replace("{}", x)
 
 
+def hits_sql(key: str) -> str:
+    """Of q (query_id, term, times, needed), p, s and g: a query's rows with a term, and their scores by all needed terms if any row has these."""
+    part = "times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+    return f"""h AS (SELECT query_id, {key}, count(*) FILTER (needed) AS matched, sum({part}) AS any_score, sum({part}) FILTER (needed) AS all_score
+      FROM q JOIN s USING (term) JOIN p USING (term), g GROUP BY ALL),
+r AS (SELECT *, CASE WHEN strict = 1 THEN all_score ELSE any_score END AS score FROM (
+        SELECT h.*, n_terms, max((matched = n_terms)::INT) OVER (PARTITION BY query_id) AS strict FROM h JOIN (SELECT query_id, count(*) FILTER (needed) AS n_terms FROM q GROUP BY ALL) USING (query_id) WHERE n_terms > 0))"""
+
+
 # --- keyword search -------------------------------------------------------------
 
 
@@ -63,19 +72,17 @@ BM25 = f"""t AS (SELECT document_id, {tok("text")} AS w FROM (SELECT doc_id AS d
 p AS (SELECT document_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT document_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
 s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 g AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) GROUP BY ALL),
-h AS (SELECT query_id, document_id, count(*) AS matched,
-        sum(times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-      FROM q JOIN s USING (term) JOIN p USING (term), g GROUP BY ALL),
-r AS (SELECT h.*, n_terms, max((matched = n_terms)::INT) OVER (PARTITION BY query_id) AS strict FROM h JOIN (SELECT query_id, count(*) AS n_terms FROM q GROUP BY ALL) USING (query_id))"""
+q AS (SELECT query_id, term, count(*) AS times, term NOT IN ('and', 'or', 'not') AS needed FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) GROUP BY ALL),
+{hits_sql("document_id")}"""
+
+
+def _document_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index of whole texts."""
+    return build.stored(table(spark, d, "documents"), "text-index", lambda: build.by_term(search.build_index(documents(spark, d), ["text"], "document_id")))
 
 
 def _search(spark: SparkSession, d: str, limit: int = 10) -> DataFrame:
-    docs, asked = documents(spark, d), _asked(spark, d)
-    # a row a document and queried term, read by the statistics and by the hits
-    post = materialize(search.asked_postings(docs, ["text"], asked, "document_id"), "asked-postings")
-    hits = search.relaxed(search.bm25(asked, post, search.term_stats(post), search.totals(docs, ["text"]), "document_id"))
-    return search.ranked(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("document_id")], limit)
+    return search.keyword_hits(_document_index(spark, d), _asked(spark, d), limit).withColumnRenamed("key", "document_id")
 
 
 @query(
@@ -106,13 +113,13 @@ def search_citations(spark, d):
 @query(f"WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def term_statistics(spark, d):
     """Document and collection frequencies of all terms."""
-    return search.term_frequencies(documents(spark, d), ["text"])
+    return search.index_terms(_document_index(spark, d))
 
 
 @query(f"WITH t AS (SELECT doc_id, {tok('text')} AS w FROM documents) SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM t")
 def corpus_totals(spark, d):
     """Number and mean length of documents."""
-    return search.totals(documents(spark, d), ["text"]).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return search.index_totals(_document_index(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 # --- vectors and fusion ---------------------------------------------------------
@@ -193,19 +200,26 @@ REQUESTS = f"""{CHUNKS}, t AS (SELECT chunk_id, document_id, sequence_no, CASE W
 p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
 s AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 g AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) WHERE term NOT IN ('and', 'or', 'not') GROUP BY ALL),
-h AS (SELECT query_id, chunk_id, count(*) AS matched,
-        sum(times * (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-      FROM q JOIN s USING (term) JOIN p USING (term), g GROUP BY ALL),
-r AS (SELECT h.*, n_terms, max((matched = n_terms)::INT) OVER (PARTITION BY query_id) AS strict FROM h JOIN (SELECT query_id, count(*) AS n_terms FROM q GROUP BY ALL) USING (query_id)),
+q AS (SELECT query_id, term, count(*) AS times, term NOT IN ('and', 'or', 'not') AS needed FROM (SELECT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark) GROUP BY ALL),
+{hits_sql("chunk_id")},
 k AS (SELECT query_id, chunk_id, CASE WHEN strict = 1 THEN 'and' ELSE 'or' END AS mode, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM r WHERE (matched = n_terms)::INT = strict QUALIFY rank <= 20),
 e AS (SELECT 1000000 + document_id AS query_id, chunk_id, 'exact' AS mode, row_number() OVER (PARTITION BY document_id ORDER BY sequence_no, chunk_id) AS rank FROM t WHERE document_id % 50 = 0 QUALIFY rank <= 20),
 u AS (SELECT query_id, chunk_id, mode, pos AS rank FROM (SELECT query_id, chunk_id, mode, row_number() OVER (PARTITION BY query_id ORDER BY (region = 'front_matter')::INT, x.rank) AS pos FROM (FROM k UNION ALL FROM e) x JOIN t USING (chunk_id)) WHERE pos <= 10)"""
 
 
 def _read_chunks(spark, d):
-    region = F.when(F.col("sequence_no") == 1, "front_matter").otherwise("body")
-    return chunks(spark, d).withColumn("document_region", region).withColumn("version_id", F.col("document_id"))
+    """The stored chunks."""
+
+    def make():
+        region = F.when(F.col("sequence_no") == 1, "front_matter").otherwise("body")
+        return chunks(spark, d).withColumn("document_region", region).withColumn("version_id", F.col("document_id"))
+
+    return build.stored(table(spark, d, "documents"), "chunks", make)
+
+
+def _chunk_index(spark, d):
+    """The stored index of chunks, from stored chunks."""
+    return build.stored(table(spark, d, "documents"), "chunk-index", lambda: build.by_term(retrieve.index_chunks(_read_chunks(spark, d), ("text",))))
 
 
 def _requests(spark, d):
@@ -218,7 +232,7 @@ def _hits(spark, d):
     ids = F.col("query").rlike("^id:[0-9]+$")
     # an id as requests write it is an alias of the document's own
     own = table(spark, d, "documents").select(F.concat(F.lit("id:"), F.col("doc_id").cast("string")).alias("target"), F.col("doc_id").cast("string").alias("source")).distinct()
-    return retrieve.search_chunks(_requests(spark, d), _read_chunks(spark, d), ids, 10, aliases=own)
+    return retrieve.search_chunks(_requests(spark, d), _read_chunks(spark, d), ids, 10, aliases=own, index=_chunk_index(spark, d))
 
 
 @query(f"WITH {REQUESTS} SELECT query_id, chunk_id, mode, rank FROM u")

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize
-from quillspark.functions.text import tokens
+from quillspark.functions.text import series_code, tokens
 from quillspark.operators import navigate, search
+from quillspark.plans import build
 
+#: Ids that were made for documents without one (a fixed pattern).
+GENERATED = r"(?i)^[A-Z]+/LARGE-[A-Za-z]+/\d{4}/\d+$"
 
 #: Columns of a citation in compact answers (fixed values).
 COMPACT = ("citation_id", "document_id", "paragraph_ref", "page_start", "page_end", "text", "truncated", "truncation_offset", "citation")
@@ -51,49 +54,91 @@ def vectors_unfit(manifest: dict | None, model: str, dim: int | None) -> str | N
 
 
 def split_requests(requests: DataFrame, is_id: Column, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(query_id, document_id) of requests that name a document, and (query_id, query) of all others.
+    """Requests that name a document (query_id, document_id, other filters), and all others (query_id, query, filters).
 
-    ``requests``: query_id, query, document_id (a filter or null). A filter alone names
-    its document; beside a query that isn't an id it only filters, and stays a column.
+    ``requests``: query_id, query, document_id (a filter or null) and any of the filters.
+    An id as the query names its document, whatever the filter; a filter alone names its
+    document, and beside words it only filters. Topics don't filter a named document.
     Aliases (target, source) are followed once.
     """
     said = F.trim(F.coalesce("query", F.lit("")))
-    named = F.when(is_id, said).when(said == "", F.col("document_id"))
-    rows = requests.withColumn("named", named)
-    ids = rows.where("named IS NOT NULL").select("query_id", F.col("named").alias("document_id"))
+    more = [c for c in (*build.FILTERS, "exclude_consultation") if c in requests.columns and c != "document_id"]
+    asked = F.when(F.coalesce(F.col("document_id").cast("string"), F.lit("")) != "", F.col("document_id").cast("string"))
+    rows = requests.select("query_id", said.alias("query"), asked.alias("document_id"), *more, F.when(is_id, said).alias("said_id"))
     if aliases is not None:
-        ids = navigate.resolve(ids, aliases, "document_id")
-    return ids, rows.where("named IS NULL").where(said != "").select("query_id", said.alias("query"), F.col("document_id").alias("only"))
+        for c in ("document_id", "said_id"):
+            rows = navigate.resolve(rows, aliases, c)
+    rows = rows.withColumn("named", F.coalesce("said_id", F.when(F.col("query") == "", F.col("document_id"))))
+    ids = rows.where("named IS NOT NULL").select("query_id", F.col("named").alias("document_id"), *(c for c in more if c != "topic"))
+    return ids, rows.where("named IS NULL").where("query <> ''").select("query_id", "query", "document_id", *more)
+
+
+def index_chunks(chunks: DataFrame, columns: tuple[str, ...] = search.INDEXED, name: str = "") -> DataFrame:
+    """The keyword index of chunks with the marks of their filters, to be stored."""
+    return search.build_index(chunks, list(columns), marks=build.chunk_marks(chunks.columns), name=name)
+
+
+def asked_terms(words: DataFrame) -> DataFrame:
+    """(query_id, term) of requests: their words as tokens, repeats kept, and the marks of their filters."""
+    marks = F.array_compact(F.array(F.lit(None).cast("string"), *build.asked_marks(words.columns)))
+    return words.select("query_id", F.explode(F.concat(tokens(F.col("query")), marks)).alias("term"))
 
 
 def search_chunks(
-    requests: DataFrame, chunks: DataFrame, is_id: Column, limit: int = 10, aliases: DataFrame | None = None, vectors: DataFrame | None = None, asked_vectors: DataFrame | None = None, columns: tuple[str, ...] = ("text",)
-) -> DataFrame:
-    """(query_id, chunk_id, mode, rank), at most ``limit`` a request.
-
-    ``chunks``: chunk_id, document_id, sequence_no, document_region and the indexed
-    columns. ``vectors`` (chunk_id, embedding) and ``asked_vectors`` (query_id,
-    embedding) switch fusion on; a request without a vector has its keyword hits.
-    ``mode``: exact, and, or, hybrid.
+    requests: DataFrame, chunks: DataFrame, is_id: Column, limit: int = 10, aliases: DataFrame | None = None, vectors: DataFrame | None = None, asked_vectors: DataFrame | None = None, columns: tuple[str, ...] = ("text",), index: DataFrame | None = None,
+    manifest: dict | None = None, model: str | None = None, dim: int | None = None,
+) -> DataFrame:
+    """(query_id, chunk_id, mode, rank, warning), at most ``limit`` a request.
+
+    ``requests``: query_id, query, document_id and any of the filters. ``chunks``: chunk_id,
+    document_id, sequence_no, document_region, the filters' fields and the indexed
+    columns; ``index`` is theirs, by ``index_chunks``, and is built if it isn't given.
+    ``vectors`` (chunk_id, embedding) and ``asked_vectors`` (query_id, embedding) switch
+    fusion on; a request without a vector has its keyword hits. With ``model``, vectors that
+    the manifest says don't fit stay unused, and each row's ``warning`` says so. Where
+    chunks have paragraph_ref and text, hits under a generated id go behind a canonical
+    hit that says the same, unless the request asks for such an id. ``mode``: exact, and,
+    or, hybrid.
     """
     most = overfetch(limit)
     ids, words = split_requests(requests, is_id, aliases)
-    rows = chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), "sequence_no", "document_region")
-    exact = search.ranked(ids.withColumn("document_id", F.col("document_id").cast("string")).join(rows, "document_id"), [F.col("sequence_no"), F.col("chunk_id")], most)
-    exact = exact.select("query_id", "chunk_id", "rank", "document_region", F.lit("exact").alias("mode"))
-
-    asked = words.select("query_id", F.explode(F.filter(tokens(F.col("query")), lambda t: ~t.isin(*search.RESERVED))).alias("term"))
-    names = list(columns)
-    post = materialize(search.asked_postings(chunks, names, asked), "asked-postings")
-    hits = search.relaxed(search.bm25(asked, post, search.term_stats(post), search.totals(chunks, names)))
-    hits = hits.join(words.select("query_id", "only"), "query_id").join(rows.select("chunk_id", "document_id", "document_region"), "chunk_id").where("only IS NULL OR only = document_id")
-    found = search.ranked(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.col("chunk_id")], most).select("query_id", "chunk_id", "rank", "document_region", "mode")
-    if vectors is not None and asked_vectors is not None:
+    extra = [c for c in ("paragraph_ref", "text") if c in chunks.columns]
+    rows = chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), "sequence_no", "document_region", *extra)
+    named = ids.select("query_id", "document_id", F.array_compact(F.array(F.lit(None).cast("string"), *build.asked_marks([c for c in ids.columns if c != "document_id"]))).alias("asked"))
+    marked = chunks.select("chunk_id", F.array_compact(F.array(F.lit(None).cast("string"), *build.chunk_marks(chunks.columns))).alias("marks"))
+    of = named.join(rows.select("chunk_id", "document_id", "sequence_no"), "document_id")
+    if len(ids.columns) > 2:
+        of = of.join(marked, "chunk_id").where(F.size(F.array_except("asked", "marks")) == 0)
+    exact = search.ranked(of, [F.col("sequence_no"), F.col("chunk_id")], most).select("query_id", "chunk_id", "rank", F.lit("exact").alias("mode"))
+
+    index = materialize(index_chunks(chunks, columns), "chunk-index") if index is None else index
+    found = search.keyword_hits(index, asked_terms(words), most).select("query_id", F.col("key").alias("chunk_id"), "rank", "mode")
+    warning = vectors_unfit(manifest, model, dim) if model is not None else None
+    if vectors is not None and asked_vectors is not None and warning is None:
         near = search.nearest(asked_vectors.join(words.select("query_id"), "query_id", "left_semi"), vectors, most, key="chunk_id")
+        near = _filtered(near, words, marked)
+        have = asked_vectors.select("query_id", F.lit(True).alias("has_vector")).distinct()
         fused = search.ranked(search.fuse(found, near).withColumn("score", F.round("score", 9)), search.fused_order(), most)
-        found = fused.join(rows.select("chunk_id", "document_region"), "chunk_id").select("query_id", "chunk_id", "rank", "document_region", F.lit("hybrid").alias("mode"))
-    shown = search.prefer_regions(exact.unionByName(found))
-    return shown.where(F.col("rank") <= limit).select("query_id", "chunk_id", "mode", "rank")
+        said = found.select("query_id", "mode").distinct()
+        fused = fused.join(have, "query_id", "left").join(said, "query_id", "left")
+        found = fused.select("query_id", "chunk_id", "rank", F.when(F.col("has_vector"), "hybrid").otherwise(F.col("mode")).alias("mode"))
+    shown = search.prefer_regions(exact.unionByName(found).join(rows.drop("sequence_no"), "chunk_id"))
+    if len(extra) == 2:
+        generated = F.col("document_id").rlike(GENERATED)
+        asks = requests.select("query_id", F.coalesce(F.trim(F.coalesce("query", F.lit(""))).rlike(GENERATED) | F.coalesce(F.col("document_id").cast("string"), F.lit("")).rlike(GENERATED), F.lit(False)).alias("asks_generated"))
+        shown = shown.join(asks, "query_id")
+        shown = search.demote_generated(shown, generated & ~F.col("asks_generated") & (F.col("mode") != "exact"), series_code(F.col("document_id")), "paragraph_ref", "text")
+    return shown.where(F.col("rank") <= limit).select("query_id", "chunk_id", "mode", "rank", F.lit(warning).alias("warning"))
+
+
+def _filtered(near: DataFrame, words: DataFrame, marked: DataFrame) -> DataFrame:
+    """Nearest chunks that have the marks their request asks for, ranked anew."""
+    marks = build.asked_marks(words.columns)
+    if not marks:
+        return near
+    asked = words.select("query_id", F.array_compact(F.array(*marks)).alias("asked"))
+    ok = near.join(asked, "query_id").join(marked, "chunk_id").where(F.size(F.array_except("asked", "marks")) == 0)
+    return ok.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).drop("asked", "marks")
 
 
 def with_context(hits: DataFrame, chunks: DataFrame, before: int, after: int, limit: int) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillspark.core import materialize
 from quillspark.functions import text as X
 from quillspark.operators import corpus, evaluate, navigate, search
 
@@ -86,10 +87,11 @@ def test_bm25_against_sqlite(spark):
     con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate(texts, 1)))
     want = {r[0]: round(-r[1], 9) for r in con.execute("SELECT rowid, rank FROM t WHERE t MATCH 'cat AND dog'")}
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "chunk_id long, text string")
-    post = search.postings(docs, ["text"])
+    index = materialize(search.build_index(docs, ["text"]), "index")
     asked = spark.createDataFrame([(1, "cat"), (1, "dog")], "query_id long, term string")
-    got = search.relaxed(search.bm25(asked, post, search.term_stats(post), search.totals(docs, ["text"])))
-    assert {r["chunk_id"]: round(r["score"], 9) for r in got.collect()} == want
+    got = search.keyword_hits(index, asked, 10)
+    assert {r["key"]: r["score"] for r in got.collect()} == {k: round(v, 6) for k, v in want.items()}
+    assert {r["mode"] for r in got.collect()} == {"and"}
 
 
 def test_pages(spark):

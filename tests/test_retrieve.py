@@ -1,7 +1,11 @@
 from pyspark.sql import functions as F
 
+from quillspark.core import materialize
+from quillspark.operators import keyword_index, search
 from quillspark.operators.evaluate import cyclic_sections, judge_fixtures
-from quillspark.plans.retrieve import COMPACT, compact, search_chunks, sections, split_requests, vectors_unfit, with_flags
+from quillspark.plans import build
+from quillspark.plans.retrieve import COMPACT, compact, index_chunks, search_chunks, sections, split_requests, vectors_unfit, with_flags
+from quillspark.sources.snapshots import SnapshotTable
 
 CHUNK = "chunk_id string, document_id string, sequence_no int, document_region string, text string"
 
@@ -67,3 +71,60 @@ def test_fixtures_are_judged(spark):
     assert got[4][1] == ["expected answerability partial, got exact", "expected at least 3 results, got 1", "expected document E not in results"]
     assert "no answer" in got[6][1] and got[7][1] == ["expected zero citations"]
     assert {r["fixture_id"] for r in judge_fixtures(fixtures, answers, cited).where("passed").collect()} == {2, 5}
+
+
+def wide_chunks(spark):
+    rows = [
+        ("c1", "A/GL/2020/1", 1, "body", "Scope of risk", "4. Scope", "4", "risk appetite statement", "Risk", "guideline", "en"),
+        ("c2", "A/GL/2020/1", 2, "body", "Scope of risk", "Feedback on the public consultation", "5", "risk feedback", "Risk", "guideline", "en"),
+        ("c3", "B/OP/2021/2", 1, "body", "Opinion on money laundering", "1. Général", "1", "opinion text", "Opinions", "opinion", "fr"),
+        ("c4", "C/GL/2022/3", 1, "body", "Other", None, None, "risk appetite statement again", None, "guideline", "en"),
+    ]
+    return spark.createDataFrame(rows, "chunk_id string, document_id string, sequence_no int, document_region string, title string, section_path string, paragraph_ref string, text string, topic string, document_type string, language string")
+
+
+def test_all_columns_and_filters(spark):
+    chunks = wide_chunks(spark)
+    index = materialize(index_chunks(chunks), "index")
+    fields = "query_id int, query string, document_id string, language string, topic string, document_type string, exclude_consultation boolean"
+    requests = [
+        (1, "risk", None, None, None, None, None), (2, "risk", None, None, None, None, True), (3, "risk", "C/GL/2022/3", None, None, None, None), (4, "opinion", None, "en", None, None, None), (5, "opinion general", None, "fr", None, None, None),
+        (6, "opinion", None, None, "aml/cft", None, None), (7, "risk", None, "", "Risk", "guideline", False), (8, "guideline statement", None, None, None, None, None), (9, "A/GL/2020/1", None, None, None, None, True), (10, "A/GL/2020/1", None, "fr", None, None, None),
+        (11, "GL 2022", None, None, None, None, None), (12, "risk", "none", None, None, None, None),
+    ]
+    got = {}
+    for r in search_chunks(spark.createDataFrame(requests, fields), chunks, F.col("query").rlike("^[A-Z]+/GL/"), 10, index=index).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["c1", "c2", "c4"], 2: ["c1", "c4"], 3: ["c4"], 5: ["c3"], 6: ["c3"], 7: ["c1", "c2"], 8: ["c1", "c4"], 9: ["c1"], 11: ["c4"]}
+
+
+def test_an_index_grows_by_appending(spark, tmp_path):
+    chunks = wide_chunks(spark)
+    at = SnapshotTable(spark, f"file://{tmp_path}/index")
+    for i, doc in enumerate(("A", "B", "C")):
+        at.append(index_chunks(chunks.where(F.startswith("document_id", F.lit(doc))), name=f"part{i}-"))
+    whole = materialize(index_chunks(chunks), "index")
+    asked = spark.createDataFrame([(1, "risk"), (1, "appetite"), (2, "opinion"), (2, "and"), (3, "and"), (4, "statement"), (4, "unknown")], "query_id int, term string")
+    rows = lambda index: sorted(tuple(r) for r in search.keyword_hits(index, asked, 10).collect())
+    assert rows(at.read()) == rows(whole)
+    assert {(r[0], r[3]) for r in rows(whole)} == {(1, "and"), (2, "and"), (4, "or")}
+
+
+def test_generated_ids_go_behind_and_unfit_vectors_stay_unused(spark):
+    text = " ".join(f"word{i:03d}" for i in range(40))
+    rows = [("a", "X/LARGE-GL/0000/0001", 1, "body", "4", text), ("b", "X/GL/2021/01", 1, "body", "4", text.upper() + " more"), ("c", "X/LARGE-GL/0000/0002", 1, "body", "5", text)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, sequence_no int, document_region string, paragraph_ref string, text string")
+    requests = spark.createDataFrame([(1, "word001 word002", None), (2, "word001", "X/LARGE-GL/0000/0001")], "query_id int, query string, document_id string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    found = search_chunks(requests, chunks, F.lit(False), 10, vectors=vectors, asked_vectors=asked, manifest={"embedding_model": "m", "embedding_dim": 3}, model="m", dim=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["chunk_id"], r["mode"]) for r in found] == [(1, "b", "and"), (1, "c", "and"), (1, "a", "and"), (2, "a", "and")]
+    assert all("dimensions" in r["warning"] for r in found)
+
+
+def test_few_terms_are_pushed_to_the_scan(spark, tmp_path):
+    at = SnapshotTable(spark, f"file://{tmp_path}/index")
+    at.replace(build.by_term(index_chunks(wide_chunks(spark))))
+    terms = spark.createDataFrame([("risk",)], "term string")
+    plan = keyword_index.term_counts(at.read(), terms)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "risk" in plan
