@@ -67,6 +67,11 @@ def small_enough(spark: SparkSession, df: DataFrame, limit_bytes: int) -> bool:
     return int(str(size)) <= limit_bytes
 
 
+def spread(df: DataFrame, limit_bytes: int = 128 << 20) -> DataFrame:
+    """A small ``df`` dealt to all cores, since its files may be read by one task; a larger one as it is read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small_enough(df.sparkSession, df, limit_bytes) else df
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on columns of one name in which null equals null.
 

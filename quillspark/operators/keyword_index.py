@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.core import small_enough
+from quillspark.core import materialize, small_enough
 from quillspark.operators import blocks
 
 #: Tokens after which a shard is closed, rows cut into words at once, and queries that meet a shard at once.
-SHARD_TOKENS, ROWS, QUERY_BLOCK = 4_000_000, 500, 256
+SHARD_TOKENS, ROWS, QUERY_BLOCK, LEAST_BLOCK = 4_000_000, 500, 256, 8
 
 #: A batch's (keys, tokens of all its rows, number of tokens of each row, size of each row).
 Words = Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]
@@ -95,12 +95,15 @@ def top_rows(index: DataFrame, asked: DataFrame, k: int, impact: blocks.Impact,
     """
     asked = asked if "needed" in asked.columns else asked.withColumn("needed", F.lit(True))
     asked = asked.withColumn("mark", F.startswith("term", F.lit(MARK)))
-    queries = asked.select("query_id").distinct().count()
-    n = max(1, -(-queries // QUERY_BLOCK))
+    queries, shards = asked.select("query_id").distinct().count(), index.where("term = ''").count()
+    # of few shards, smaller blocks keep all cores at work
+    tasks = 2 * asked.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-queries // QUERY_BLOCK), min(queries // LEAST_BLOCK, tasks // max(1, shards)))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
     total = asked.groupBy(F.col("query_id").alias("q")).agg(F.count_if(F.col("needed") & ~F.col("mark")).alias("n_needed"), F.count_if("mark").alias("n_marks"))
-    # a block's queries share a row a term
+    # a block's queries share a row a term; written, so that its size is known
     by_term = asked.join(total, F.col("query_id").eqNullSafe(F.col("q"))).drop("q").withColumn("block", block).groupBy("block", "term").agg(F.collect_list(F.struct("query_id", "weight", "needed", "mark", "n_needed", "n_marks")).alias("asks"))
+    by_term = materialize(by_term, "asked-by-term")
     lists = _near(index, asked).where("term <> ''").join(_sent(by_term), "term")
     heads = index.where("term = ''").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).withColumn("asks", F.lit(None).cast(dict(by_term.dtypes)["asks"]))
     columns = ["shard", "block", "term", "first", "last", "until", "most", "packed", "keys", "sizes", "asks"]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.core import fresh_path, materialize
+from quillspark.core import fresh_path, materialize, spread
 from quillspark.functions.text import RESERVED, tokens
 from quillspark.operators import keyword_index
 
@@ -41,7 +41,7 @@ def build_index(chunks: DataFrame, columns: list[str], key: str = "chunk_id", ma
     corpus from those of others.
     """
     words = F.flatten(F.array(*(tokens(F.col(c)) for c in columns)))
-    rows = chunks.select(F.col(key).alias("key"), words.alias("words"), *(m.alias(f"m{i}") for i, m in enumerate(marks or [])))
+    rows = spread(chunks).select(F.col(key).alias("key"), words.alias("words"), *(m.alias(f"m{i}") for i, m in enumerate(marks or [])))
     marked = F.array_compact(F.array(*(F.col(f"m{i}") for i in range(len(marks or []))))) if marks else F.array().cast("array<string>")
     rows = rows.select("key", F.concat("words", marked).alias("words"), F.size("words").cast("long").alias("size"))
     return keyword_index.build(rows, dict(rows.dtypes)["key"], lambda sizes: bm25_impact(_usual(sizes)), name=name)

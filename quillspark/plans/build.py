@@ -16,6 +16,8 @@ from quillspark.core import materialize, shared_dir
 from quillspark.operators import filters, search
 from quillspark.sources.snapshots import Conflict, SnapshotTable
 
+#: Raised whenever what is stored changes its form.
+FORMAT = 1
 #: Fields that a search can filter by equality.
 FILTERS = ("document_id", "document_type", "topic", "publication_status", "applicability_status", "language")
 #: The mark of chunks that aren't consultation material.
@@ -32,7 +34,7 @@ def fingerprint(source: DataFrame) -> str:
 def stored(source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` of ``source``'s files; ``make`` gives its rows if it isn't there."""
     spark = source.sparkSession
-    at = SnapshotTable(spark, f"{shared_dir(spark)}/quillspark/corpus/{name}-{fingerprint(source)}")
+    at = SnapshotTable(spark, f"{shared_dir(spark)}/quillspark/corpus/{name}-{FORMAT}-{fingerprint(source)}")
     if at.snapshot()["schema"] is None:
         try:
             at.replace(make())
