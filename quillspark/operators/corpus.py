@@ -244,5 +244,5 @@ def primary_id(refs: Column, title: Column, doc_type: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    """Distinct references of a text, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REF), F.lit(1)))
+    """Distinct references of a text, in order, written with slashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REF), F.lit(1)), lambda r: F.replace(r, F.lit("-"), F.lit("/"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
 from quillspark.functions import text as X
-from quillspark.operators import corpus, evaluate, filters, navigate, search, segment
+from quillspark.operators import corpus, crawl, evaluate, filters, navigate, search, segment
 from quillspark.plans import build, retrieve
 
 QUERIES: dict = {}
@@ -570,6 +570,40 @@ def first_links(spark, d):
     return got.select("href", "page_id", F.col("pos").cast("long"))
 
 
+#: Listings of the crawl: pages dealt to so many kinds, read in the order of their ids.
+KINDS = 6
+
+
+@query(
+    f"""WITH RECURSIVE {LINKS},
+l AS (SELECT page_id % {KINDS} AS kind, page_id // {KINDS} AS page_no, pos, regexp_replace(href, '[?#].*$', '') AS url, title FROM k),
+c AS (SELECT kind, page_no, pos, url, title FROM l WHERE regexp_full_match(url, '/[^/]{{1,9}}')),
+b AS (SELECT kind, min(page_no) AS bare FROM (SELECT kind, page_no + 1 AS page_no FROM (SELECT DISTINCT kind, page_no FROM l) UNION SELECT DISTINCT page_id % {KINDS}, 0 FROM pages) x
+      WHERE (kind, page_no) NOT IN (SELECT kind, page_no FROM l) GROUP BY kind),
+s AS (
+  SELECT -1::BIGINT AS kind, []::STRUCT(kind BIGINT, page_no BIGINT, pos BIGINT, url VARCHAR, title VARCHAR)[] AS took
+  UNION ALL
+  SELECT s.kind + 1, list_concat(s.took, coalesce((
+    WITH f AS (SELECT c.*, row_number() OVER (PARTITION BY url ORDER BY page_no, pos) AS nth FROM c JOIN b USING (kind)
+               WHERE c.kind = s.kind + 1 AND page_no < bare AND NOT list_contains(list_transform(s.took, lambda t: t.url), url)),
+    n AS (SELECT page_no FROM f WHERE nth = 1 GROUP BY page_no),
+    e AS (SELECT min(page_no) AS page_no FROM (SELECT DISTINCT page_no FROM l WHERE kind = s.kind + 1 AND page_no > 2 AND page_no NOT IN (SELECT page_no FROM n)) y)
+    SELECT list(struct_pack(kind := f.kind, page_no := f.page_no, pos := f.pos, url := f.url, title := f.title)) FROM f, e WHERE nth = 1 AND (e.page_no IS NULL OR f.page_no < e.page_no)
+  ), []))
+  FROM s WHERE s.kind < {KINDS - 1}
+)
+SELECT t.kind, t.page_no, t.pos, t.url, t.title, row_number() OVER (ORDER BY t.kind, t.page_no, t.pos) AS sequence FROM (SELECT unnest(took) AS t FROM s WHERE kind = {KINDS - 1})"""
+)
+def listing_crawl(spark, d):
+    """SRC1, U3: listings of stored pages under the stop rules, first occurrences numbered."""
+    pages = table(spark, d, "pages")
+    at = [(F.col("page_id") % KINDS).alias("kind"), F.floor(F.col("page_id") / KINDS).alias("page_no")]
+    found = corpus.page_links(pages).select(*at, "pos", X.url_without_query(F.col("href")).alias("url"), "title")
+    counts = pages.select(*at).distinct().join(found.groupBy("kind", "page_no").agg(F.count("*").alias("n_links")), ["kind", "page_no"])
+    got = crawl.listing_crawl(counts, found.where(F.col("url").rlike("^/[^/]{1,9}$")))
+    return got.select("kind", "page_no", F.col("pos").cast("long"), "url", "title", "sequence")
+
+
 @query(
     r"""WITH s AS (SELECT page_id, regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS plain FROM s"""
