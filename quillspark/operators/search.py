@@ -20,6 +20,8 @@ K1, B = 1.2, 0.75
 #: Stands for an inverse document frequency that isn't positive.
 LEAST_IDF = 1e-6
 RRF_K = 60
+#: When two texts say the same: least characters, least shared longer words, least share of them (fixed values).
+LEAST_CHARS, LEAST_TOKENS, SHARE = 80, 12, 0.9
 #: The columns of a chunk that are indexed (fixed values).
 INDEXED = ("chunk_id", "document_id", "title", "section_path", "paragraph_ref", "text", "topic", "document_type")
 
@@ -178,7 +180,7 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
-def strong_overlap(a: Column, b: Column, least_chars: int = 80, least_tokens: int = 12, share: float = 0.9) -> Column:
+def strong_overlap(a: Column, b: Column, least_chars: int = LEAST_CHARS, least_tokens: int = LEAST_TOKENS, share: float = SHARE) -> Column:
     """Whether two texts say the same: equal, contained, or sharing most longer words."""
     x, y = normal_text(a), normal_text(b)
     words = lambda t: F.array_distinct(F.filter(F.split(t, " "), lambda w: F.length(w) >= 3))
@@ -191,9 +193,10 @@ def strong_overlap(a: Column, b: Column, least_chars: int = 80, least_tokens: in
 def demote_generated(hits: DataFrame, generated: Column, series: Column, paragraph: str, text: str, key: str = "chunk_id", rank: str = "rank", by: str = "query_id") -> DataFrame:
     """Moves hits under a generated id behind all others if a canonical hit of the same
     series and paragraph says the same. Nothing is dropped."""
-    rows = hits.withColumn("generated", generated).withColumn("series", series)
-    canon = rows.where(~F.col("generated")).select(F.col(by).alias("c_by"), F.col(paragraph).alias("c_par"), F.col("series").alias("c_series"), F.col(text).alias("c_text"))
-    same = (F.col(by) == F.col("c_by")) & (F.col(paragraph) == F.col("c_par")) & (F.col("series") == F.col("c_series")) & strong_overlap(F.col(text), F.col("c_text"))
-    demoted = rows.where("generated").join(canon, same, "left_semi").select(by, key, F.lit(1).alias("demoted"))
+    from quillspark.operators.similar import similar_pairs
+
+    rows = materialize(hits.withColumn("generated", generated).withColumn("series", series).withColumn("row", F.struct(by, key)), "hits-by-kind")
+    pairs = similar_pairs(rows.where("generated"), rows.where(~F.col("generated")), [by, paragraph, "series"], "row", text)
+    demoted = pairs.select("left_key.*", F.lit(1).alias("demoted")).distinct()
     out = rows.join(demoted, [by, key], "left").withColumn("demoted", F.coalesce("demoted", F.lit(0)))
-    return out.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy("demoted", rank))).drop("generated", "series")
+    return out.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy("demoted", rank))).drop("generated", "series", "row")

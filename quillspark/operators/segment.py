@@ -1,17 +1,20 @@
 """Order-dependent segmentation: paragraphs from pages, outlines from chunks, long chunks split.
 
-One document is one group; groups are independent. The work inside a group is
-sequential by nature, so it runs in Python on the group's rows in order.
+Documents are independent; the work inside one is sequential by nature. It runs in table
+functions over rows that Spark partitions by document and sorts: a function is given one
+row after the other and keeps its state, not the document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_CHUNK = 4000
@@ -97,11 +100,13 @@ class Paragraphs:
     kind: str = "paragraph"
     first_page: int = 0
     last_page: int = 0
+    done: int = 0
     out: list[dict] = field(default_factory=list)
 
     def flush(self, region: str | None = None) -> None:
         if self.held:
-            text, n, s = "\n".join(self.held), len(self.out), self.at
+            text, n, s = "\n".join(self.held), self.done, self.at
+            self.done += 1
             ref = self.ref or s.ref
             shown = re.sub(r"[^A-Za-z0-9._-]", "_", ref or f"seq-{n}")[:50]
             digest = sha256(text.encode()).hexdigest()
@@ -152,31 +157,61 @@ class Paragraphs:
             self.region = "body"
 
 
-def paragraphs(name: str, language: str, pages: list[tuple[int, str]], noise: set[str] = frozenset()) -> list[dict]:
-    """Chunks of one document from its (page_no, text) in order."""
-    lines = [(p, re.sub(r"\s+", " ", x).strip()) for p, text in pages for x in (text or "").splitlines()]
-    lines = [(p, x) for p, x in lines if x and x not in noise and not re.fullmatch(r"\d+", x)]
-    s, contents = Paragraphs(name, language, max((p for p, _ in pages), default=0)), False
-    for i, (page, line) in enumerate(lines):
+#: Lines that a decision looks ahead.
+AHEAD = 3
+
+
+class ParagraphReader:
+    """Chunks of one document, page by page; it holds an open chunk and ``AHEAD`` lines."""
+
+    def __init__(self, name: str, language: str, pages: int, noise: set[str] = frozenset()):
+        self.state, self.noise = Paragraphs(name, language, pages), noise
+        self.contents, self.waiting = False, deque()
+
+    def feed(self, page: int, text: str | None) -> Iterator[dict]:
+        """Chunks that are complete with the lines of a page."""
+        for line in (text or "").splitlines():
+            line = re.sub(r"\s+", " ", line).strip()
+            if line and line not in self.noise and not re.fullmatch(r"\d+", line):
+                self.waiting.append((page, line))
+                if len(self.waiting) > AHEAD:
+                    yield from self._take()
+
+    def finish(self) -> Iterator[dict]:
+        while self.waiting:
+            yield from self._take()
+        self.state.flush()
+        yield from self._given()
+
+    def _given(self) -> list[dict]:
+        out, self.state.out = self.state.out, []
+        return out
+
+    def _take(self) -> list[dict]:
+        page, line = self.waiting.popleft()
+        self._read(page, line, [x for _, x in list(self.waiting)[:AHEAD]])
+        return self._given()
+
+    def _read(self, page: int, line: str, follow: list[str]) -> None:
+        s = self.state
         if ID_LINE.match(line):
-            continue  # no text, though it counts as a line that follows
-        if page == 2 and (contents or line.lower() == "contents"):
-            if not contents:
+            return  # no text, though it counts as a line that follows
+        if page == 2 and (self.contents or line.lower() == "contents"):
+            if not self.contents:
                 s.flush()
                 s.at = Section("Contents")
                 s.stack = []
-                s.region, contents = "front_matter", True
-            continue
+                s.region, self.contents = "front_matter", True
+            return
         before = s.region
         s.move(page, line)
         if s.held and s.region != before:
             s.flush(before)
         bare, ref = paragraph_ref(line, bare=True), paragraph_ref(line)
         if bare:
-            follow = [x for _, x in lines[i + 1 : i + 4]]
             s.flush()
             if len(follow) > 1 and short_heading(follow[0]) and (short_heading(follow[1]) or paragraph_ref(follow[1])):
-                continue  # an entry of a table of contents
+                return  # an entry of a table of contents
             s.inherit()
             s.ref = bare
         elif ref:
@@ -197,8 +232,12 @@ def paragraphs(name: str, language: str, pages: list[tuple[int, str]], noise: se
         else:
             s.inherit()
             s.start(line, page)
-    s.flush()
-    return s.out
+
+
+def paragraphs(name: str, language: str, pages: list[tuple[int, str]], noise: set[str] = frozenset()) -> list[dict]:
+    """Chunks of one document from its (page_no, text) in order."""
+    reader = ParagraphReader(name, language, max((p for p, _ in pages), default=0), noise)
+    return [c for p, text in pages for c in reader.feed(p, text)] + list(reader.finish())
 
 
 CHUNK_SCHEMA = (
@@ -207,24 +246,44 @@ CHUNK_SCHEMA = (
 )
 
 
-def paragraphize(pages: DataFrame, doc: str = "document_id", noise: DataFrame | None = None) -> DataFrame:
-    """Chunks of all documents from rows (doc, language, page_no, text)."""
-    held = pages.select(F.col(doc).cast("string").alias("d"), F.coalesce("language", F.lit("")).alias("language"), "page_no", "text")
-    lines = noise.groupBy(F.col(doc).cast("string").alias("d")).agg(F.collect_set("line").alias("noise")) if noise is not None else None
-    held = held.join(lines, "d", "left") if lines is not None else held.withColumn("noise", F.array().cast("array<string>"))
+CHUNK_COLUMNS = tuple(x.split()[0] for x in CHUNK_SCHEMA.split(", "))
 
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("page_no")
-        drop = f["noise"].iloc[0]
-        out = paragraphs(key[0], f["language"].iloc[0], list(zip(f["page_no"], f["text"], strict=True)), set(drop) if drop is not None else set())
-        names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("sequence_no", "page_start", "page_end", "section_level"):
-            frame[c] = frame[c].astype("Int32")
-        frame.insert(0, "document_id", key[0])
-        return frame
 
-    return held.groupBy("d").applyInPandas(one, "document_id string, " + CHUNK_SCHEMA)
+class ParagraphTable:
+    """Table function: chunks of documents from a table with document_id, language, page_no,
+    text, pages (the document's greatest page number) and noise (lines to leave out), by
+    document_id in the order of page_no. It holds one page and an open chunk."""
+
+    def __init__(self):
+        self.reader = None
+
+    def eval(self, row):
+        if self.reader is None:
+            self.document = row["document_id"]
+            self.reader = ParagraphReader(self.document, row["language"] or "", row["pages"] or 0, set(row["noise"] or ()))
+        yield from self._rows(self.reader.feed(row["page_no"], row["text"]))
+
+    def terminate(self):
+        if self.reader is not None:
+            yield from self._rows(self.reader.finish())
+
+    def _rows(self, chunks):
+        for c in chunks:
+            yield (self.document, *(c[n] for n in CHUNK_COLUMNS))
+
+
+def paragraphize(pages: DataFrame, doc: str = "document_id", noise: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents from rows (doc, language, page_no, text)."""
+    held = pages.select(F.col(doc).cast("string").alias("document_id"), F.coalesce("language", F.lit("")).alias("language"), F.col("page_no").cast("int").alias("page_no"), "text")
+    greatest = held.groupBy(F.col("document_id").alias("d")).agg(F.max("page_no").alias("pages"))
+    held = held.join(greatest, F.col("document_id").eqNullSafe(F.col("d"))).drop("d")
+    if noise is None:
+        held = held.withColumn("noise", F.array().cast("array<string>"))
+    else:
+        lines = noise.groupBy(F.col(doc).cast("string").alias("document_id")).agg(F.collect_set("line").alias("noise"))
+        held = held.join(lines, "document_id", "left")
+    table = F.udtf(ParagraphTable, returnType="document_id string, " + CHUNK_SCHEMA)
+    return table(held.asTable().partitionBy("document_id").orderBy("page_no"))
 
 
 def split_text(text: str, most: int = MAX_CHUNK) -> list[str]:
@@ -271,68 +330,99 @@ def split_long(chunks: DataFrame, most: int = MAX_CHUNK, doc: str = "document_id
     return resequence(changed, doc, [F.col("sequence_no"), F.col("sub")]).drop("sub", "many")
 
 
-def fold_outline(rows: list[tuple[int, str | None, str | None, str, int | None, int | None]], boilerplate: tuple[str, ...] = ("guidelines", "contents", "definitions", "(unsectioned)")) -> list[dict]:
-    """Outline of one document from (sequence, section path, paragraph ref, text, first page, last page)."""
-    squeeze = lambda x: re.sub(r"\s+", " ", x or "").strip()
-    prefix = re.compile(r"^(\d+(?:\.\d+)*)\.?\s")
+class OutlineFold:
+    """Outline of one document, row by row in sequence order; it holds the outline alone."""
+
+    PREFIX = re.compile(r"^(\d+(?:\.\d+)*)\.?\s")
+
+    def __init__(self, boilerplate: tuple[str, ...] = ("guidelines", "contents", "definitions", "(unsectioned)")):
+        self.boilerplate, self.found, self.active, self.reset = boilerplate, {}, [], False
 
-    def sentence(title: str, ref: str) -> bool:
+    @staticmethod
+    def _sentence(title: str, ref: str) -> bool:
         rest = title[len(ref) :].lstrip(". ").lower()
         return len(rest.split()) > 16 or rest.startswith(SENTENCE_OPENERS)
 
-    def candidate(path: str, ref: str | None, line: str) -> tuple[str, str, str] | None:
-        if (path.lower() in boilerplate or any(p in path.lower() for p in CONSULTATION_PHRASES)) and "." not in (ref or ""):
+    def _candidate(self, path: str, ref: str | None, line: str) -> tuple[str, str, str] | None:
+        if (path.lower() in self.boilerplate or any(p in path.lower() for p in CONSULTATION_PHRASES)) and "." not in (ref or ""):
             return None
-        m = prefix.match(path + " ")
-        if m and m[1].count(".") < 3 and not sentence(path, m[1]):
+        m = self.PREFIX.match(path + " ")
+        if m and m[1].count(".") < 3 and not self._sentence(path, m[1]):
             return m[1], path, "high"
-        m = prefix.match(line + " ")
-        if ref and "." in ref and ref.count(".") < 3 and m and m[1] == ref and not sentence(line, ref):
+        m = self.PREFIX.match(line + " ")
+        if ref and "." in ref and ref.count(".") < 3 and m and m[1] == ref and not self._sentence(line, ref):
             return ref, line, "medium"
         return None
 
-    found: dict[str, dict] = {}
-    active: list[str] = []
-    reset = False
-    for seq, path, ref, text, first, last in rows:
+    def add(self, seq: int, path: str | None, ref: str | None, text: str | None, first: int | None, last: int | None) -> None:
+        squeeze = lambda x: re.sub(r"\s+", " ", x or "").strip()
         path, line = squeeze(path) or "(unsectioned)", squeeze((text or "").split("\n", 1)[0])
-        if path == "Guidelines" and seq > 10 and not reset:
-            found, active, reset = {}, [], True
-            continue
+        found = self.found
+        if path == "Guidelines" and seq > 10 and not self.reset:
+            self.found, self.active, self.reset = {}, [], True
+            return
         if any(p in x.lower() for p in CONSULTATION_PHRASES + BACK_PHRASES for x in (path, line)):
-            active = []
-            continue
-        got = candidate(path, ref, line)
+            self.active = []
+            return
+        got = self._candidate(path, ref, line)
         if got and got[0] in found and seq - found[got[0]]["last_seq"] > 20:
-            active = []
-            continue
+            self.active = []
+            return
         if got:
             level = got[0].count(".") + 1
-            active = [*active[: level - 1], got[0]]
-            found.setdefault(got[0], {"section_ref": got[0], "title": got[1], "level": level, "parent": got[0].rpartition(".")[0] or None, "confidence": got[2], "refs": [], "first_seq": seq, "last_seq": seq, "page_start": first, "page_end": last, "chunk_count": 0})
-        if active:
-            x = found[active[-1]]
-            if ref and ref not in x["refs"]:
-                x["refs"].append(ref)
+            self.active = [*self.active[: level - 1], got[0]]
+            found.setdefault(got[0], {"section_ref": got[0], "title": got[1], "level": level, "parent": got[0].rpartition(".")[0] or None, "confidence": got[2], "refs": {}, "first_seq": seq, "last_seq": seq, "page_start": first, "page_end": last, "chunk_count": 0})
+        if self.active:
+            x = found[self.active[-1]]
+            if ref:
+                x["refs"].setdefault(ref)
             x["last_seq"], x["chunk_count"] = seq, x["chunk_count"] + 1
             x["page_start"] = min((p for p in (x["page_start"], first) if p is not None), default=None)
             x["page_end"] = max((p for p in (x["page_end"], last) if p is not None), default=None)
-    return sorted(found.values(), key=lambda x: x["first_seq"])
+
+    def sections(self) -> list[dict]:
+        return [x | {"refs": list(x["refs"])} for x in sorted(self.found.values(), key=lambda x: x["first_seq"])]
+
+
+def fold_outline(rows: list[tuple[int, str | None, str | None, str, int | None, int | None]], boilerplate: tuple[str, ...] = ("guidelines", "contents", "definitions", "(unsectioned)")) -> list[dict]:
+    """Outline of one document from (sequence, section path, paragraph ref, text, first page, last page)."""
+    fold = OutlineFold(boilerplate)
+    for row in rows:
+        fold.add(*row)
+    return fold.sections()
+
+
+OUTLINE_SCHEMA = "section_ref string, title string, level int, parent string, confidence string, refs array<string>, first_seq long, last_seq long, page_start int, page_end int, chunk_count int"
+OUTLINE_COLUMNS = tuple(x.split()[0] for x in OUTLINE_SCHEMA.split(", "))
+
+
+class OutlineTable:
+    """Table function: outlines from a table with version_id, sequence_no, section_path,
+    paragraph_ref, text, page_start and page_end, by version_id in the order of
+    sequence_no. It holds the outline alone."""
+
+    def __init__(self):
+        self.fold, self.version = None, None
+
+    def eval(self, row):
+        if self.fold is None:
+            self.fold, self.version = OutlineFold(), row["version_id"]
+        self.fold.add(*(row[c] for c in ("sequence_no", "section_path", "paragraph_ref", "text", "page_start", "page_end")))
+
+    def terminate(self):
+        for x in self.fold.sections() if self.fold is not None else ():
+            yield (self.version, *(x[c] for c in OUTLINE_COLUMNS))
 
 
 def heuristic_outline(chunks: DataFrame, version: str = "version_id") -> DataFrame:
-    """``fold_outline`` for every version, from its chunks in sequence order."""
+    """The folded outline of every version, from its chunks in sequence order."""
     kind = dict(chunks.dtypes)[version]
-    schema = f"{version} {kind}, section_ref string, title string, level int, parent string, confidence string, refs array<string>, first_seq long, last_seq long, page_start int, page_end int, chunk_count int"
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("sequence_no")
-        none = lambda v: None if pd.isna(v) else int(v)
-        rows = [(int(s), p, r, t, none(a), none(b)) for s, p, r, t, a, b in zip(f["sequence_no"], f["section_path"], f["paragraph_ref"], f["text"], f["page_start"], f["page_end"], strict=True)]
-        out = pd.DataFrame(fold_outline(rows), columns=[x.split()[0] for x in schema.split(", ")[1:]])
-        for c in ("page_start", "page_end"):
-            out[c] = out[c].astype("Int32")
-        out.insert(0, version, key[0])
-        return out
+    rows = chunks.select(F.col(version).alias("version_id"), "sequence_no", "section_path", "paragraph_ref", "text", "page_start", "page_end")
+    table = F.udtf(OutlineTable, returnType=f"version_id {kind}, {OUTLINE_SCHEMA}")
+    return table(rows.asTable().partitionBy("version_id").orderBy("sequence_no")).withColumnRenamed("version_id", version)
+
 
-    return chunks.select(version, "sequence_no", "section_path", "paragraph_ref", "text", "page_start", "page_end").groupBy(version).applyInPandas(one, schema)
+def register(spark: SparkSession) -> None:
+    """Names the table functions for SQL: paragraph_table and outline_table, over TABLE(...) PARTITION BY ... ORDER BY ..."""
+    spark.udtf.register("paragraph_table", F.udtf(ParagraphTable, returnType="document_id string, " + CHUNK_SCHEMA))
+    spark.udtf.register("outline_table", F.udtf(OutlineTable, returnType=f"version_id string, {OUTLINE_SCHEMA}"))

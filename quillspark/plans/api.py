@@ -196,7 +196,7 @@ def error_envelope(error: Exception) -> dict:
 
 def within_budget(response: dict, budget: int = BUDGET) -> dict:
     """Drops trailing citations while the answer's JSON is too long; the last one is cut."""
-    size = lambda r: len(json.dumps(r, ensure_ascii=False).encode("utf-16-le")) // 2
+    size = lambda r: len(json.dumps(r, ensure_ascii=False, indent=2).encode("utf-16-le")) // 2
     kept = list(response["citations"])
     out = response | {"citations": kept}
     dropped = 0

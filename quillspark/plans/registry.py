@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.core import materialize, table
 from quillspark.functions import text as X
-from quillspark.operators import corpus, crawl, evaluate, filters, navigate, search, segment
+from quillspark.operators import corpus, crawl, evaluate, filters, navigate, nearest, search, segment
 from quillspark.plans import build, retrieve
 
 QUERIES: dict = {}
@@ -141,6 +141,15 @@ def vector_search(spark, d):
     return _nearest(spark, d).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
 
 
+@query(f"WITH {KNN} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM n")
+def vector_search_clustered(spark, d):
+    """The same neighbours out of stored clusters, ruled out by the triangle inequality."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got, _ = nearest.nearest_in_clusters(asked, nearest.cluster(v), 10)
+    return got.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long"))
+
+
 #: Hits that each list gives to a fusion of ten.
 OVERFETCH = max(2 * 10, 10 + 10)
 

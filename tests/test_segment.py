@@ -1,4 +1,8 @@
-from quillspark.operators.segment import fold_outline, heuristic_outline, paragraph_ref, paragraphs, split_long, split_text
+import pickle
+import random
+
+from quillspark.operators import segment
+from quillspark.operators.segment import fold_outline, heuristic_outline, paragraph_ref, paragraphize, paragraphs, split_long, split_text
 
 
 def by_ref(chunks):
@@ -65,3 +69,42 @@ def test_outline_by_version(spark):
     rows = spark.createDataFrame([(1, 1, "1. Scope", None, "t", 2, None), (1, 2, "1. Scope", "7", "t", 1, 5), (2, 1, None, None, "t", None, None)], "version_id int, sequence_no int, section_path string, paragraph_ref string, text string, page_start int, page_end int")
     got = [(r["version_id"], r["section_ref"], r["page_start"], r["page_end"], r["chunk_count"]) for r in heuristic_outline(rows).collect()]
     assert got == [(1, "1", 1, 5, 2)]
+
+
+LINES = ["4. General provisions", "4.1 Business-wide risk", "4.1.5 Risk factors", "4.2.", "87. " + "Firms should consider all of it " * 6, "Contents", "a body line", "Annex I", "12", "feedback on it", "ABC/GL/2020/01", "Short heading", "Article 3", ""]
+
+
+def random_pages(seed, n):
+    r = random.Random(seed)
+    return [(i, "\n".join(r.choice(LINES) + r.choice(["", " x"]) for _ in range(r.randrange(0, 9)))) for i in range(1, n + 1)]
+
+
+def test_table_functions_in_sql(spark):
+    docs = {f"d{k}": random_pages(k, 12) for k in range(6)}
+    rows = spark.createDataFrame([(d, "en", p, t) for d, ps in docs.items() for p, t in ps], "document_id string, language string, page_no int, text string")
+    noise = spark.createDataFrame([("d1", "a body line"), ("d2", "Contents")], "document_id string, line string")
+    drop = {"d1": {"a body line"}, "d2": {"Contents"}}
+    want = [(d, *(c[n] for n in segment.CHUNK_COLUMNS)) for d, ps in docs.items() for c in paragraphs(d, "en", ps, drop.get(d, set()))]
+    got = paragraphize(rows, noise=noise)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    segment.register(spark)
+    rows.selectExpr("*", "12 AS pages", "array() AS noise").createOrReplaceTempView("some_pages")
+    by_sql = spark.sql("SELECT * FROM paragraph_table(TABLE(some_pages) PARTITION BY document_id ORDER BY page_no)").where("document_id NOT IN ('d1', 'd2')")
+    assert sorted(map(repr, map(tuple, by_sql.collect()))) == sorted(repr(w) for w in want if w[0] not in drop)
+    got.selectExpr("document_id AS version_id", "*").createOrReplaceTempView("some_chunks")
+    outline = spark.sql("SELECT * FROM outline_table(TABLE(some_chunks) PARTITION BY version_id ORDER BY sequence_no)").collect()
+    one = sorted((r for r in want if r[0] == "d3"), key=lambda r: r[2])
+    at = {n: i + 1 for i, n in enumerate(segment.CHUNK_COLUMNS)}
+    folded = fold_outline([(r[at["sequence_no"]], r[at["section_path"]], r[at["paragraph_ref"]], r[at["text"]], r[at["page_start"]], r[at["page_end"]]) for r in one])
+    assert [tuple(r)[1:] for r in sorted((r for r in outline if r["version_id"] == "d3"), key=lambda r: r["first_seq"])] == [tuple(x[c] for c in segment.OUTLINE_COLUMNS) for x in folded]
+
+
+def test_a_million_lines_in_flat_memory():
+    page = "\n".join(f"{i}. item number {i} of the page" if i % 5 == 0 else f"line {i} of some text that goes on" for i in range(1, 101))
+    reader = segment.ParagraphReader("doc", "en", 10_000)
+    n = 0
+    for p in range(1, 10_001):
+        n += sum(1 for _ in reader.feed(p, page))
+        if p % 1000 == 0:  # all that it keeps
+            assert len(pickle.dumps(reader)) < 20_000
+    assert n + sum(1 for _ in reader.finish()) > 100_000
