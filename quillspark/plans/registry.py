@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.core import materialize, table
 from quillspark.functions import text as X
 from quillspark.operators import corpus, crawl, evaluate, filters, navigate, nearest, search, segment
-from quillspark.plans import build, retrieve
+from quillspark.plans import build, reads, retrieve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -579,6 +579,97 @@ def first_links(spark, d):
     return got.select("href", "page_id", F.col("pos").cast("long"))
 
 
+@query(
+    f"""WITH {CHUNKS}, r AS (SELECT document_id, chunk_id, sequence_no, row_number() OVER (PARTITION BY document_id ORDER BY sequence_no, chunk_id) AS rank FROM chunks QUALIFY rank <= 110)
+SELECT document_id AS query_id, chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY (sequence_no = 1)::INT, rank) AS place FROM r QUALIFY place <= 5"""
+)
+def q_document(spark, d):
+    """Q2: the chunks that each document's read begins with."""
+    asked = documents(spark, d).select(F.col("document_id").alias("query_id"), "document_id")
+    return reads.document_heads(asked, _read_chunks(spark, d)).select("query_id", "chunk_id", F.col("place").cast("long"))
+
+
+def _with_refs(spark, d):
+    return _read_chunks(spark, d).withColumn("paragraph_ref", F.concat(F.lit("p"), (1 + (F.col("sequence_no") - 1) % 5).cast("string")))
+
+
+@query(
+    f"""WITH {CHUNKS}, c AS (SELECT *, 'p' || (1 + (sequence_no - 1) % 5) AS ref FROM chunks),
+m AS (SELECT document_id AS query_id, document_id AS d, sequence_no AS s, CASE WHEN ref = 'p4' THEN 0 ELSE 1 END AS k FROM c WHERE ref IN ('p4', 'p2') AND language IN ('en', 'fr')),
+x AS (SELECT query_id, chunk_id, k, s, sequence_no, ref FROM m JOIN c ON document_id = d AND sequence_no BETWEEN s - 1 AND s + 1 QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY k, s, sequence_no) = 1)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY k, s, sequence_no) AS place, ref IN ('p4', 'p2') AS is_anchor, true AS is_complete FROM x"""
+)
+def q_paragraph(spark, d):
+    """Two references of every document, with neighbours; each chunk once."""
+    docs = documents(spark, d).where("language IN ('en', 'fr')")
+    asked = docs.select(F.col("document_id").alias("query_id"), "document_id", "language", F.posexplode(F.array(F.lit("p4"), F.lit("p2"))).alias("ref_no", "paragraph_ref"))
+    return reads.paragraphs(asked, _with_refs(spark, d), 1, 1).select("query_id", "chunk_id", F.col("place").cast("long"), "is_anchor", "is_complete")
+
+
+@query(
+    """SELECT c_custkey AS query_id, c_custkey::VARCHAR AS document_id, c_custkey % 3 > 0 AS found,
+  CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) END AS place, o_orderkey AS version_id
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND c_custkey % 3 > 0"""
+)
+def q_versions(spark, d):
+    """Q9: all versions of each document, latest first; documents that aren't known keep a row."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_custkey").alias("document_id"))
+    got = reads.version_lists(c, c.where("document_id % 3 > 0"), _versions(spark, d))
+    return got.select("query_id", "document_id", "found", F.col("place").cast("long"), "version_id")
+
+
+@query(
+    """WITH v AS (SELECT o_custkey AS k, max(o_orderkey) AS b, min(o_orderkey) AS a FROM orders GROUP BY 1),
+q AS (SELECT k, CASE WHEN k % 5 = 0 THEN -1 ELSE a END AS a, CASE WHEN k % 7 = 0 THEN -2 ELSE b END AS b FROM v),
+p AS (SELECT k, q.a, q.b, x.o_orderkey AS xa, y.o_orderkey AS yb, x.o_orderpriority AS op, y.o_orderpriority AS np, CASE WHEN x.o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS oc, CASE WHEN y.o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS nc
+      FROM q LEFT JOIN orders x ON x.o_orderkey = q.a LEFT JOIN orders y ON y.o_orderkey = q.b),
+e AS (SELECT *, CASE WHEN xa IS NULL AND yb IS NULL THEN format('Versions {1}{0}{1} and {1}{2}{1} not found', a, chr(39), b) WHEN xa IS NULL THEN format('Version {1}{0}{1} not found', a, chr(39)) WHEN yb IS NULL THEN format('Version {1}{0}{1} not found', b, chr(39)) END AS error FROM p),
+f AS (SELECT k, 'file_sha256' AS field, op AS old_value, np AS new_value FROM e WHERE error IS NULL AND op <> np UNION ALL SELECT k, 'is_current', oc, nc FROM e WHERE error IS NULL AND oc <> nc)
+SELECT k AS query_id, error, field, old_value, new_value FROM e LEFT JOIN f USING (k)"""
+)
+def q_difference(spark, d):
+    """Q10: two versions of each document by label, labels that aren't there among them."""
+    v = _versions(spark, d).withColumn("version_label", F.col("version_id"))
+    two = v.groupBy("document_id").agg(F.min("version_id").alias("version_a"), F.max("version_id").alias("version_b"))
+    asked = two.select(F.col("document_id").alias("query_id"), "document_id", F.when(F.col("document_id") % 5 == 0, -1).otherwise(F.col("version_a")).alias("version_a"), F.when(F.col("document_id") % 7 == 0, -2).otherwise(F.col("version_b")).alias("version_b"))
+    return reads.version_differences(asked, two, v, ("file_sha256", "is_current"))
+
+
+#: An answer's JSON without citations, and the budget of the queries below.
+HEAD_CHARS, ANSWER_CHARS = 200, 2500
+CITATIONS = f"""{REQUESTS}, i AS (SELECT u.*, c.chunk_id AS citation_id, c.document_id::VARCHAR AS document_id, topic AS section_path, left(replace(text, chr(10), ' '), 300) AS cut, length(text) > 300 AS truncated,
+  c.document_id::VARCHAR || ', section "' || left(coalesce(topic, ''), 60) || '"' AS citation FROM u JOIN chunks c USING (chunk_id) WHERE u.rank <= 8),
+z AS (SELECT *, length(to_json(citation_id)) + length(to_json(document_id)) + coalesce(length(to_json(section_path)), 4) + length(to_json(cut)) + length(CASE WHEN truncated THEN 'true' ELSE 'false' END) + length(to_json(citation))
+  + list_sum(list_transform(['citation_id', 'document_id', 'section_path', 'text', 'truncated', 'citation'], lambda k: length(k) + 3)) + 2 + 5 + 8 * 6 + 9 AS chars FROM i),
+y AS (SELECT *, {HEAD_CHARS} + 4 + sum(chars) OVER w + 2 * (row_number() OVER w - 1) AS total, row_number() OVER w AS nth, count(*) OVER (PARTITION BY query_id) AS many FROM z WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+s8 AS (SELECT * FROM y WHERE total <= {ANSWER_CHARS} OR nth = 1)"""
+
+
+def _answers(spark, d):
+    found = materialize(_hits(spark, d), "search-hits")
+    cited = reads.citations(found, _read_chunks(spark, d).withColumn("section_path", F.col("topic")), 300)
+    return reads.answers(_requests(spark, d), materialize(cited, "citations"), F.col("query").rlike("^id:[0-9]+$"), 8, HEAD_CHARS, ANSWER_CHARS)
+
+
+@query(
+    f"""WITH {CITATIONS}, c8 AS (SELECT query_id, count(*) AS available FROM u GROUP BY ALL), k8 AS (SELECT query_id, count(*) AS returned, max(many) - count(*) AS dropped FROM s8 GROUP BY ALL),
+a8 AS (SELECT item_id AS query_id, false AS is_exact FROM benchmark UNION ALL SELECT 1000000 + doc_id, true FROM documents WHERE doc_id % 50 = 0)
+SELECT query_id, CASE WHEN coalesce(available, 0) = 0 THEN 'no_match' WHEN is_exact OR available = 1 THEN 'exact' ELSE 'partial' END AS answerability, coalesce(available, 0) AS available, coalesce(returned, 0) AS returned,
+  CASE WHEN dropped > 0 THEN 'response_size_chars' WHEN coalesce(returned, 0) < available THEN 'citation_cap' END AS limit_reason FROM a8 LEFT JOIN c8 USING (query_id) LEFT JOIN k8 USING (query_id)"""
+)
+def q_answers(spark, d):
+    """What each search answers, capped by number and by the size of its JSON."""
+    return _answers(spark, d)[1]
+
+
+@query(
+    f"""WITH {CITATIONS} SELECT query_id, rank, citation_id, document_id, section_path, CASE WHEN nth = 1 AND total > {ANSWER_CHARS} THEN left(cut, 200) ELSE cut END AS text, truncated OR (nth = 1 AND total > {ANSWER_CHARS}) AS truncated, citation FROM s8"""
+)
+def q_citations(spark, d):
+    """Searches answered by citations that fit their budget."""
+    return _answers(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
+
+
 #: Listings of the crawl: pages dealt to so many kinds, read in the order of their ids.
 KINDS = 6
 
