@@ -80,7 +80,7 @@ def canonical_id(name: Column) -> Column:
 
 def series_code(ident: Column) -> Column:
     """The component after the authority, without a LARGE- prefix."""
-    return F.regexp_replace(F.element_at(F.split(ident, "/"), 2), "^LARGE-", "")
+    return F.regexp_replace(F.get(F.split(ident, "/"), F.lit(1)), "^LARGE-", "")
 
 
 def date_from_path(url: Column) -> Column:

@@ -230,7 +230,7 @@ def merge_edges(detected: DataFrame, overrides: DataFrame, enriched: DataFrame |
 def primary_id(refs: Column, title: Column, doc_type: Column) -> Column:
     """Struct (id, confidence): which of a text's references names the document itself."""
     prefix = F.when(doc_type == "guidelines", "GL").when(doc_type == "rts", "RTS").when(doc_type == "its", "ITS")
-    fits = F.array_sort(F.filter(refs, lambda r: F.upper(F.element_at(F.split(r, "/"), 2)) == prefix))
+    fits = F.array_sort(F.filter(refs, lambda r: F.upper(F.get(F.split(r, "/"), F.lit(1))) == prefix))
     n, k = F.size(refs), F.size(fits)
     pick = (
         F.when(n == 0, F.struct(F.lit(None).cast("string").alias("id"), F.lit("unresolved").alias("confidence")))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.core import fresh_path
+
 #: Seconds before each further attempt (fixed values).
 BACKOFF = (1, 4, 16, 60)
 
@@ -76,12 +78,18 @@ def append_vectors(chunks: DataFrame, path: str, call: Callable[[list[str]], lis
     """
     spark = chunks.sparkSession
     shape = f"{key} string, embedding array<float>"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    done = spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)
+    rows = chunks.select(F.col(key).cast("string").alias(key), "text").where(F.col(key).isNotNull())
+    todo = rows.join(done.select(key).distinct(), key, "left_anti").withColumn("part", F.pmod(F.crc32(F.encode(F.col(key), "UTF-8")), F.lit(parts)).cast("int"))
+    # the corpus is read once; each part has a folder of its own
+    waiting = fresh_path(spark, "to-embed")
+    todo.write.partitionBy("part").parquet(waiting)
+    none = spark.createDataFrame([], shape)
     for i in range(parts):
-        mine = chunks.withColumn(key, F.col(key).cast("string")).where(F.pmod(F.crc32(F.encode(F.col(key), "UTF-8")), F.lit(parts)) == i)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        done = spark.read.schema(shape).parquet(path) if there else spark.createDataFrame([], shape)
-        embed_missing(mine, done, call, dim, key, batch).write.mode("append").parquet(path)
+        mine = spark.read.schema(todo.schema).parquet(waiting).where(F.col("part") == i)
+        embed_missing(mine, none, call, dim, key, batch).write.mode("append").parquet(path)
 
 
 def valid_repair(reply: str, sequence: set[int], source: str) -> dict | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ref_level, ref_parent
@@ -83,11 +83,13 @@ def navigation_differences(shown: DataFrame, stored: DataFrame, version: str = "
 
 
 def failure_counts(failures: DataFrame, kind: str = "check") -> DataFrame:
+    """How often each check fails."""
     return failures.groupBy(kind).agg(F.count("*").alias("n"))
 
 
-def span_confidence(chunks: DataFrame, span: str = "span", confidence: str = "metadata_confidence") -> DataFrame:
-    return chunks.groupBy(span).agg(F.min(confidence).alias("lo"), F.avg(confidence).alias("mean"), F.max(confidence).alias("hi"))
+def span_confidence(chunks: DataFrame, by: list[str], confidence: str = "metadata_confidence") -> DataFrame:
+    """Least, mean and greatest confidence of each span, and its rows."""
+    return chunks.groupBy(*by).agg(F.min(confidence).alias("lo"), F.avg(confidence).alias("mean"), F.max(confidence).alias("hi"), F.count("*").alias("n"))
 
 
 def judge_fixtures(fixtures: DataFrame, answers: DataFrame, citations: DataFrame, needed: tuple[str, ...] = ("citation_id", "document_id", "text", "citation", "page_start")) -> DataFrame:
@@ -123,5 +125,23 @@ def tagged(fixtures: DataFrame, tags: list[str], column: str = "tags") -> DataFr
     return fixtures.where(F.arrays_overlap(column, F.array(*map(F.lit, tags)))) if tags else fixtures
 
 
-def first_occurrences(rows: DataFrame, key: str, order: list) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("nth = 1").drop("nth")
+def compare_modes(fixtures: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, mrr, recall, queries): how well each mode of search finds what fixtures expect.
+
+    ``fixtures``: query_id, expected_documents and expected_refs (arrays; null or empty: any
+    will do). ``hits``: mode, query_id, rank, document_id, paragraph_ref. A query without
+    hits in a mode counts 0 there; every mode is averaged over all fixtures.
+    """
+    fits = lambda wanted, c: (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | F.coalesce(F.array_contains(wanted, F.col(c)), F.lit(False))
+    want = fixtures.select("query_id", "expected_documents", "expected_refs")
+    good = hits.join(want, "query_id").where(fits("expected_documents", "document_id") & fits("expected_refs", "paragraph_ref"))
+    best = good.groupBy("mode", "query_id").agg(F.min("rank").alias("best"))
+    every = hits.select("mode").distinct().join(F.broadcast(fixtures.agg(F.count("*").alias("queries"))))  # one row
+    sums = best.groupBy("mode").agg(F.sum(1.0 / F.col("best")).alias("rr"), F.count_if(F.col("best") <= k).alias("found"))
+    each = every.join(sums, "mode", "left")
+    return each.select("mode", F.coalesce(F.col("rr") / F.col("queries"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("found") / F.col("queries"), F.lit(0.0)).alias("recall"), "queries")
+
+
+def pass_rates(results: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
+    """(by, total, passed, rate) of judged rows; the rate has four digits."""
+    return results.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"), F.round(F.count_if(passed) / F.count("*"), 4).alias("rate"))

@@ -52,10 +52,3 @@ def passed_gate(passed_col: str = "passed") -> Column:
 
 def body_region(region_col: str = "document_region") -> Column:
     return F.coalesce(F.col(region_col), F.lit("body")).isin("body", "annex")
-
-
-def starts_section(path_col: str, ref_col: str, section: str) -> Column:
-    """The section itself or anything below it, without regard to case; ``section`` may hold wildcards."""
-    s = section.lower()
-    ref, path = F.lower(F.coalesce(F.col(ref_col), F.lit(""))), F.lower(F.coalesce(F.col(path_col), F.lit("")))
-    return (ref == s) | ref.like(f"{s}.%") | (path == s) | path.like(f"{s}.%") | path.like(f"{s}. %")

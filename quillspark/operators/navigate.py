@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.core import any_of
+
 #: Edges that make the source stand for the target, best first.
 ALIAS_PRIORITY = ("consolidates", "replaces", "supersedes")
 
@@ -43,15 +45,34 @@ def chunk_summary(chunks: DataFrame, by: list[str], ref: str = "paragraph_ref",
     return chunks.groupBy(*by).agg(F.array_distinct(F.transform(refs, lambda x: x["r"])).alias("paragraph_refs"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("chunk_count"))
 
 
+#: Phrases of consultation material in titles and first lines (fixed values).
+BOILERPLATE = ("do you have any comments", "feedback on", "summary of responses", "public consultation", "analysis of responses", "consultation responses")
+
+
+def is_boilerplate(title: str = "section_title", path: str = "section_path", text: str = "text") -> Column:
+    """Whether a chunk's title (its path if it has none) or first line holds one of the phrases."""
+    plain = lambda c: F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    shown = plain(F.when(F.coalesce(title, F.lit("")) != "", F.col(title)).otherwise(F.col(path)))
+    first = plain(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1))
+    return any_of([F.contains(x, F.lit(p)) for p in BOILERPLATE for x in (shown, first)])
+
+
 def sanitize_sections(chunks: DataFrame, boilerplate: Column, version: str = "version_id") -> DataFrame:
-    """Clears section metadata on boilerplate titles, then parents that no row has, with
-    confidence capped at 0.85. Two passes reach the fixpoint."""
-    clear = lambda c: F.when(~F.coalesce(boilerplate, F.lit(False)), F.col(c))
-    one = chunks.withColumns({c: clear(c) for c in ("section_ref", "section_title", "section_level", "parent_section_ref")})
-    refs = one.where("section_ref IS NOT NULL").select(F.col(version).alias("r_version"), F.col("section_ref").alias("r_ref"), F.lit(True).alias("there")).distinct()
+    """Clears section metadata on boilerplate rows, then parents that no row of the version
+    has, with confidence at most 0.85. Rows without a section stay as they are. References
+    are only ever taken away, so two passes reach the fixpoint."""
+    has = F.coalesce("section_ref", F.lit("")) != ""
+    gone = has & F.coalesce(boilerplate, F.lit(False))
+    cleared = {c: F.when(~F.col("gone"), F.col(c)) for c in ("section_ref", "section_title", "section_level", "parent_section_ref")}
+    if "section_path" in chunks.columns:
+        cleared["section_path"] = F.when(F.col("gone"), "").otherwise(F.col("section_path"))
+    one = chunks.withColumn("gone", gone).withColumns(cleared).drop("gone")
+    refs = one.where(has).select(F.col(version).alias("r_version"), F.col("section_ref").alias("r_ref"), F.lit(True).alias("there")).distinct()
     two = one.join(refs, (F.col(version) == F.col("r_version")) & (F.col("parent_section_ref") == F.col("r_ref")), "left")
-    dangling = F.col("parent_section_ref").isNotNull() & F.col("there").isNull()
-    return two.withColumn("metadata_confidence", F.when(dangling, F.least("metadata_confidence", F.lit(0.85))).otherwise(F.col("metadata_confidence"))).withColumn("parent_section_ref", F.when(~dangling, F.col("parent_section_ref"))).drop("r_version", "r_ref", "there")
+    dangling = has & (F.coalesce("parent_section_ref", F.lit("")) != "") & F.col("there").isNull()
+    capped = F.least(F.coalesce("metadata_confidence", F.lit(0.85)), F.lit(0.85))
+    two = two.withColumn("dangling", dangling).withColumns({"metadata_confidence": F.when(F.col("dangling"), capped).otherwise(F.col("metadata_confidence")), "parent_section_ref": F.when(~F.col("dangling"), F.col("parent_section_ref"))})
+    return two.drop("r_version", "r_ref", "there", "dangling")
 
 
 def best_alias(edges: DataFrame, known: DataFrame, priority: tuple[str, ...] = ALIAS_PRIORITY) -> DataFrame:

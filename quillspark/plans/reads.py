@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.core import materialize
 from quillspark.functions import text as X
-from quillspark.operators import budget, navigate, search, segment
+from quillspark.operators import budget, evaluate, navigate, search, segment
 from quillspark.plans import retrieve
 
 #: Chunks that a document's read begins with, and how many it is chosen from.
@@ -152,3 +152,20 @@ def answers(requests: DataFrame, found: DataFrame, exact: Column, most: int, hea
     answer = F.when(F.col("available") == 0, "no_match").when(F.col("is_exact") | (F.col("available") == 1), "exact").otherwise("partial")
     reason = F.when(F.col("dropped") > 0, "response_size_chars").when(F.col("returned") < F.col("available"), "citation_cap")
     return kept.drop("dropped"), rows.select("query_id", answer.alias("answerability"), "available", "returned", reason.alias("limit_reason"))
+
+
+def run_fixtures(fixtures: DataFrame, chunks: DataFrame, is_id: Column, index: DataFrame | None = None, limit: int = 10, tags: list[str] | None = None, max_chars: int = 600) -> DataFrame:
+    """(fixture_id, reasons, passed): fixtures as a table of requests, searched, answered and judged.
+
+    ``fixtures``: fixture_id, query, document_id (or null), other filters, tags, tool and what
+    ``judge_fixtures`` expects; ``chunks`` as for ``search_chunks`` with section_path. Fixtures of
+    tools other than search aren't run: they fail as unanswered.
+    """
+    asked = evaluate.tagged(fixtures, tags or [])
+    requests = asked.where(F.coalesce("tool", F.lit("search")) == "search").withColumnRenamed("fixture_id", "query_id")
+    hits = materialize(retrieve.search_chunks(requests, chunks, is_id, limit, index=index), "fixture-hits")
+    found = materialize(citations(hits, chunks, max_chars), "fixture-citations")
+    named = is_id | (F.coalesce(F.col("document_id").cast("string"), F.lit("")) != "")
+    kept, told = answers(requests, found, named, limit, 0)
+    cited = kept.withColumnRenamed("query_id", "fixture_id")
+    return evaluate.judge_fixtures(asked, told.select(F.col("query_id").alias("fixture_id"), "answerability"), cited, ("citation_id", "document_id", "text", "citation"))

@@ -543,7 +543,7 @@ def low_confidence(spark, d):
     """Runs of rows under a threshold, three at most, and their confidence."""
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), "o_orderkey", (F.col("o_totalprice") / 400009.0).alias("c"))
     got = corpus.low_confidence_spans(rows, "document_id", "o_orderkey", "c", 0.5, 3)
-    return got.groupBy("document_id", "span").agg(F.round(F.min("c"), 6).alias("lo"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.max("c"), 6).alias("hi"), F.count("*").alias("n"))
+    return evaluate.span_confidence(got, ["document_id", "span"], "c").withColumns({c: F.round(c, 6) for c in ("lo", "mean", "hi")})
 
 
 @query("SELECT o_orderkey, CASE WHEN n > 1 THEN k || '/DUP' || n ELSE k END AS ident FROM (SELECT o_orderkey, o_custkey::VARCHAR AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)")

@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.core import materialize
+from quillspark.core import any_of
+from quillspark.sources.snapshots import SnapshotTable
 
 PAGE = "page_no int, text string, extraction_method string, char_count int"
 DOWNLOAD = "url string, file_sha256 string, file_path string, title string, document_type string, publication_url string, published_at string, downloaded_at string, status string, notes string"
@@ -25,17 +26,16 @@ def read_binary(spark: SparkSession, pattern: str, allowed: tuple[str, ...] = ()
     """Content-addressed files: path, file_sha256, length. ``allowed``: parts of which a path must have one."""
     rows = spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("file_sha256"), "length")
     for_one = [F.contains("path", F.lit(a)) for a in allowed]
-    from quillspark.core import any_of
-
     return rows.where(any_of(for_one)) if for_one else rows
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML seed list; its size is that of one file on the driver."""
+    """A YAML seed list in any store that Spark reads; its size is that of one file on the driver."""
     import yaml
 
     names = [x.split()[0] for x in SEED.split(", ")]
-    listed = (yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}).get("documents", [])
+    body = spark.read.text(path, wholetext=True).first()
+    listed = (yaml.safe_load(body["value"] if body else "") or {}).get("documents") or []
     return spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in listed], SEED)
 
 
@@ -61,35 +61,20 @@ def write_table(df: DataFrame, path: str, cluster: list[str] | None = None, sort
     df.write.mode("overwrite").parquet(path)
 
 
-def replace_versions(new: DataFrame, versions: DataFrame, path: str, by: str = "version_id", buckets: int = 64) -> None:
-    """Rows of ``versions`` are deleted from the table at ``path``, then ``new`` is inserted.
-
-    The table lies in folders by the version's hash, so only folders of replaced versions
-    are rewritten; a version without new rows is just deleted. ``buckets`` stays the same
-    for a table's life.
-    """
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(by)), F.lit(buckets)).cast("int")
-    gone = versions.select(by).distinct()
-    rows = new.withColumn("bucket", bucket)
-    touched = [r["bucket"] for r in gone.unionByName(new.select(by)).select(bucket.alias("bucket")).distinct().collect()]  # ``buckets`` at most
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        there = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
-        # written, since the folders that it is read from are overwritten
-        rows = materialize(rows.unionByName(there.join(gone, by, "left_anti")), "replaced-versions")
-        # folders that lose all rows have nothing to overwrite them
-        emptied = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-    else:
-        emptied = set()
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for b in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def replace_versions(new: DataFrame, versions: DataFrame, path: str, by: str = "version_id") -> DataFrame:
+    """Rows of ``versions`` are deleted from the table at ``path`` and ``new`` is inserted, in one
+    step; gives the table. It lies under snapshots, by the version's hash, so only buckets of
+    replaced versions are written anew; a version without new rows is just deleted."""
+    at = SnapshotTable(new.sparkSession, path, [by])
+    at.upsert(new, gone=versions)
+    return at.read()
 
 
-def write_reports(df: DataFrame, path: str, by: str = "slug") -> None:
-    df.write.mode("overwrite").partitionBy(by).json(path)
+def write_reports(df: DataFrame, path: str, by: str = "slug") -> DataFrame:
+    """Reports replace those of the same slug, in one step; gives all reports."""
+    at = SnapshotTable(df.sparkSession, path, [by])
+    at.upsert(df)
+    return at.read()
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object], kinds: dict[str, str]) -> DataFrame:
@@ -100,10 +85,10 @@ def with_defaults(df: DataFrame, defaults: dict[str, object], kinds: dict[str, s
     return df
 
 
-def setting(name: str, given: str | None, env_file: str | None, default: str) -> str:
+def setting(name: str, given: str | None, env_file: str | None, default: str, path: bool = False) -> str:
     """Argument, then environment, then the file's line NAME=value, then the default.
 
-    A relative path out of the file is relative to the file's folder.
+    A value out of the file that starts with a dot, or any with ``path``, is a path: a relative one is relative to the file's folder.
     """
     if given:
         return given
@@ -114,5 +99,5 @@ def setting(name: str, given: str | None, env_file: str | None, default: str) ->
             key, eq, value = line.partition("=")
             if eq and key.strip() == name:
                 value = value.strip().strip("\"'")
-                return str(Path(env_file).parent / value) if value.startswith(".") else value
+                return str(Path(env_file).parent / value) if value.startswith(".") or (path and value and not Path(value).is_absolute()) else value
     return default

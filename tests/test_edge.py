@@ -128,14 +128,39 @@ def test_vectors_are_committed_by_part(spark, tmp_path):
 
 
 def test_versions_are_replaced(spark, tmp_path):
-    path = str(tmp_path / "outline")
+    path = f"file://{tmp_path}/outline"
 
     def put(rows, versions):
-        files.replace_versions(spark.createDataFrame(rows, "version_id int, section_ref string"), spark.createDataFrame([(v,) for v in versions], "version_id int"), path, buckets=4)
-        return {(r["version_id"], r["section_ref"]) for r in spark.read.parquet(path).collect()}
+        got = files.replace_versions(spark.createDataFrame(rows, "version_id int, section_ref string"), spark.createDataFrame([(v,) for v in versions], "version_id int"), path)
+        return {(r["version_id"], r["section_ref"]) for r in got.collect()}
 
     first = {(v, str(k)) for v in range(6) for k in range(3)}
     assert put(sorted(first), range(6)) == first
     kept = {x for x in first if x[0] not in (1, 2)}
     assert put([(1, "new")], [1, 2]) == kept | {(1, "new")}
     assert put([(9, "a")], [v for v in range(6)]) == {(9, "a")}
+
+
+def test_reports_seeds_and_defaults(spark, tmp_path):
+    reports = lambda rows: spark.createDataFrame(rows, "slug string, passed boolean")
+    files.write_reports(reports([("a", True), ("b", False)]), f"file://{tmp_path}/reports")
+    got = files.write_reports(reports([("b", True), ("c", False)]), f"file://{tmp_path}/reports")
+    assert {tuple(r) for r in got.collect()} == {("a", True), ("b", True), ("c", False)}
+    (tmp_path / "seeds.yaml").write_text("documents:\n- document_id: A/GL/2020/1\n  title: one\n- title: 2\n")
+    (tmp_path / "none.yaml").write_text("")
+    assert [(r["document_id"], r["title"]) for r in files.read_seeds(spark, f"file://{tmp_path}/seeds.yaml").collect()] == [("A/GL/2020/1", "one"), (None, "2")]
+    assert files.read_seeds(spark, f"file://{tmp_path}/none.yaml").count() == 0
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, lang string")
+    assert [tuple(r) for r in files.with_defaults(df, {"lang": "en", "note": None}, {"lang": "string", "note": "string"}).orderBy("k").collect()] == [(1, "en", None), (2, "x", None)]
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    assert [r["length"] for r in files.read_binary(spark, f"file://{tmp_path}/*.bin", ("/a.",)).collect()] == [3]
+    assert files.read_binary(spark, f"file://{tmp_path}/*.bin", ("/z.",)).count() == 0
+
+
+def test_settings(tmp_path, monkeypatch):
+    env = tmp_path / ".env"
+    env.write_text("# none\nSOME_PATH='data/x.db'\nSOME_MODE=hybrid\n")
+    assert files.setting("SOME_PATH", None, str(env), "d", path=True) == str(tmp_path / "data/x.db")
+    assert files.setting("SOME_MODE", None, str(env), "d") == "hybrid" and files.setting("OTHER", None, str(env), "d") == "d"
+    monkeypatch.setenv("SOME_MODE", "keyword")
+    assert files.setting("SOME_MODE", None, str(env), "d") == "keyword" and files.setting("SOME_MODE", "given", str(env), "d") == "given"
