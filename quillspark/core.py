@@ -67,6 +67,15 @@ def small_enough(spark: SparkSession, df: DataFrame, limit_bytes: int) -> bool:
     return int(str(size)) <= limit_bytes
 
 
+def arrow_store(folder: str):
+    """(file system of Arrow, path there) of a folder as Hadoop names it."""
+    from pyarrow import fs
+
+    # stores that go by another name there
+    scheme, colon, rest = folder.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest)
+
+
 def spread(df: DataFrame, limit_bytes: int = 128 << 20) -> DataFrame:
     """A small ``df`` dealt to all cores, since its files may be read by one task; a larger one as it is read."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small_enough(df.sparkSession, df, limit_bytes) else df

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.core import fresh_path, materialize, spread
+from quillspark.core import arrow_store, fresh_path, materialize, spread
 from quillspark.functions.text import RESERVED, tokens
 from quillspark.operators import keyword_index
 
@@ -124,7 +124,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = arrow_store(path)
         names = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
 
         def meet(keys, v):
