@@ -44,6 +44,11 @@ def citation_text(text: Column, max_chars: int) -> Column:
     return F.substring(F.translate(text, "\n", " "), 1, max_chars)
 
 
+def cut_mark(text: Column, max_chars: int) -> Column:
+    """How much of a text a citation shows, "M / N"; null if it shows all."""
+    return F.when(F.length(text) > max_chars, F.concat(F.lit(f"{max_chars} / "), F.length(text).cast("string")))
+
+
 def citation_string(doc: Column, paragraph: Column, section: Column, page: Column) -> Column:
     where = F.when(F.coalesce(paragraph, F.lit("")) != "", F.concat(F.lit(", para. "), paragraph)).otherwise(
         F.concat(F.lit(', section "'), F.substring(F.coalesce(section, F.lit("")), 1, 60), F.lit('"'))
@@ -88,6 +93,23 @@ def date_from_path(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(url, r"/((?:19|20)\d{2}[/-](?:0[1-9]|1[0-2])(?:[/-](?:0[1-9]|[12]\d|3[01]))?)(?:/|-|$)", 1), "/", "-"), F.lit(""))
 
 
+#: What announces the date from which a document applies (a fixed pattern), and months in order.
+APPLIES_FROM = r"(?i)(?:appl(?:y|ies|icable)\s+(?:from|as\s+of|since|with\s+effect\s+from))\s+(\d{1,2}\s+\w+\s+\d{4}|\w+\s+\d{4}|\d{4}-\d{2}-\d{2})"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def application_date(text: Column) -> Column:
+    """The date from which a text says that it applies, the first that it announces, as
+    YYYY-MM-DD; a month alone is its first day. Null if that is no date."""
+    said = F.regexp_extract(F.coalesce(text, F.lit("")), APPLIES_FROM, 1)
+    parts = F.split(F.trim(said), r"\s+")
+    names = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i, m[:3], i) if m != "may"), F.lit("may"), F.lit(5))
+    month = F.try_element_at(names, F.lower(F.get(parts, F.size(parts) - 2)))
+    year, day = F.get(parts, F.size(parts) - 1), F.when(F.size(parts) == 3, F.get(parts, F.lit(0)).try_cast("int")).otherwise(1)
+    written = F.format_string("%s-%02d-%02d", year, month, day)
+    return F.when(said.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(said, 1, 10)).when(month.isNotNull() & year.rlike(r"^\d+$") & day.between(1, 31), written)
+
+
 def written_date(text: Column) -> Column:
     """A date in one of three written forms as ISO; null if it is none."""
     forms = ("d MMMM yyyy", "yyyy-MM-dd", "dd/MM/yyyy")

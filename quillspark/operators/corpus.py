@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import lines, strip
+from quillspark.functions.text import application_date, lines, strip
 
 #: Thresholds of the quality gate (fixed values).
 GATE = {"min_chars": 1000, "coverage": 0.85, "refs": 0.70, "broken": 0.05, "empty": 0.10, "duplicates": 0.05, "score": 0.85}
@@ -205,6 +205,23 @@ def edges_from_notes(notes: DataFrame, doc: str = "document_id", text: str = "no
     return each.groupBy("source", "target").agg(F.max_by("type", "i").alias("type"))
 
 
+def enrich(pages: DataFrame, documents: DataFrame, doc: str = "document_id", most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What the first ``most`` pages say: (document_id, refs, application_date), and edges (source, target, type, confidence).
+
+    ``pages``: document_id, page_no, text; ``documents``: document_id, title. A document
+    without pages says nothing and has no edges. A document's own id is no target, however
+    it is written.
+    """
+    early = pages.where(F.col("page_no") <= most).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    said = documents.select(doc, "title").join(early.select(doc, text.alias("text")), doc, "left")
+    told = said.select(doc, "title", references(F.col("text")).alias("refs"), application_date(F.col("text")).alias("application_date"))
+    own = F.upper(F.replace(F.col(doc), F.lit("-"), F.lit("/")))
+    others = F.filter("refs", lambda r: F.upper(r) != own)
+    edges = told.select(F.col(doc).alias("source"), F.explode(others).alias("target"), title_edge_kind(F.coalesce("title", F.lit(""))).alias("type"), F.lit("medium").alias("confidence"))
+    return told.drop("title"), edges
+
+
 def title_edge_kind(title: Column) -> Column:
     """The kind of edge that a title implies; related_to if it says nothing."""
     kind = F.lit("related_to")

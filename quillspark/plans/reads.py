@@ -18,7 +18,7 @@ from quillspark.plans import retrieve
 #: Chunks that a document's read begins with, and how many it is chosen from.
 LEADING, LEADING_OF = 5, 50
 #: Columns of a citation whose JSON counts against a budget.
-CITED = ("citation_id", "document_id", "section_path", "text", "truncated", "citation")
+CITED = ("citation_id", "document_id", "paragraph_ref", "section_path", "page_start", "page_end", "text", "truncated", "truncation_offset", "citation", "chunk_type")
 
 
 def resolved(requests: DataFrame, aliases: DataFrame, overrides: dict[str, str] | None = None, column: str = "document_id") -> DataFrame:
@@ -127,12 +127,20 @@ def version_differences(requests: DataFrame, documents: DataFrame, versions: Dat
     return got.select("query_id", error.alias("error"), F.explode_outer(F.when(error.isNull(), parts)).alias("c")).select("query_id", "error", "c.*")
 
 
-def citations(hits: DataFrame, chunks: DataFrame, max_chars: int, page: Column | None = None) -> DataFrame:
-    """Hits as citations: query_id, rank and ``CITED``. ``chunks``: chunk_id, document_id, text, section_path."""
-    rows = hits.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), "text", F.col("section_path").cast("string").alias("section_path")), "chunk_id")
-    none = F.lit(None).cast("string")
-    cite = X.citation_string(F.col("document_id"), none, F.col("section_path"), F.lit(0) if page is None else page)
-    return rows.select("query_id", "rank", F.col("chunk_id").alias("citation_id"), "document_id", "section_path", X.citation_text(F.col("text"), max_chars).alias("text"), (F.length("text") > max_chars).alias("truncated"), cite.alias("citation"))
+def citations(hits: DataFrame, chunks: DataFrame, max_chars: int) -> DataFrame:
+    """Hits as citations: query_id, rank and ``CITED``.
+
+    ``chunks``: chunk_id, document_id, text, section_path and, if they have them,
+    paragraph_ref, page_start, page_end, chunk_type. An empty reference and page 0 are none.
+    """
+    kinds = {"paragraph_ref": "string", "page_start": "int", "page_end": "int", "chunk_type": "string"}
+    have = [(F.col(c) if c in chunks.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+    rows = hits.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), "text", F.coalesce(F.col("section_path").cast("string"), F.lit("")).alias("section_path"), *have), "chunk_id")
+    given = {"paragraph_ref": F.nullif("paragraph_ref", F.lit("")), "page_start": F.nullif("page_start", F.lit(0)), "page_end": F.nullif("page_end", F.lit(0))}
+    cite = X.citation_string(F.col("document_id"), F.col("paragraph_ref"), F.col("section_path"), F.col("page_start"))
+    rows = rows.withColumns(given).withColumn("citation", cite)
+    shown = {"truncated": F.length("text") > max_chars, "truncation_offset": X.cut_mark(F.col("text"), max_chars), "text": X.citation_text(F.col("text"), max_chars)}
+    return rows.withColumnRenamed("chunk_id", "citation_id").withColumns(shown).select("query_id", "rank", *CITED)
 
 
 def answers(requests: DataFrame, found: DataFrame, exact: Column, most: int, head_chars: int, limit_chars: int = budget.BUDGET) -> tuple[DataFrame, DataFrame]:

@@ -637,10 +637,10 @@ def q_difference(spark, d):
 
 #: An answer's JSON without citations, and the budget of the queries below.
 HEAD_CHARS, ANSWER_CHARS = 200, 2500
-CITATIONS = f"""{REQUESTS}, i AS (SELECT u.*, c.chunk_id AS citation_id, c.document_id::VARCHAR AS document_id, topic AS section_path, left(replace(text, chr(10), ' '), 300) AS cut, length(text) > 300 AS truncated,
-  c.document_id::VARCHAR || ', section "' || left(coalesce(topic, ''), 60) || '"' AS citation FROM u JOIN chunks c USING (chunk_id) WHERE u.rank <= 8),
-z AS (SELECT *, length(to_json(citation_id)) + length(to_json(document_id)) + coalesce(length(to_json(section_path)), 4) + length(to_json(cut)) + length(CASE WHEN truncated THEN 'true' ELSE 'false' END) + length(to_json(citation))
-  + list_sum(list_transform(['citation_id', 'document_id', 'section_path', 'text', 'truncated', 'citation'], lambda k: length(k) + 3)) + 2 + 5 + 8 * 6 + 9 AS chars FROM i),
+CITATIONS = f"""{REQUESTS}, i AS (SELECT u.*, c.chunk_id AS citation_id, c.document_id::VARCHAR AS document_id, coalesce(topic, '') AS section_path, left(replace(text, chr(10), ' '), 300) AS cut, length(text) > 300 AS truncated,
+  CASE WHEN length(text) > 300 THEN '300 / ' || length(text) END AS truncation_offset, c.document_id::VARCHAR || ', section "' || left(coalesce(topic, ''), 60) || '"' AS citation FROM u JOIN chunks c USING (chunk_id) WHERE u.rank <= 8),
+z AS (SELECT *, list_sum(list_transform([citation_id, document_id, section_path, cut, citation], lambda x: length(to_json(x)))) + coalesce(length(truncation_offset) + 2, 4) + CASE WHEN truncated THEN 4 ELSE 5 END + 4 * 4
+  + list_sum(list_transform(['{"', '".join(reads.CITED)}'], lambda k: length(k) + 3)) + 2 + {len(reads.CITED) - 1} + 8 * {len(reads.CITED)} + 9 AS chars FROM i),
 y AS (SELECT *, {HEAD_CHARS} + 4 + sum(chars) OVER w + 2 * (row_number() OVER w - 1) AS total, row_number() OVER w AS nth, count(*) OVER (PARTITION BY query_id) AS many FROM z WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
 s8 AS (SELECT * FROM y WHERE total <= {ANSWER_CHARS} OR nth = 1)"""
 
@@ -663,7 +663,8 @@ def q_answers(spark, d):
 
 
 @query(
-    f"""WITH {CITATIONS} SELECT query_id, rank, citation_id, document_id, section_path, CASE WHEN nth = 1 AND total > {ANSWER_CHARS} THEN left(cut, 200) ELSE cut END AS text, truncated OR (nth = 1 AND total > {ANSWER_CHARS}) AS truncated, citation FROM s8"""
+    f"""WITH {CITATIONS} SELECT query_id, rank, citation_id, document_id, section_path, CASE WHEN nth = 1 AND total > {ANSWER_CHARS} THEN left(cut, 200) ELSE cut END AS text, truncated OR (nth = 1 AND total > {ANSWER_CHARS}) AS truncated, truncation_offset, citation,
+  NULL::VARCHAR AS paragraph_ref, NULL::INT AS page_start, NULL::INT AS page_end, NULL::VARCHAR AS chunk_type FROM s8"""
 )
 def q_citations(spark, d):
     """Searches answered by citations that fit their budget."""

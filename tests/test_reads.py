@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluate, navigate
+from quillspark.functions import text
+from quillspark.operators import corpus, evaluate, navigate
 from quillspark.plans import reads
 
 CHUNK = "document_id string, version_id int, language string, chunk_id string, sequence_no int, paragraph_ref string, section_path string, text string, page_start int, page_end int, document_region string"
@@ -90,3 +91,24 @@ def test_boilerplate_is_cleared(spark):
 def test_failures_are_counted(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "chunk_id string, check string")
     assert {tuple(r) for r in evaluate.failure_counts(rows).collect()} == {("x", 2), ("y", 1)}
+
+
+def test_citations_are_projected(spark):
+    rows = [("c1", "D", "one\ntwo three", "4.1", None, 0, 2, "paragraph"), ("c2", "D", "short", "", "4. Scope", 3, None, None), ("c3", "D", "", None, "", None, None, "table")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, text string, paragraph_ref string, section_path string, page_start int, page_end int, chunk_type string")
+    hits = spark.createDataFrame([(1, i, f"c{i}") for i in (1, 2, 3)], "query_id int, rank int, chunk_id string")
+    got = [tuple(r)[2:] for r in reads.citations(hits, chunks, 7).orderBy("rank").collect()]
+    assert got == [
+        ("c1", "D", "4.1", "", None, 2, "one two", True, "7 / 13", "D, para. 4.1", "paragraph"), ("c2", "D", None, "4. Scope", 3, None, "short", False, None, 'D, section "4. Scope", p. 3', None),
+        ("c3", "D", None, "", None, None, "", False, None, 'D, section ""', "table"),
+    ]
+
+
+def test_enrichment_of_first_pages(spark):
+    pages = spark.createDataFrame([("AB-GL-2021-05", 2, "and ab/gl/2021/05 itself"), ("AB-GL-2021-05", 1, "See AB-GL-2019-01,\nwhich will apply from 3 March 2022."), ("AB-GL-2021-05", 11, "CD/RTS/2000/1"), ("b", 1, "applicable as of Sept 2020"), ("c", 1, "applies since 2020-02-30x; apply from 1 May 2021")], "document_id string, page_no int, text string")
+    docs = spark.createDataFrame([("AB-GL-2021-05", "Guidelines amending others"), ("b", None), ("c", "t"), ("none", "t")], "document_id string, title string")
+    told, edges = corpus.enrich(pages, docs)
+    assert {r["document_id"]: r["application_date"] for r in told.collect()} == {"AB-GL-2021-05": "2022-03-03", "b": None, "c": "2020-02-30", "none": None}
+    assert [tuple(r) for r in edges.collect()] == [("AB-GL-2021-05", "AB/GL/2019/01", "amends", "medium")]
+    dates = spark.createDataFrame([("apply from may 2021",), ("Applies with effect from 45 May 2021",), ("applicable from Dec 2020",), ("nothing",), (None,)], "t string")
+    assert [r[0] for r in dates.select(text.application_date(F.col("t"))).collect()] == ["2021-05-01", None, "2020-12-01", None, None]
