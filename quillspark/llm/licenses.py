@@ -1,23 +1,27 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Sentences and lines of a text that speak of licences are candidates. A candidate
-and each template sentence are sparse TF-IDF vectors; document frequencies of the
-templates' terms come from all texts, other terms get ``OTHER_IDF``. The best
-template at ``threshold`` or more is the file's own licence. A licence file (by its
-name) gives its licence to its directory; a file without a licence of its own takes
-that of the nearest ancestor directory that has one.
-
-DataFrame functions only. Scale: texts are read in two passes without a shuffle;
-tokens of candidates alone are shuffled, combined by file, sentence and term.
-Templates and the frequencies of their terms are broadcast: their number is fixed
-by the ``templates`` argument. Inheritance joins distinct directories with the
-licences of directories on paths, as deep as a path is, then files with their
-directory; files are salted there, as one directory may hold a third of all.
+Candidates of a text are its sentences and lines that speak of licences, and its blocks that do:
+lines up to an empty one, without the marks of comments. Each candidate and each
+template is a sparse TF-IDF vector over all of its terms; document frequencies are counted
+over all candidates and templates. Templates are headers, permission texts and heads of
+licence files as their authors publish them, and short notices. The best template at
+``threshold`` or more is the file's own licence. A licence file (by its name) gives its
+licence to its directory; a file without a licence of its own takes that of the nearest
+ancestor directory that has one.
+
+DataFrame functions only. Scale: texts are read once without a shuffle; tokens of
+candidates alone are shuffled, combined by file, candidate and term. Templates and their
+frequencies are broadcast: their number is fixed by the ``templates`` argument. The
+frequencies of all terms are sent within a size, and else meet the candidates' terms in a
+shuffle. Inheritance joins distinct directories with the licences of directories on
+paths, as deep as a path is, then files with their directory; files are salted there, as
+one directory may hold a third of all.
 
 Defined results: a null or empty text has no licence of its own; a null path is
 the root's file; two licence files in a directory: the better score counts, then
-the lesser name; repeated rows are given back as often as they stand; an empty
-table gives an empty table; other columns are ignored, whatever their names.
+the lesser name; of equal scores the name that sorts last is a file's own; repeated rows
+are given back as often as they stand; an empty table gives an empty table; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,39 +33,77 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.core import join_on, materialize
+from quillspark.core import join_on, materialize, small_enough
 
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
-HINT = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|public domain"
-OTHER_IDF = math.log(100.0) + 1.0
+HINT = r"(?i)licen[cs]e|copyright|spdx|permission to use|permission is hereby|redistributions? |public domain|free software"
+#: Marks of comments at the start of a line.
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+|<!--|%+|REM\b)?[ \t]*(?:-->)?"
 SALTS = 16
 
-#: Notices by licence, sentence by sentence.
+#: Notices, headers and heads of licence files by licence (fixed values, as published).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "SPDX-License-Identifier: MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "MIT License",
+    ),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     ),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GPL version 3.",
         "SPDX-License-Identifier: GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "MPL-2.0": (
+        "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
     ),
-    "MPL-2.0": ("This source code form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
 }
 
@@ -71,7 +113,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def _template_terms(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, str, int]]:
-    """(licence, sentence, term, times)."""
+    """(licence, number of the template, term, times)."""
     rows = []
     for name, sentences in templates.items():
         for s in sentences:
@@ -79,33 +121,39 @@ def _template_terms(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, in
     return rows
 
 
-def term_weights(docs: DataFrame, text: str, templates: dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and (licence, sentence, term, weight) of unit sentence vectors."""
-    spark = docs.sparkSession
-    rows = _template_terms(templates)
-    vocabulary = sorted({r[2] for r in rows})
-    held = F.array_intersect(tokens_of(F.coalesce(F.col(text), F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    seen = docs.select(F.explode_outer(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = {r["term"]: r["df"] for r in seen.collect()}  # a row a template term, and one for all texts
-    n = df.get("", 0)
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    norm: Counter = Counter()
-    for _, s, t, k in rows:
-        norm[s] += (k * idf[t]) ** 2
-    return spark.createDataFrame(list(idf.items()), "term string, idf double"), spark.createDataFrame(
-        [(name, s, t, k * idf[t] / math.sqrt(norm[s])) for name, s, t, k in rows], "licence string, sentence int, term string, weight double"
-    )
+def candidates(files: DataFrame) -> DataFrame:
+    """(path, digest, at, said): sentences, lines and blocks of files (path, digest, t) that speak of licences, each once."""
+    speaks = lambda x: x.rlike(HINT)
+    plain = F.regexp_replace("t", COMMENT, "")
+    sentences = F.filter(F.split("t", r"\n|(?<=[.;!?])\s+"), speaks)
+    blocks = F.filter(F.split(plain, r"\n[ \t\r]*\n"), speaks)
+    found = F.array_distinct(F.concat(sentences, blocks))
+    return files.where(speaks(F.col("t"))).select("path", "digest", F.posexplode(found).alias("at", "said"))
 
 
 def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]], threshold: float) -> DataFrame:
     """(path, digest, own, score) of files with a licence of their own. ``files``: path, digest, t."""
-    idf, terms = term_weights(files, "t", templates)
-    sentences = F.filter(F.split("t", r"\n|(?<=[.;!?])\s+"), lambda x: x.rlike(HINT))
-    found = files.where(F.col("t").rlike(HINT)).select("path", "digest", F.posexplode_outer(sentences).alias("at", "sentence")).where("sentence IS NOT NULL")
-    words = found.select("path", "digest", "at", F.explode_outer(tokens_of(F.col("sentence"))).alias("term")).groupBy("path", "digest", "at", "term").agg(F.count("*").alias("times"))
-    weighted = words.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("times") * F.coalesce("idf", F.lit(OTHER_IDF)))
-    # each term of a candidate meets the template sentences that have it; null: the candidate's length
-    meets = F.broadcast(terms.unionByName(terms.sparkSession.createDataFrame([(None, None, "", 0.0)], terms.schema)))
+    spark = files.sparkSession
+    words = candidates(files).select("path", "digest", "at", F.explode(tokens_of(F.col("said"))).alias("term"))
+    words = materialize(words.groupBy("path", "digest", "at", "term").agg(F.count("*").alias("times")), "licence-words")
+    rows = _template_terms(templates)
+    vocabulary = sorted({t for _, _, t, _ in rows})
+    of_templates = Counter(t for _, _, t, _ in rows)
+    n = words.select("path", "digest", "at").distinct().count() + len({s for _, s, _, _ in rows})
+    counted = words.groupBy("term").agg(F.count("*").alias("df"))
+    df = of_templates + Counter({r["term"]: r["df"] for r in counted.where(F.col("term").isin(vocabulary)).collect()})  # a row a template term
+    weight_of = lambda k: math.log((1 + n) / (1 + k)) + 1
+    norm: Counter = Counter()
+    for _, s, t, k in rows:
+        norm[s] += (k * weight_of(df[t])) ** 2
+    terms = spark.createDataFrame([(name, s, t, k * weight_of(df[t]) / math.sqrt(norm[s])) for name, s, t, k in rows], "licence string, sentence int, term string, weight double")
+    more = spark.createDataFrame(list(of_templates.items()), "term string, more long")
+    idf = counted.join(F.broadcast(more), "term", "left").select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df") + F.coalesce("more", F.lit(0)))) + 1).alias("idf"))
+    idf = materialize(idf, "licence-idf")
+    idf = F.broadcast(idf) if small_enough(spark, idf, 8 << 20) else idf
+    weighted = words.join(idf, "term").withColumn("w", F.col("times") * F.col("idf"))
+    # each term of a candidate meets the templates that have it; null: the candidate's length
+    meets = F.broadcast(terms.unionByName(spark.createDataFrame([(None, None, "", 0.0)], terms.schema)))
     parts = weighted.withColumn("meet", F.explode(F.array("term", F.lit("")))).withColumnRenamed("term", "word").join(meets, F.col("meet") == meets["term"])
     sums = parts.groupBy("path", "digest", "at", "licence", "sentence").agg(F.sum(F.when(F.col("licence").isNull(), F.col("w") * F.col("w")).otherwise(F.col("w") * F.col("weight"))).alias("v"))
     each = sums.groupBy("path", "digest", "at").agg(
