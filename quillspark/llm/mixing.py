@@ -67,7 +67,8 @@ def water_fill(sizes: list[float], weights: list[float], total: float, caps: lis
             out[i] = float(caps[i])
             left_w -= caps[i]
         left = left_w
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return out
 
 
