@@ -69,8 +69,13 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, written in the record format and read back."""
-    return records.encode_documents(docs, queries.byte_tokenizer(), end_id=0)
+    """Token ids of each row, written in the record format and read back.
+
+    Rows of a stored table keep the order of its files, which is that of the mixture's shards and
+    places; others go by id.
+    """
+    stored = [F.col("_metadata.file_name"), F.col("_metadata.row_index")] if docs.inputFiles() else None
+    return records.encode_documents(docs, queries.byte_tokenizer(), end_id=0, order=stored)
 
 
 STAGES = [

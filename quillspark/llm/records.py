@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.core import fresh_path
+from quillspark.core import arrow_store, fresh_path
 
 #: Added to the width where the key is null.
 NULL_KEY = 128
@@ -167,23 +167,22 @@ def unframe(buf: bytes, at: int) -> tuple[int | None, np.ndarray]:
     return key, np.frombuffer(buf, dtype="<u4" if width == 4 else "<u2", count=(size - 9) // width, offset=at + 21)
 
 
-def _fs(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
-def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", files: int | None = None, batch_chars: int = 2_000_000) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", files: int | None = None, batch_chars: int = 2_000_000, order: list[Column] | None = None) -> DataFrame:
     """Writes the files; a row for each: file (its rank), records, ids, bytes.
 
-    ``files`` is the number of ranges; by default one for ``FILE_BYTES`` of texts.
+    ``files`` is the number of ranges; by default one for ``FILE_BYTES`` of texts. Records
+    go by ``order``; by default by id and, of one id, by text.
     """
-    rows = docs.select(F.col(doc_id).try_cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    by = [f"o{i}" for i in range(len(order or []))]
+    rows = docs.select(F.col(doc_id).try_cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *(c.alias(n) for c, n in zip(order or [], by)))
     if files is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
         files = max(1, -(-size // FILE_BYTES))
-    rows = rows.select("k", "t", F.xxhash64("t").alias("h"))
-    ranged = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "t")
+    if order:
+        ranged = rows.repartitionByRange(files, *by).sortWithinPartitions(*by).select("k", "t")
+    else:
+        rows = rows.select("k", "t", F.xxhash64("t").alias("h"))
+        ranged = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -193,7 +192,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         ctx = TaskContext.get()
         part = ctx.partitionId()
         enc = None
-        store, root = _fs(folder)
+        store, root = arrow_store(folder)
         store.create_dir(root, recursive=True)
         name, tried = f"{root}/part-{part:06d}", f"{root}/.try-{part:06d}-{ctx.attemptNumber()}-{uuid.uuid4().hex}"
         total = n_ids = 0
@@ -259,7 +258,10 @@ def read_records(pieces: DataFrame, folder: str, tasks: int) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _fs(folder)
+        # a worker that wrote records needs its encoder no more, and may live on for other stages
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+        store, root = arrow_store(folder)
         for b in batches:
             for file, first, n, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 name = f"{root}/part-{file:06d}"
@@ -286,8 +288,8 @@ def read_records(pieces: DataFrame, folder: str, tasks: int) -> DataFrame:
     return pieces.repartition(tasks, "file", "first").mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Writes the documents' ids and reads every record back.
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Writes the documents' ids, in ``order`` or else by id, and reads every record back.
 
     Returns doc_id (null for a null key), start, n_tokens, ids_crc32.
     """
@@ -295,6 +297,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_
 
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "records")
-    written = materialize(write_records(docs, folder, tokenizer_path, end_id, doc_id, text), "records-files")
+    written = materialize(write_records(docs, folder, tokenizer_path, end_id, doc_id, text, order=order), "records-files")
     back = read_records(read_index(spark, folder, written), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -15,6 +15,15 @@ def test_stages(spark, odd):
     assert 200 > counts[0] > counts[1] >= counts[2] > 0 and counts[3] == counts[4]
 
 
+def test_records_keep_the_order_of_the_mixture(spark):
+    from quillspark.core import materialize
+
+    docs = materialize(P.source_mixture(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), "test-mixture")
+    rows = [r["doc_id"] for r in docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    got = [r["doc_id"] for r in P.token_records(spark, docs, SF).orderBy("start").collect()]
+    assert got == rows != sorted(rows)
+
+
 def test_stages_take_odd_rows(spark, odd):
     for _, stage in P.STAGES:
         assert stage(spark, odd, SF).count() > 0
