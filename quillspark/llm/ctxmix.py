@@ -55,6 +55,8 @@ LEAVES = 1 << DEPTH
 #: Bounds of hashed tables: contexts of one and two words, slots of three and more bytes.
 MOST = (1 << 14, 1 << 15, 1 << 21)
 CHUNK = 1 << 15
+#: Weights that a text starts with and the rate they learn at, both chosen on training rows; words a step, and words of a text in steps of that size.
+START, RATE, STEP, STEADY = (0.2, 0.3, 0.5), 1.0, 64, 1024
 #: Gates of the segment map: run of hits, count of the prediction, whether it is the only one.
 RUNS, SEEN = 4, 4
 GATES = RUNS * SEEN * 2
@@ -206,9 +208,9 @@ def word_costs(words: Words, own: np.ndarray, head: Head, sizes: tuple[int, int]
 
     Weights belong to a text. Texts advance in step, by pieces that grow as they go.
     """
-    mixers = [Mixer(len(words.n) * 4, (0.1, 0.35, 0.55), 0.02) for _ in range(DEPTH)]
+    mixers = [Mixer(len(words.n) * 4, START, RATE) for _ in range(DEPTH)]
     out = head.residual[words.ids].copy()
-    lo, width = 0, 64
+    lo, width = 0, STEP
     while (words.n > lo).any():
         live = np.nonzero(words.n > lo)[0]
         # long texts are few; a piece of them all stays small
@@ -222,7 +224,9 @@ def word_costs(words: Words, own: np.ndarray, head: Head, sizes: tuple[int, int]
             x, seen = chain([others(one, a, less, bit), others(two, b, less, bit)], head.prior[node], 2.0)
             cost += mixer.cost([head.prior_logit[node], *x], text * 4 + _bucket(seen), bit)
         out[at] += cost
-        lo, width = lo + width, min(width * 2, max(64, (1 << 19) // len(live)))
+        lo += width
+        # steps of one size first, where most texts end; growing ones for the long texts that are left
+        width = width if lo < STEADY else min(width * 2, max(STEP, (1 << 19) // len(live)))
     return out
 
 
@@ -489,26 +493,31 @@ def cut_texts(rows: DataFrame, sent_head, sent_tables, sizes: tuple[int, int]) -
 
 
 def predicted(segs: DataFrame) -> DataFrame:
-    """Adds ``seen`` (count of the prediction, 0 without one), ``only`` and ``hit``, own occurrences left out."""
+    """(rid, k, seen, only, hit) of each segment: ``seen`` is the count of the prediction, 0
+    without one, own occurrences left out. Names and numbers alone meet the predictions."""
     pairs = segs.where(~F.col("held_out") & F.col("h").isNotNull()).groupBy("h", "s").agg(F.count("*").alias("c"))
     # written, so that a segment that very many texts share can be split in the join
     after = materialize(pairs.groupBy("h").agg(F.max(F.struct("c", "s")).alias("top"), F.sum("c").alias("all")), "lm-after")
-    both = segs.join(after, "h", "left")
+    both = segs.select("rid", "k", "held_out", "h", "s").join(after, "h", "left")
     equal = F.coalesce(F.col("s") == F.col("top.s"), F.lit(False))
     own = F.when(F.col("held_out"), 0).otherwise(1)
     seen = F.coalesce(F.col("top.c"), F.lit(0)) - F.when(equal, own).otherwise(0)
-    out = both.select("rid", "k", "held_out", "lp", "rare", "own", equal.alias("equal"), seen.cast("int").alias("seen"), (F.coalesce(F.col("all"), F.lit(0)) - own <= seen).alias("only"))
+    out = both.select("rid", "k", equal.alias("equal"), seen.cast("int").alias("seen"), (F.coalesce(F.col("all"), F.lit(0)) - own <= seen).alias("only"))
     return out.withColumn("hit", F.col("equal") & (F.col("seen") > 0)).drop("equal")
 
 
-def follow(rows: DataFrame, kind: str) -> DataFrame:
-    """From predicted segments: a row a text with sums and counts by gate and outcome,
-    and a row for each token to spell, paid or not."""
+def follow(segs: DataFrame, outcomes: DataFrame, kind: str) -> DataFrame:
+    """From segments and their predictions' outcomes: a row a text with sums and counts by
+    gate and outcome, and a row for each token to spell, paid or not.
+
+    Each segment moves once, and its outcome comes to lie right behind it.
+    """
     own = f"struct<doc_id:{kind},n:long,known:long,base:double,bytes:long,held_out:boolean,lp:double,gates:array<int>>"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            rid, seen, hit = (t.column(x).to_numpy() for x in ("rid", "seen", "hit"))
+            t, told = t.take(pa.array(np.arange(0, len(t), 2))), t.take(pa.array(np.arange(1, len(t), 2)))
+            rid, seen, hit = t.column("rid").to_numpy(), *(told.column(x).to_numpy() for x in ("seen", "hit"))
             hit = hit.astype(bool)
             first = np.append(True, rid[1:] != rid[:-1])
             starts = np.nonzero(first)[0]
@@ -517,7 +526,7 @@ def follow(rows: DataFrame, kind: str) -> DataFrame:
             at = np.arange(len(rid))
             missed = np.maximum.accumulate(np.where(np.append(True, ~hit[:-1]) | first, at, 0))
             run = at - missed
-            gate = (np.minimum(np.ceil(np.log2(run + 1)), RUNS - 1) * SEEN + np.clip(np.ceil(np.log2(np.maximum(seen, 1))), 0, SEEN - 1)) * 2 + t.column("only").to_numpy().astype(bool)
+            gate = (np.minimum(np.ceil(np.log2(run + 1)), RUNS - 1) * SEEN + np.clip(np.ceil(np.log2(np.maximum(seen, 1))), 0, SEEN - 1)) * 2 + told.column("only").to_numpy().astype(bool)
             decided = seen > 0
             slot = (text * GATES + gate.astype(np.int64)) * 2 + hit
             gates = np.bincount(slot[decided], minlength=len(starts) * GATES * 2).reshape(len(starts), -1)
@@ -545,7 +554,8 @@ def follow(rows: DataFrame, kind: str) -> DataFrame:
         if sum(map(len, kept)):
             yield from texts(pa.Table.from_batches(kept))
 
-    ordered = rows.select("rid", "k", "held_out", "lp", "rare", "own", "seen", "only", "hit").repartition("rid").sortWithinPartitions("rid", "k")
+    both = segs.select("rid", "k", "held_out", "lp", "rare", "own").withColumn("told", F.lit(False)).unionByName(outcomes.withColumn("told", F.lit(True)), allowMissingColumns=True)
+    ordered = both.repartition("rid").sortWithinPartitions("rid", "k", "told")
     return materialize(ordered.mapInArrow(walk, f"rid long, token binary, paid boolean, own {own}"), "lm-parts")
 
 
@@ -569,7 +579,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tables = word_tables(rows, sent_head, sizes, few)
     spelled = spellings(rare, code, _power(16 * kinds, 1 << 12, MOST[2]), max(1, kinds // 500_000), max(1, -(-kinds // bucket_tokens)))
     segs = cut_texts(rows, sent_head, sc.broadcast(tables), sizes)
-    parts = follow(predicted(segs), dict(rows.dtypes)["doc_id"])
+    parts = follow(segs, predicted(segs), dict(rows.dtypes)["doc_id"])
     whole = parts.where("own IS NOT NULL").select("rid", "own.*")
     # the map of segment decisions: 2 * GATES numbers
     map_ = whole.where("not held_out").agg(*(F.coalesce(F.sum(F.get("gates", F.lit(i))), F.lit(0)).alias(f"g{i}") for i in range(2 * GATES))).first()

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillspark.llm.ctxmix import DEPTH, LEAVES, Head, Letters, Mixer, Words, _bucket, chain, count_letters, count_words, letter_mixer, letter_sizes, prefix_code, score_documents
+from quillspark.llm.ctxmix import DEPTH, LEAVES, RATE, START, STEP, Head, Letters, Mixer, Words, _bucket, chain, count_letters, count_words, letter_mixer, letter_sizes, prefix_code, score_documents, word_costs
 
 
 def brute(rows):
@@ -106,3 +106,62 @@ def test_one_long_token(spark):
     rows = [(1, "x" * 3_000_000), (2, "a b " * 20), (3, None), (3, None)]
     got = sorted((r["doc_id"], r["n_tokens"]) for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), head_tokens=2).collect())
     assert got == [(1, 2), (2, 41), (3, 1), (3, 1)]
+
+
+def plain_word_costs(texts, own, head, sizes, one, two):
+    """The word model's costs word by word and decision by decision, in double precision."""
+    logit = lambda p: math.log(p / (1 - p))
+    words, out, at = Words(texts, head), [], 0
+    slots = {j: step for j, step in enumerate(words.path(sizes, slice(None)))}
+    for t, n in enumerate(words.n):
+        weights = {}
+        for lo in range(0, n, STEP):
+            waiting = {}
+            for i in range(at + lo, at + min(lo + STEP, n)):
+                cost = float(head.residual[words.ids[i]])
+                for j in range(DEPTH):
+                    node, bit, a, b = (int(x[i]) for x in slots[j])
+                    p, x = float(head.prior[node]), [float(head.prior_logit[node])]
+                    for table, slot in ((one, a), (two, b)):
+                        n0, n1 = (max(0.0, float(table[2 * slot + k]) - (own[t] and bit == k)) for k in (0, 1))
+                        p = min(max((n1 + 2 * p) / (n0 + n1 + 2), 1e-5), 1 - 1e-5)
+                        x.append(logit(p))
+                    gate = (j, 0 if n0 + n1 <= 0.5 else 1 if n0 + n1 <= 2.5 else 2 if n0 + n1 <= 7.5 else 3)
+                    w = weights.setdefault(gate, list(START))
+                    odds = math.exp(-(2 * bit - 1) * min(max(sum(map(float.__mul__, w, x)), -11.5), 11.5))
+                    cost -= math.log10(1 + odds)
+                    waiting.setdefault(gate, []).append(((2 * bit - 1) * odds / (1 + odds), x))
+                out.append(cost)
+            for gate, seen in waiting.items():
+                weights[gate] = [w + RATE * sum(e * x[k] for e, x in seen) / len(seen) for k, w in enumerate(weights[gate])]
+        at += n
+    return np.array(out)
+
+
+def test_word_costs_by_brute_force():
+    r = np.random.default_rng(4)
+    head = Head([f"w{k}".encode() for k in range(60)], [300 // (k + 1) for k in range(60)], 1500, 70)
+    texts = [" ".join(f"w{min(int(x), 70)}" for x in r.zipf(1.5, n)) for n in (0, 3, 150, 150, 70)]
+    texts.append(texts[2])
+    sizes = (256, 256)
+    one, two = (np.zeros(n * LEAVES * 2, dtype=np.float32) for n in sizes)
+    count_words(Words(texts[:4], head), sizes, one, two)
+    own = np.array([True, True, True, True, False, False])
+    got = word_costs(Words(texts, head), own, head, sizes, one, two)
+    assert got == pytest.approx(plain_word_costs(texts, own, head, sizes, one, two), abs=2e-3)
+    assert got.sum() == pytest.approx(plain_word_costs(texts, own, head, sizes, one, two).sum(), rel=1e-4)
+
+
+def test_learned_weights_beat_fixed_ones(monkeypatch):
+    import quillspark.llm.ctxmix as M
+
+    r = np.random.default_rng(7)
+    head = Head([f"w{k}".encode() for k in range(60)], [300 // (k + 1) for k in range(60)], 1500, 70)
+    texts = [" ".join(f"w{(7 * i + int(r.integers(0, 2))) % 60}" for i in range(300)) for _ in range(12)]
+    sizes = (256, 1024)
+    one, two = (np.zeros(n * LEAVES * 2, dtype=np.float32) for n in sizes)
+    count_words(Words(texts[:8], head), sizes, one, two)
+    own, rest = np.zeros(4, bool), Words(texts[8:], head)
+    moving = word_costs(rest, own, head, sizes, one, two).sum()
+    monkeypatch.setattr(M, "RATE", 0.0)
+    assert moving > word_costs(rest, own, head, sizes, one, two).sum()
