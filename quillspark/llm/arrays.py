@@ -1,13 +1,32 @@
-"""Array expressions that the operators share."""
+"""Array expressions that the operators share, and what worker processes keep between tasks."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_KEPT: list = []
+
+
+def kept(make: Callable) -> Callable:
+    """``make`` with its results kept in the worker process, for its later tasks, until ``release``."""
+    cached = functools.cache(make)
+    _KEPT.append(cached)
+    return cached
+
+
+def release() -> None:
+    """Frees what earlier tasks kept in this process. A worker lives on for other stages, and one that needs memory calls this first."""
+    for cached in _KEPT:
+        cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, also where ``use`` names it in a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -51,6 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize, small_enough
+from quillspark.llm.arrays import release
 
 BANDS, ROWS = 32, 5
 #: Characters of a block of texts, and what a text counts at least.
@@ -161,6 +162,7 @@ def band_rows(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known: dict[bytes, int] = {}
         for whole in batches:
             for b in _slices(whole, 1):

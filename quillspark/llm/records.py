@@ -22,7 +22,6 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.core import arrow_store, fresh_path
+from quillspark.llm.arrays import kept
 
 #: Added to the width where the key is null.
 NULL_KEY = 128
@@ -141,7 +141,7 @@ class WordwiseEncoder:
         return ids, counts
 
 
-@functools.cache
+@kept
 def encoder(tokenizer_path: str) -> WordwiseEncoder:
     """One encoder a process: a worker's later tasks neither load the tokenizer again nor lose its pieces."""
     return WordwiseEncoder(tokenizer_path)
@@ -258,9 +258,6 @@ def read_records(pieces: DataFrame, folder: str, tasks: int) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a worker that wrote records needs its encoder no more, and may live on for other stages
-        encoder.cache_clear()
-        pa.default_memory_pool().release_unused()
         store, root = arrow_store(folder)
         for b in batches:
             for file, first, n, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
