@@ -26,9 +26,10 @@ def section_chunks(sections: DataFrame, chunks: DataFrame, version: str = "versi
     return s.join(chunks, (F.col("s_version") == F.col(version)) & F.col(seq).between(F.col("sequence_start"), F.col("sequence_end"))).drop("s_version").distinct()
 
 
-def outline(chunks: DataFrame, version: str = "version_id", seq: str = "sequence_no") -> DataFrame:
-    """One row a section of body and annex regions: first title and ranges of pages and places."""
-    ok = chunks.where(F.coalesce(F.col("document_region"), F.lit("body")).isin("body", "annex") & (F.coalesce("section_ref", F.lit("")) != ""))
+def outline(chunks: DataFrame, version: str = "version_id", seq: str = "sequence_no", regions: tuple[str, ...] | None = ("body", "annex")) -> DataFrame:
+    """One row a section of ``regions`` (None: of all, whether chunks have regions or not): first title and ranges of pages and places."""
+    ok = chunks.where(F.coalesce("section_ref", F.lit("")) != "")
+    ok = ok if regions is None else ok.where(F.coalesce(F.col("document_region"), F.lit("body")).isin(*regions))
     first = [F.min_by(c, F.col(seq)).alias(a) for c, a in (("section_title", "title"), ("section_level", "level"), ("parent_section_ref", "parent_section_ref"), ("metadata_confidence", "confidence"))]
     return ok.groupBy(version, "section_ref").agg(
         *first, F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min(seq).alias("sequence_start"), F.max(seq).alias("sequence_end")

@@ -158,9 +158,15 @@ def sections(requests: DataFrame, chunks: DataFrame, outline: DataFrame, limit:
     ``requests``: query_id, version_id, section; ``chunks``: version_id, chunk_id,
     sequence_no, paragraph_ref, section_path, document_region; ``outline``: version_id,
     section_ref, sequence_start, sequence_end. A request that the outline answers is read
-    from its ranges (origin stored), all others by prefixes (origin prefix).
+    from its ranges (origin stored), all others by prefixes (origin prefix). Where requests
+    and chunks have a language, chunks are of the request's language (null: en); stored ranges
+    answer only for documents of that language, if chunks say it (document_language).
     """
-    asked = requests.select("query_id", F.col("version_id").alias("q_version"), F.lower(F.regexp_replace(F.trim("section"), r"\.$", "")).alias("q_section"))
+    by_language = "language" in requests.columns and "language" in chunks.columns
+    spoken = [F.coalesce("language", F.lit("en")).alias("q_language")] if by_language else []
+    of_chunk = F.col("language") == F.col("q_language") if by_language else F.lit(True)
+    of_document = F.col("document_language") == F.col("q_language") if by_language and "document_language" in chunks.columns else F.lit(True)
+    asked = requests.select("query_id", *spoken, F.col("version_id").alias("q_version"), F.lower(F.regexp_replace(F.trim("section"), r"\.$", "")).alias("q_section"))
     same = F.col("q_version") == F.col("version_id")
 
     def below(c: str, mark: str = ".") -> Column:
@@ -168,13 +174,14 @@ def sections(requests: DataFrame, chunks: DataFrame, outline: DataFrame, limit:
         return F.startswith(text, F.concat("q_section", F.lit(mark)))
 
     is_ref = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) == F.col("q_section")
-    ranges = asked.join(outline, same & (is_ref("section_ref") | below("section_ref"))).where("sequence_start IS NOT NULL AND sequence_end IS NOT NULL").select("query_id", F.col("version_id").alias("r_version"), "sequence_start", "sequence_end")
-    columns = chunks.select("version_id", "chunk_id", "sequence_no", "paragraph_ref", "section_path", "document_region")
-    stored = ranges.join(columns, (F.col("r_version") == F.col("version_id")) & F.col("sequence_no").between(F.col("sequence_start"), F.col("sequence_end"))).select("query_id", "chunk_id", "sequence_no").distinct()
+    ranges = asked.join(outline, same & (is_ref("section_ref") | below("section_ref"))).where("sequence_start IS NOT NULL AND sequence_end IS NOT NULL").select("query_id", F.col("version_id").alias("r_version"), "sequence_start", "sequence_end", *(["q_language"] if by_language else []))
+    more = [c for c in ("language", "document_language") if by_language and c in chunks.columns]
+    columns = chunks.select("version_id", "chunk_id", "sequence_no", "paragraph_ref", "section_path", "document_region", *more)
+    stored = ranges.join(columns, (F.col("r_version") == F.col("version_id")) & F.col("sequence_no").between(F.col("sequence_start"), F.col("sequence_end"))).where(of_chunk & of_document).select("query_id", "chunk_id", "sequence_no").distinct()
     stored = materialize(stored.withColumn("origin", F.lit("stored")), "sections-stored")
     other = asked.join(stored.select("query_id"), "query_id", "left_anti")
     fits = is_ref("paragraph_ref") | below("paragraph_ref") | is_ref("section_path") | below("section_path") | below("section_path", ". ")
-    prefix = other.join(columns, same & fits).select("query_id", "chunk_id", "sequence_no", "document_region")
+    prefix = other.join(columns, same & fits).where(of_chunk).select("query_id", "chunk_id", "sequence_no", "document_region")
     first = search.ranked(prefix, [F.col("sequence_no"), F.col("chunk_id")], overfetch(limit))
     shown = search.prefer_regions(first).select("query_id", "chunk_id", F.lit("prefix").alias("origin"), F.col("rank").alias("place"))
     kept = search.ranked(stored, [F.col("sequence_no"), F.col("chunk_id")], limit, name="place").select("query_id", "chunk_id", "origin", "place")

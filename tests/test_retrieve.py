@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.core import materialize
-from quillspark.operators import keyword_index, search
+from quillspark.operators import keyword_index, navigate, search
 from quillspark.operators.evaluate import cyclic_sections, judge_fixtures
 from quillspark.plans import build
 from quillspark.plans.retrieve import COMPACT, compact, index_chunks, search_chunks, sections, split_requests, vectors_unfit, with_flags
@@ -128,3 +128,20 @@ def test_few_terms_are_pushed_to_the_scan(spark, tmp_path):
     terms = spark.createDataFrame([("risk",)], "term string")
     plan = keyword_index.term_counts(at.read(), terms)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "risk" in plan
+
+
+def test_sections_by_language(spark):
+    rows = [(1, f"c{i}", i, "4.1", "x", "body", lang, "en") for i, lang in enumerate(["en", "fr", "en"])] + [(2, "d0", 0, "4.1", "x", "body", "fr", "en")]
+    chunks = spark.createDataFrame(rows, "version_id int, chunk_id string, sequence_no int, paragraph_ref string, section_path string, document_region string, language string, document_language string")
+    outline = spark.createDataFrame([(1, "4.1", 0, 1), (2, "4.1", 0, 0)], "version_id int, section_ref string, sequence_start int, sequence_end int")
+    asked = spark.createDataFrame([(1, 1, "4", None), (2, 1, "4", "fr"), (3, 2, "4", "fr")], "query_id int, version_id int, section string, language string")
+    got = sorted((r["query_id"], r["origin"], r["chunk_id"]) for r in sections(asked, chunks, outline).collect())
+    # the document is English: French requests are answered by prefixes
+    assert got == [(1, "stored", "c0"), (2, "prefix", "c1"), (3, "prefix", "d0")]
+
+
+def test_outline_of_all_regions(spark):
+    rows = [(1, 1, "1", "Scope", "front_matter"), (1, 2, "2", "Duties", "body"), (1, 3, "", "none", "body")]
+    df = spark.createDataFrame(rows, "version_id int, sequence_no int, section_ref string, section_title string, document_region string").selectExpr("*", "1 AS section_level", "null AS parent_section_ref", "1.0 AS metadata_confidence", "1 AS page_start", "1 AS page_end")
+    assert {r["section_ref"] for r in navigate.outline(df).collect()} == {"2"}
+    assert {r["section_ref"] for r in navigate.outline(df.drop("document_region"), regions=None).collect()} == {"1", "2"}
