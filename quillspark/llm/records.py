@@ -25,6 +25,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +113,8 @@ class WordwiseEncoder:
     def pieces(self, text: str) -> list[str]:
         if "\x00" in text or self.adjoining.search(text) or self.special.search(text):
             return [text]
-        cut = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        return [p for p in cut if p]
+        # some pieces are empty, and have no ids
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each), the end id appended to each."""
@@ -126,11 +127,13 @@ class WordwiseEncoder:
             per.append(len(p))
             seq += p
         code = self.code
-        new = [p for p in dict.fromkeys(seq) if p not in code]
-        if new:
+        codes = np.fromiter(map(code.get, seq, repeat(-1)), dtype=np.int64, count=len(seq))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(seq[i] for i in missing))
             code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
             self._learn(new)
-        codes = np.fromiter(map(code.__getitem__, seq), dtype=np.int64, count=len(seq))
+            codes[missing] = [code[seq[i]] for i in missing]
         sizes = self.at[codes + 1] - self.at[codes]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.arange(bounds[-1]) + np.repeat(self.at[codes] - bounds[:-1], sizes)]
