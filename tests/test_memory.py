@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from quillspark.operators import blocks
+from quillspark.operators import blocks, search
 
 
 def test_a_shard_holds_few_bytes_a_token():
@@ -31,3 +31,19 @@ def test_gathered_batches_are_let_go():
         del words, batch, part
     assert pa.total_allocated_bytes() - before < 5_000_000
     assert held.n_tokens == 8_000_000
+
+
+def test_distances_are_made_in_tiles(spark, monkeypatch):
+    r, run = np.random.default_rng(2), []
+    v = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(1000)], "vec_id long, embedding array<float>")
+    real = type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, f, schema: run.append(f) or real(self, f, schema))
+    got = search.nearest(v.withColumnRenamed("vec_id", "query_id"), v, 3).where("rank = 1 AND distance < 1e-6 AND query_id = vec_id")
+    assert got.count() == 1000
+    many = r.normal(size=(40_000, 4)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40_000)), pa.FixedSizeListArray.from_arrays(pa.array(many.ravel()), 4).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in run[-1](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 3000 and peak < 64 << 20, (found, peak)
