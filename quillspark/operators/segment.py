@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 MAX_CHUNK = 4000
 #: Headings without a number (fixed values).
@@ -311,18 +314,39 @@ def split_text(text: str, most: int = MAX_CHUNK) -> list[str]:
     return out
 
 
+def text_slices(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ``rows`` rows whose texts, the last column, take ``size`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def split_long(chunks: DataFrame, most: int = MAX_CHUNK, doc: str = "document_id") -> DataFrame:
     """Oversized chunks in pieces with ids :subN; sequence numbers dense from 1."""
     from quillspark.operators.corpus import resequence
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", most))
-
     short = F.length(F.coalesce("text", F.lit(""))) <= most
     same = chunks.where(short).withColumn("sub", F.lit(0)).withColumn("many", F.lit(False))
-    long_ = chunks.where(~short).withColumn("pieces", cut("text")).withColumn("many", F.size("pieces") > 1)
-    long_ = long_.select(*(c for c in chunks.columns if c != "text"), F.posexplode("pieces").alias("sub", "text"), "many")
+    others = [c for c in chunks.columns if c != "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in text_slices(whole)):
+            pieces = [split_text(t, most) for t in b.column(b.num_columns - 1).to_pylist()]
+            sizes = np.array([len(p) for p in pieces], np.int64)
+            of = pa.array(np.repeat(np.arange(len(pieces)), sizes))
+            sub = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [b.column(i).take(of) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sub, pa.int32()), pa.array([x for p in pieces for x in p], pa.string()), pa.array(np.repeat(sizes > 1, sizes))], names=[*others, "sub", "text", "many"])
+            del b, pieces, columns
+            pa.default_memory_pool().release_unused()
+
+    long_rows = chunks.where(~short).select(*others, "text")
+    fields = [*long_rows.schema.fields[:-1], StructField("sub", IntegerType()), StructField("text", StringType()), StructField("many", BooleanType())]
+    long_ = long_rows.mapInArrow(cut, StructType(fields))
     each = same.unionByName(long_)
     changed = each.withColumn("chunk_id", F.when(F.col("many"), F.concat(F.col("chunk_id"), F.lit(":sub"), F.col("sub").cast("string"))).otherwise(F.col("chunk_id")))
     if "text_hash" in chunks.columns:

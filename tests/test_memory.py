@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from quillspark.operators import blocks, search
+from quillspark.operators import blocks, search, segment
 
 
 def test_a_shard_holds_few_bytes_a_token():
@@ -47,3 +47,20 @@ def test_distances_are_made_in_tiles(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 3000 and peak < 64 << 20, (found, peak)
+
+
+def test_long_chunks_are_split_a_few_at_a_time(spark, monkeypatch):
+    run, text = [], "\n".join("line of words" for _ in range(400))
+    rows = spark.createDataFrame([("a", "a:1", 1, "short"), ("a", "a:2", 2, text), ("b", "b:1", 1, None)], "document_id string, chunk_id string, sequence_no int, text string")
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: run.append(f) or real(self, f, schema))
+    got = segment.split_long(rows, 1000).orderBy("document_id", "sequence_no").collect()
+    pieces = segment.split_text(text, 1000)
+    assert [(r.document_id, r.chunk_id, r.sequence_no, r.text) for r in got] == [("a", "a:1", 1, "short"), *(("a", f"a:2:sub{i}", i + 2, p) for i, p in enumerate(pieces)), ("b", "b:1", 1, None)]
+    n = 8000
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * n), pa.array(["c"] * n), pa.array(range(n), pa.int32()), pa.array([text] * n)], names=["document_id", "chunk_id", "sequence_no", "text"])
+    tracemalloc.start()
+    made = sum(b.num_rows for b in run[-1](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == n * len(pieces) and peak < 16 << 20, (made, peak)
