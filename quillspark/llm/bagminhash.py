@@ -184,9 +184,14 @@ def band_rows(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def _pairs_within(buckets: DataFrame) -> DataFrame:
-    """Each node with its bucket's least node: a bucket's nodes are connected by these pairs."""
-    least = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    return buckets.withColumnRenamed("node", "b").join(least, "band").where("a < b").select("a", "b").distinct()
+    """Pairs that connect each bucket's nodes: a node with the least of its buckets' least nodes, and that one with the others.
+
+    Those others are few in a large group, so its pairs number about its nodes, however many bands they share.
+    """
+    least = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("z")).where("least < z").select("band", "least")
+    # at most one a band
+    of = buckets.join(least, "band").groupBy("node").agg(F.min("least").alias("a"), F.collect_set("least").alias("leasts"))
+    return of.select("a", F.explode(F.array_union(F.array("node"), "leasts")).alias("b")).where("a < b").distinct()
 
 
 def _blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
@@ -323,21 +328,37 @@ def compare(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, class): the least node that links lead to, for nodes with links.
 
-    Rounds of hooking to the least neighbour and pointer jumping, each written out.
+    A round hooks each node to its least neighbour, jumps along hooks to their ends and gives
+    the links the ends' names; links inside a class fall away, so each round has fewer. The
+    rounds' classes are put together at the end.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    now = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("class")).withColumnRenamed("a", "node"), f"{name}-0")
-    for step in range(1, 64):
-        named = now.select(F.col("node").alias("b"), F.col("class").alias("of_b"))
-        near = both.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
-        hooked = now.join(near, "node").select("node", F.least("class", "near").alias("class"), F.col("class").alias("was"))
-        jump = hooked.select(F.col("node").alias("class"), F.col("class").alias("further"))
-        then = hooked.join(jump, "class", "left").select("node", F.least("class", F.coalesce("further", "class")).alias("class"), "was")
-        then = materialize(then, f"{name}-{step}")
-        if then.where("class <> was").isEmpty():
-            return then.select("node", "class")
-        now = then.select("node", "class")
-    raise RuntimeError("components did not settle")
+    least, greatest = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = materialize(links.select(least, greatest).distinct(), f"{name}-links")
+    rounds = []
+    for step in range(64):
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("class"))
+        now = materialize(now, f"{name}-{step}")
+        for jumps in range(64):
+            further = now.select(F.col("node").alias("class"), F.col("class").alias("further"))
+            jumped = now.join(further, "class").select("node", F.col("further").alias("class"), (F.col("further") != F.col("class")).alias("moved"))
+            jumped = materialize(jumped, f"{name}-{step}-{jumps}")
+            now = jumped.select("node", "class")
+            if jumped.where("moved").isEmpty():
+                break
+        rounds.append(now)
+        of = lambda c, to: rounds[-1].select(F.col("node").alias(c), F.col("class").alias(to))
+        left = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = materialize(left, f"{name}-links-{step}")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    classes = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        then = classes.select(F.col("node").alias("class"), F.col("class").alias("further"))
+        classes = earlier.join(then, "class", "left").select("node", F.coalesce("further", "class").alias("class"))
+    return materialize(classes, name) if len(rounds) > 1 else classes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
