@@ -25,10 +25,10 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,85 +60,103 @@ def byte_letters() -> dict[int, str]:
 class WordwiseEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece once.
 
-    The pre-tokenizer cuts before every single space or line feed that stands between
-    two characters that aren't white space, and after such a line feed. A text without
-    adjoining white space is therefore the concatenation of its pieces between these
-    cuts, and each piece can be encoded alone and its ids kept. A piece of letters
-    only, with its space in front, is one pre-token and goes straight to the model;
-    closing punctuation after letters is a pre-token of its own. All other pieces, and
-    texts with adjoining white space or a special string as a whole, take the tokenizer's own way. The
-    cache is emptied when it holds ``keep`` pieces.
+    The pre-tokenizer cuts ahead of white space that follows another character, behind a
+    single line feed, and wherever ASCII letters, digits and other printed characters adjoin,
+    but for letters behind an apostrophe. A text is cut at such places, found among its bytes,
+    and each piece can be encoded alone and its ids kept. Pieces are told apart by Arrow, and only the
+    distinct ones of a call are looked up. A text with a special string is one piece.
+
+    A piece of letters only, with its space in front, is one pre-token and goes straight to
+    the model; closing punctuation after letters is a pre-token of its own. All other
+    pieces take the tokenizer's own way. Pieces are forgotten when there are more than ``keep``.
     """
 
     CLOSING = ".,;:!?"
+    #: Kinds of bytes: other, letter, digit, other printed ones.
+    KINDS = np.array([0 if b < 33 or b > 126 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], dtype=np.uint8)
 
-    def __init__(self, tokenizer_path: str, keep: int = 400_000) -> None:
-        import re
-
+    def __init__(self, tokenizer_path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
-        self.wide = self.tok.get_vocab_size(with_added_tokens=True) > 65536
-        self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype("<u4") if self.tok.get_vocab_size(with_added_tokens=True) > 65536 else np.dtype("<u2")
         self.keep = keep
         self.letters = byte_letters()
-        self.adjoining = re.compile(r"\s\s")
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.code: dict[bytes, int] = {}
         self.flat = np.zeros(0, dtype=self.dtype)
         self.at = np.zeros(1, dtype=np.int64)
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [t.id for t in self.tok.model.tokenize(shown)]
-        return ids
+    def _model(self, text: str) -> list[int]:
+        shown = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tok.model.tokenize(shown)]
 
     def _ids(self, piece: str) -> list[int]:
         core = piece.rstrip(self.CLOSING)
         if core and (core.isalpha() or core[0] == " " and core[1:].isalpha()):
-            return self._word(core) if len(core) == len(piece) else self._word(core) + self._word(piece[len(core) :])
+            return self._model(core) if len(core) == len(piece) else self._model(core) + self._model(piece[len(core) :])
         return self.tok.encode(piece, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
-        made = [self._ids(p) for p in new]
+    def _learn(self, new: list[bytes]) -> None:
+        made = [self._ids(p.decode()) for p in new]
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
         self.flat = np.concatenate([self.flat, np.array([i for x in made for i in x], dtype=self.dtype)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)])
 
-    def pieces(self, text: str) -> list[str]:
-        if "\x00" in text or self.adjoining.search(text) or self.special.search(text):
-            return [text]
-        # some pieces are empty, and have no ids
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
-    def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def cuts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of texts in a row; no text is empty."""
+        kind = self.KINDS[data]
+        # whether a character that isn't white space lies ahead of a byte, in its text or the one before
+        after = np.append(False, kind[:-1] > 0)
+        wide = np.flatnonzero(data[:-1] >= 128) + 1
+        one, two, three = (data[np.maximum(wide - k, 0)] for k in (1, 2, 3))
+        # all white space beyond ASCII, and some other characters
+        after[wide] = ~(((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A))))
+        feed = data == 10
+        cut = (feed | (data == 32)) & after
+        a, b = kind[:-1], kind[1:]
+        cut[1:] |= (a != b) & (a > 0) & (b > 0) & ((data[:-1] != 39) | (b != 1))
+        # behind a line feed that is all the white space there is
+        after[starts] = True
+        cut[1:] |= (feed & after)[:-1] & (b > 0)
+        raw = data.tobytes()
+        for word in self.special:
+            at = raw.find(word)
+            while at >= 0:
+                text = int(np.searchsorted(starts, at, side="right")) - 1
+                cut[starts[text] : ends[text]] = False
+                at = raw.find(word, at + 1)
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: pa.Array | list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each), the end id appended to each."""
         if len(self.code) > self.keep:
             self._clear()
-        per: list[int] = []
-        seq: list[str] = []
-        for t in texts:
-            p = self.pieces(t)
-            per.append(len(p))
-            seq += p
-        code = self.code
-        codes = np.fromiter(map(code.get, seq, repeat(-1)), dtype=np.int64, count=len(seq))
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(seq[i] for i in missing))
-            code.update(zip(new, range(len(code), len(code) + len(new)), strict=True))
-            self._learn(new)
-            codes[missing] = [code[seq[i]] for i in missing]
-        sizes = self.at[codes + 1] - self.at[codes]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(bounds[-1]) + np.repeat(self.at[codes] - bounds[:-1], sizes)]
-        ends = bounds[np.cumsum(np.array(per, dtype=np.int64))]
-        counts = np.diff(np.concatenate([[0], ends]))
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        bounds = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)))
+        ids, ends = np.zeros(0, dtype=self.dtype), np.zeros(len(texts), dtype=np.int64)
+        if bounds[-1]:
+            first = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset]
+            data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[first : first + bounds[-1]]
+            full = bounds[1:] > bounds[:-1]
+            cut = self.cuts(data, bounds[:-1][full], bounds[1:][full])
+            edges = pa.py_buffer(np.append(cut, len(data)).astype(np.int32))
+            seq = pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+            distinct = seq.dictionary.to_pylist()
+            missing = [p for p in distinct if p not in self.code]
+            if missing:
+                self._learn(missing)
+            codes = np.fromiter(map(self.code.__getitem__, distinct), dtype=np.int64, count=len(distinct))[seq.indices.to_numpy()]
+            begin = self.at[codes]
+            sizes = self.at[codes + 1] - begin
+            upto = np.append(0, np.cumsum(sizes))
+            ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)]
+            ends = upto[np.searchsorted(cut, bounds[1:])]
+        counts = np.diff(ends, prepend=0)
         if end_id is not None:
             ids, counts = np.insert(ids, ends, end_id), counts + 1
         return ids, counts
@@ -170,7 +188,7 @@ def unframe(buf: bytes, at: int) -> tuple[int | None, np.ndarray]:
     return key, np.frombuffer(buf, dtype="<u4" if width == 4 else "<u2", count=(size - 9) // width, offset=at + 21)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", files: int | None = None, batch_chars: int = 2_000_000, order: list[Column] | None = None) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text", files: int | None = None, batch_bytes: int = 4_000_000, order: list[Column] | None = None) -> DataFrame:
     """Writes the files; a row for each: file (its rank), records, ids, bytes.
 
     ``files`` is the number of ranges; by default one for ``FILE_BYTES`` of texts. Records
@@ -201,7 +219,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         total = n_ids = 0
         index: list[np.ndarray] = []
         out = None
-        for keys, texts in _chunks(batches, batch_chars):
+        for keys, texts in _chunks(batches, batch_bytes):
             if out is None:
                 enc, out = encoder(tokenizer_path), store.open_output_stream(f"{tried}.rec")
             ids, counts = enc.encode(texts, end_id)
@@ -227,22 +245,15 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return ranged.mapInArrow(write, "file int, records long, ids long, bytes long")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Runs of rows with about ``chars`` characters."""
-    keys: list[int | None] = []
-    texts: list[str] = []
-    held = 0
-    for whole in batches:
-        for b in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                texts.append(t)
-                held += len(t)
-                if held >= chars:
-                    yield keys, texts
-                    keys, texts, held = [], [], 0
-    if keys:
-        yield keys, texts
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Keys and texts of runs of rows with at most ``most`` bytes, or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo)
+            lo = hi
 
 
 def read_index(spark: SparkSession, folder: str, written: DataFrame, records_a_task: int = 10_000) -> DataFrame:

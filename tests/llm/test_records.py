@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenizers import Tokenizer
@@ -19,6 +20,29 @@ def test_ids_equal_the_tokenizers():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_pieces_are_cut_in_any_text():
+    texts = ["Some words,  and more words.\n\nSome words; (and) more\tWORDS 2024-05: it's so.", "", "words é ñandú. and\u00a0 more, words\n"]
+    enc = WordwiseEncoder(byte_tokenizer())
+    ids, counts = enc.encode(texts, 0)
+    want = [e.ids + [0] for e in Tokenizer.from_file(byte_tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    # adjoining white space and punctuation make no long or new pieces
+    assert max(map(len, enc.code)) < 12
+    assert b" words" in enc.code and b" words," not in enc.code
+    assert [x.tolist() for x in enc.encode(pa.array(texts).slice(1), 0)] == [ids[counts[0] :].tolist(), counts[1:].tolist()]
+
+
+def test_random_characters():
+    rng = np.random.default_rng(3)
+    some = [*"abAB 01.,;:!?'\"-_()\n\t\r  \u0085\u00a0\u2003\u3000\u2028“éàñЖ中。²½ﬀ\x00\x1c\x7f", "<|endoftext|>", "'s", "'ll", " the", " à", "\n\n"]
+    enc, tok = WordwiseEncoder(byte_tokenizer()), Tokenizer.from_file(byte_tokenizer())
+    for _ in range(20):
+        texts = ["".join(rng.choice(some, n)) for n in rng.integers(0, 40, 100)]
+        ids, counts = enc.encode(texts, 0)
+        want = [e.ids + [0] for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_frames():
     ids = np.arange(5, dtype="<u2")
     assert unframe(frame(None, ids), 0)[0] is None and unframe(frame(-(2**63), ids), 0)[0] == -(2**63)
