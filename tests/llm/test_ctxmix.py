@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm.ctxmix import DEPTH, LEAVES, RATE, START, STEP, Head, Letters, Mixer, Words, _bucket, chain, count_letters, count_words, letter_mixer, letter_sizes, prefix_code, score_documents, word_costs
@@ -165,3 +166,32 @@ def test_learned_weights_beat_fixed_ones(monkeypatch):
     moving = word_costs(rest, own, head, sizes, one, two).sum()
     monkeypatch.setattr(M, "RATE", 0.0)
     assert moving > word_costs(rest, own, head, sizes, one, two).sum()
+
+
+def test_distinct_tokens_are_looked_up_once():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    head = Head([b"", b"the", b"cat"], [3, 2, 1], 9, 4)
+    head.ids = Asked(head.ids)
+    odd = ["The cat\tTHE\n\nthe\x0b \x0c dog", "", " \r\n ", "É İ\u00a0x\u2003y\x1cz the\x85", *["the cat " * 500] * 3, "dog"]
+    words = Words(odd, head)
+    want = [w for t in odd for w in [*t.encode().lower().split(), b""]]
+    assert words.n.tolist() == [len(t.encode().split()) + 1 for t in odd]
+    assert words.ids.tolist() == [{b"": 0, b"the": 1, b"cat": 2}.get(w, -1) for w in want]
+    assert head.ids.n == len(set(want))
+    part = Words(pa.array(odd).slice(3, 2), head)
+    assert [words.distinct[int(k)].as_py() for k in words.place] == want
+    assert part.ids.tolist() == words.ids[words.n[:3].sum() : words.n[:5].sum()].tolist()
+
+
+def test_letter_counts_are_exact():
+    code, slots = prefix_code([b"ab"]), 1 << 12
+    table = np.zeros(2 * sum(letter_sizes(slots)))
+    count_letters([b"ab", b"ab"], np.array([2**24, 1]), code, slots, table)
+    slot = Letters([b"ab"], code, slots)
+    assert table[slot.slots[3] * 2 + slot.bit].min() >= 2**24 + 1
